@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import decontaminate, langid, media, mixing, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    refs = media.references(media.interleave(media.as_pages(docs)), ["doc_id", "n_bytes"])
+    return refs.join(media.describe(media.store(docs)), "digest", "left").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixed(documents(spark, sf_dir), labels).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
@@ -30,5 +42,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_sharding": op5_sharding}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    trees = langid.learn(docs, fold != 1)
+    d = langid.identify(docs.select("doc_id", "text"), trees)
+    return d.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_media": op2_media,
+    "op4_mixing": op4_mixing,
+    "op5_sharding": op5_sharding,
+    "op10_language": op10_language,
+}
 ORACLES: dict[str, str] = {}
