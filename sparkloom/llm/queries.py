@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, mixing, sharding
+from . import decontaminate, langid, media, mixing, rlzdedup, sharding, suffixdedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Documents of good quality weigh 2, of bad quality 0.5, unlabelled ones 1."""
-    q = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("quality").alias("_q"))
-    docs = docs.join(q, F.col("doc_id") == F.col("_id"), "left")
-    weight = F.coalesce(F.pow(F.lit(4.0), F.col("_q")) / 2, F.lit(1.0))
-    return mixing.mix(docs, quality=weight, **options)
+    q = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.pow(F.lit(4.0), F.avg("quality")) / 2).alias("weight"))
+    return mixing.mix(docs, quality=q, **options)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +40,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(documents(spark, sf_dir))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlzdedup.dedup(documents(spark, sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
@@ -55,6 +61,8 @@ QUERIES = {
     "op2_media": op2_media,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
