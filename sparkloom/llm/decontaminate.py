@@ -243,7 +243,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = 10, keep:
                 edge = hit & ~np.append(False, hit[:-1])
                 edge[woff[:-1][woff[:-1] < len(hit)]] |= hit[woff[:-1][woff[:-1] < len(hit)]]
                 first = np.flatnonzero(edge)
-                last = np.append(first[1:], len(hit))
+                last = np.append(first, len(hit))[1:]
                 text = np.searchsorted(woff, first, side="right") - 1
                 for i, j, t in zip(first, last, text, strict=True):
                     m = i + int(total[j] - total[i])  # words of the run
