@@ -54,16 +54,20 @@ def source_targets(sized: DataFrame, weights: list[int], share: float = 1.5, mos
     return s.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, *, quality: Column | None = None, seed: int = 7, cut: bool = True, rows_per_range: int = 20_000, sizes: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, *, quality: DataFrame | None = None, seed: int = 7, cut: bool = True, rows_per_range: int = 2_000) -> DataFrame:
     """doc_id, size, source, source_size, target, epochs, taken.
 
     cut: the document at the budget's edge is taken in part, so that a source's
     taken words are its target, rounded; otherwise documents are whole, and the
-    one at the edge is taken if that comes nearer. quality: weight of a document.
+    one at the edge is taken if that comes nearer. quality: weights
+    of documents by doc_id, at most one row an id.
     """
-    size = sizes if sizes is not None else word_count(F.col("text"))
-    w = quality if quality is not None else F.lit(1.0)
-    sized = table(docs.select("doc_id", "source", size.alias("size"), F.when(w > 0, w.cast("double")).otherwise(1.0).alias("_weight")), "mix")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    w = F.lit(1.0)
+    if quality is not None:
+        sized = sized.join(quality.select(F.col("doc_id").alias("_id"), F.col("weight").alias("_w")), F.col("doc_id") == F.col("_id"), "left")
+        w = F.when(F.col("_w") > 0, F.col("_w").cast("double")).otherwise(1.0)
+    sized = table(sized.select("doc_id", "source", "size", w.alias("_weight")), "mix")
     n = max(1, -(-sized.count() // rows_per_range))
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), 11) + 0.5) / float(2**53)
     d = sized.withColumn("_key", -F.log(u) / F.col("_weight"))
