@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, mixing, rlzdedup, sharding, suffixdedup
+from . import decontaminate, langid, media, mixing, ngramjoin, rlzdedup, sharding, suffixdedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.join(media.describe(media.store(docs)), "digest", "left").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixed(documents(spark, sf_dir), labels).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
@@ -59,6 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
+    "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op7_suffix_dedup": op7_suffix_dedup,
