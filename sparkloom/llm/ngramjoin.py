@@ -17,7 +17,7 @@ pairs are only formed within a shingle where several components are left. Large
 groups of near copies thus cost a few comparisons a member. Every link between
 different components is verified on the whole sets, so none is lost.
 
-Nulls and texts without words have empty sets and are linked with nothing; rows
+A null id is one id, smaller than all others. Null texts and texts without words have empty sets and are linked with nothing; rows
 that repeat a document are copies. Empty tables give no rows.
 """
 
@@ -91,7 +91,7 @@ class _Block:
         ids = docs.column("doc_id").to_numpy()
         g, goff = shingles(buf, offs, size)
         k1, k2 = signatures(g, goff)
-        want = {x for x in zip(*(side.column(c).to_pylist() for c in ("doc_id", "k1", "k2")), strict=True) if x[0] is not None}
+        want = {x for x in zip(*(side.column(c).to_pylist() for c in ("doc_id", "k1", "k2")), strict=True) if x[1] is not None}
         keep: list[int] = []
         for i, x in enumerate(zip(ids.tolist(), k1.tolist(), k2.tolist(), strict=True)):
             if x in want:
@@ -181,7 +181,7 @@ def join(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
     """doc_id, n_shingles and component_id: the least document reachable by links."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(tk.long_id(), F.coalesce("text", F.lit("")).alias("text"))
     _, _, n = tk.block_sizes(spark, docs, block_bytes=block_bytes)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,8 @@ def join(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
     labels = components(links)
     ids = classes.join(labels, F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     d = signs.join(ids, ["n", "k1", "k2"], "left")
-    return d.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    d = d.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return tk.with_null_ids(d, "doc_id", "component_id")
 
 
 def candidate_links(found: DataFrame, percent: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, mixing, ngramjoin, rlzdedup, sharding, suffixdedup
+from . import brownlm, decontaminate, langid, media, mixing, ngramjoin, rlzdedup, sharding, suffixdedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlzdedup.dedup(documents(spark, sf_dir))
 
 
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    d = brownlm.scores(documents(spark, sf_dir), ~held_out)
+    return d.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
@@ -68,6 +74,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_class_lm": op9_class_lm,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}

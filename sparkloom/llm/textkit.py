@@ -8,6 +8,9 @@ words as tokenising characters.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,7 +22,7 @@ BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes hashed at a time, so that long texts take no more memory than short ones.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _table = np.ones(256, dtype=bool)
 _table[[0x20, *range(0x09, 0x0E)]] = False
@@ -145,11 +148,34 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(dup: np.ndarray, length: int) -> np.ndarray:
     """Which positions lie in a window of that length that starts at a set bit."""
-    c = np.cumsum(dup, dtype=np.int64)
+    c = np.cumsum(dup, dtype=np.int32 if len(dup) < 2**31 else np.int64)
     c[length:] -= c[:-length].copy() if len(c) > length else 0
     return c > 0
 
 
+def release() -> None:
+    """Give memory that Arrow and malloc keep back to the system; a worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Stands for a null document id while rows are in blocks: smaller than all others.
+NO_ID = -(2**63)
+
+
+def long_id(name: str = "doc_id"):
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID)).alias(name)
+
+
+def with_null_ids(df, *names: str):
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in names})
+
+
 def block_sizes(spark, docs, text: str = "text", block_bytes: int = 4 << 20):
     """Rows, bytes and the number of blocks of about block_bytes that hold them."""
     from pyspark.sql import functions as F
