@@ -55,7 +55,7 @@ def source_targets(sized: DataFrame, weights: list[int], share: float = 1.5, mos
 
 
 def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, *, quality: DataFrame | None = None, seed: int = 7, cut: bool = True, rows_per_range: int = 2_000) -> DataFrame:
-    """doc_id, size, source, source_size, target, epochs, taken.
+    """doc_id, size, source, source_size, target, epochs, taken, copies.
 
     cut: the document at the budget's edge is taken in part, so that a source's
     taken words are its target, rounded; otherwise documents are whole, and the
@@ -83,4 +83,4 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, mos
     d = d.join(r, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     room = F.col("_left") - (F.col("_first") + F.col("_in") - F.col("size"))
     part = F.greatest(F.least(room, F.col("size")), F.lit(0)) if cut else F.when(2 * room >= F.col("size"), F.when(room > 0, F.col("size")).otherwise(0)).otherwise(0)
-    return d.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return d.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), (F.col("epochs") + (part > 0).cast("long")).cast("int").alias("copies"))

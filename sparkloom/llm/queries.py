@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brownlm, decontaminate, langid, media, mixing, ngramjoin, rlzdedup, sharding, suffixdedup
+from . import brownlm, decontaminate, langid, linededup, media, mixing, ngramjoin, rlzdedup, sharding, suffixdedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and removed lines, and a digest of the kept lines' 64-bit hashes in order."""
+    d = linededup.mark(documents(spark, sf_dir))
+    kept = F.transform(F.filter("lines", lambda x: ~x["removed"]), lambda x: F.hex(x["hash"]))
+    gone = F.filter("lines", lambda x: x["removed"])
+    return d.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.sha2(F.array_join(kept, ","), 256).alias("kept_sha256"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(documents(spark, sf_dir))
 
@@ -72,6 +80,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_class_lm": op9_class_lm,
