@@ -39,7 +39,7 @@ from . import textkit as tk
 
 KEY_BITS = 39
 #: A key in so many blocks has its runs sent as single windows.
-MANY_BLOCKS = 64
+MANY_BLOCKS = 256
 
 
 @dataclass
@@ -134,7 +134,7 @@ def rows(schema: pa.Schema, data: list[tuple]) -> pa.Table:
 
 KEYS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary())])
 REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())])
-PIECES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("docs", pa.binary()), ("lengths", pa.binary()), ("hashes", pa.binary()), ("texts", pa.binary())])
+PIECES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("docs", pa.binary()), ("which", pa.binary()), ("windows", pa.binary()), ("texts", pa.binary())])
 MARKS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("masks", pa.binary()), ("many", pa.binary())])
 
 
@@ -215,17 +215,26 @@ class SharedWindows:
         out = []
         for i, s in by_bucket(bucket[o], n):
             x = o[s]
-            out.append((i, block, ids[x].astype("<i8").tobytes(), size[x].astype("<u2").tobytes(), text[x].tobytes(), b.units[tk.ranges(first[x], size[x])].tobytes()))
+            own, which = np.unique(ids[x], return_inverse=True)
+            units = b.units[tk.ranges(first[x], size[x])].tobytes()
+            windows = (size[x] - self.length + 1).astype(np.uint8)
+            out.append((i, block, own.astype("<i8").tobytes(), which.astype("<u4").tobytes(), windows.tobytes(), units if self.words else pa.compress(units, "zstd", asbytes=True)))
         return rows(PIECES, out)
 
     def answer(self, t: pa.Table) -> pa.Table:
         """Step 4, of all blocks' pieces in a bucket."""
         col = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in t.column(name)]
-        docs, size, text = (col(*x) for x in (("docs", "<i8"), ("lengths", "<u2"), ("hashes", np.uint64)))
-        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        docs, size, text = np.concatenate(docs), np.concatenate(size).astype(np.int64), np.concatenate(text)
-        units = np.concatenate(col("texts", np.uint64 if self.words else np.uint8))
+        ids, which, windows = (col(*x) for x in (("docs", "<i8"), ("which", "<u4"), ("windows", np.uint8)))
+        owner = np.repeat(np.arange(len(ids)), [len(d) for d in which])
+        docs = np.concatenate([d[w] for d, w in zip(ids, which, strict=True)])
+        size = np.concatenate(windows).astype(np.int64) + self.length - 1
+        if self.words:
+            units = np.concatenate(col("texts", np.uint64))
+        else:
+            each = [int(w.sum(dtype=np.int64)) + (self.length - 1) * len(w) for w in windows]
+            units = np.concatenate([np.frombuffer(pa.decompress(x.as_py(), n, "zstd"), np.uint8) for x, n in zip(t.column("texts"), each, strict=True)])
         start = np.cumsum(size) - size
+        text = tk.span_hashes(units, start, start + size)
         # equal pieces of several blocks are compared once, as their smallest document's
         o = np.lexsort((docs, text, size))
         edge = np.append(True, (text[o][1:] != text[o][:-1]) | (size[o][1:] != size[o][:-1]))
@@ -279,15 +288,21 @@ class SharedWindows:
         dup[where[(np.repeat(m, n) >> bit) & np.uint64(1) > 0]] = True
         return dup
 
-    def run(self, docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], schema: pa.Schema, block_bytes: int = 4 << 20) -> DataFrame:
+    def run(self, docs: DataFrame, finish: Callable[[Block, np.ndarray], pa.Table], schema: pa.Schema, block_bytes: int = 2 << 20) -> DataFrame:
         """finish(block, marked windows) gives the rows of a block's documents."""
         ship(docs.sparkSession)
         op, words = self, self.words
         _, _, n = tk.block_sizes(docs.sparkSession, docs, block_bytes=block_bytes)
-        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"))
+        d = docs.select(tk.long_id(), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"))
         blocks = d.groupBy("block")
         number = lambda t: t.column("block")[0].as_py()
 
+        def tidy(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+            """f, after which the worker gives its memory back; Spark tells by the arguments what f takes."""
+            if f.__code__.co_argcount == 1:
+                return lambda t: (f(t), tk.release())[0]
+            return lambda t, other: (f(t, other), tk.release())[0]
+
         def to_keys(t: pa.Table) -> pa.Table:
             return op.send_keys(n, read_block(t, words), number(t))
 
@@ -312,9 +327,9 @@ class SharedWindows:
             b = read_block(t, words)
             return finish(b, op.marked(b, marks))
 
-        keys = blocks.applyInArrow(to_keys, sql_schema(KEYS))
+        keys = blocks.applyInArrow(tidy(to_keys), sql_schema(KEYS))
         reply = keys.groupBy("bucket").applyInArrow(lambda t: shared_keys(t), sql_schema(REPLY))
-        pieces = blocks.cogroup(reply.groupBy("block")).applyInArrow(to_pieces, sql_schema(PIECES))
+        pieces = blocks.cogroup(reply.groupBy("block")).applyInArrow(tidy(to_pieces), sql_schema(PIECES))
         salt = F.when(F.col("bucket") < 0, F.col("block")).otherwise(-1)
-        marks = pieces.groupBy("bucket", salt.alias("salt")).applyInArrow(to_marks, sql_schema(MARKS))
-        return blocks.cogroup(marks.groupBy("block")).applyInArrow(to_rows, sql_schema(schema))
+        marks = pieces.groupBy("bucket", salt.alias("salt")).applyInArrow(tidy(to_marks), sql_schema(MARKS))
+        return tk.with_null_ids(blocks.cogroup(marks.groupBy("block")).applyInArrow(tidy(to_rows), sql_schema(schema)), "doc_id")

@@ -10,7 +10,7 @@ that begins inside it and crosses the boundary, so the next lookup is at the
 first window which the factor does not contain. What no factor covers is
 indexed for the documents that follow.
 
-Nulls: a null text has no words. Documents with equal ids do not count as
+Nulls: a null id is one id, smaller than all others; a null text has no words. Documents with equal ids do not count as
 earlier ones. Windows are judged on the input. Empty tables give no rows.
 """
 
