@@ -8,7 +8,7 @@ the order of documents, and the previous smaller position in suffix order is
 an earlier document's. Where the longest previous factor taken over other
 documents reaches ``length``, the window goes; the first document keeps it.
 
-Nulls: a null text is empty. Documents with equal ids do not count as earlier
+Nulls: a null id is one id, smaller than all others; a null text is empty. Documents with equal ids do not count as earlier
 ones. Windows are judged on the input. Empty tables give no rows.
 """
 
@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame
 from . import textkit as tk
 from .anchors import Block, SharedWindows
 
+#: Suffixes sorted at a time.
+SLICE = 1 << 17
+
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
 
@@ -59,10 +62,23 @@ def earlier_factors(docs: np.ndarray, lengths: np.ndarray, text: np.ndarray, len
     first = np.cumsum(lengths) - lengths
     n = lengths - length + 1
     starts, doc = tk.ranges(first, n), np.repeat(docs, n)
-    order, same = suffixes(text, starts, length)
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     out = np.zeros(len(starts), bool)
-    out[order] = doc[order] > doc[order[head]]
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    lead = np.zeros(len(starts), np.uint64)
+    for j in range(min(8, length)):
+        lead = (lead << np.uint64(8)) | padded[starts + j]
+    by_lead = np.argsort(lead, kind="stable")
+    lead = lead[by_lead]
+    edges = np.append(np.flatnonzero(np.append(True, lead[1:] != lead[:-1])), len(lead))
+    del lead
+    a = 0
+    while a < len(starts):  # a stretch of the suffix array at a time, cut between different first words
+        b = int(edges[np.searchsorted(edges, min(a + SLICE, len(starts)))])
+        part = np.sort(by_lead[a:b])
+        order, same = suffixes(text, starts[part], length)
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        out[part[order]] = doc[part[order]] > doc[part[order[head]]]
+        a = b
     return out
 
 
