@@ -11,8 +11,8 @@ larger l; a pair needs the smaller l of the two. Shingles of one document only
 come first and never bring candidates, so what is compared are documents most
 of whose shingles others have too.
 
-Links are wanted up to components. So each prefix shingle first proposes its
-least and greatest document to all others that have it; after verification,
+Links are wanted up to components. So each prefix shingle first proposes two
+of its documents to all others that have it; after verification,
 pairs are only formed within a shingle where several components are left. Large
 groups of near copies thus cost a few comparisons a member. Every link between
 different components is verified on the whole sets, so none is lost.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import textkit as tk
-from .anchors import KEY_BITS, bucket_of, by_bucket, pack5, rows, sql_schema, unpack5
+from .anchors import KEY_BITS, bucket_of, by_bucket, rows, sql_schema
 from .components import components
 from .shared import table
 
@@ -107,15 +107,28 @@ class _Block:
         return self.g >> np.uint64(64 - KEY_BITS)
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers of 40 bits as compressed differences, byte by byte."""
+    d = np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return len(x).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(d.T).tobytes(), "zstd", asbytes=True)
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    d = np.zeros((n, 8), np.uint8)
+    d[:, :5] = np.frombuffer(pa.decompress(b[4:], 5 * n, "zstd"), np.uint8).reshape(5, n).T
+    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
+
+
 def send_keys(b: _Block, block: int, n: int) -> pa.Table:
     key, count = np.unique(b.keys, return_counts=True)
     raw = (key << np.uint64(1)) | (count > 1).astype(np.uint64)
-    return rows(KEYS, [(i, block, pack5(raw[s])) for i, s in by_bucket(bucket_of(key, n), n)])
+    return rows(KEYS, [(i, block, pack_sorted(raw[s])) for i, s in by_bucket(bucket_of(key, n), n)])
 
 
 def rank_keys(t: pa.Table) -> pa.Table:
     """Rank of keys that two documents or more have: the number of blocks, at least 2."""
-    parts = [unpack5(x.as_py()) for x in t.column("keys")]
+    parts = [unpack_sorted(x.as_py()) for x in t.column("keys")]
     raw = np.concatenate(parts)
     key = raw >> np.uint64(1)
     o = np.argsort(key, kind="stable")
@@ -129,7 +142,7 @@ def rank_keys(t: pa.Table) -> pa.Table:
         s = slice(cuts[i], cuts[i + 1])
         yes = rank[s] > 1
         if yes.any():
-            out.append((b, pack5(key[s][yes]), rank[s][yes].astype(np.uint8).tobytes()))
+            out.append((b, pack_sorted(key[s][yes]), rank[s][yes].astype(np.uint8).tobytes()))
     return rows(RANKS, out)
 
 
@@ -149,14 +162,16 @@ def prefixes(b: _Block, keys: np.ndarray, ranks: np.ndarray, percent: int, most:
     out = []
     cuts = np.concatenate([[0], np.cumsum(sent)])[b.off]
     g, level = b.g[o][sent].view(np.int64), level[sent].astype(np.int32)
+    shared = np.bincount(doc, weights=rank_o > 1, minlength=len(b.n)).astype(np.int64)
+    place = (pos - (b.n - shared)[doc])[sent].astype(np.int32)
     for d in np.flatnonzero(cuts[1:] > cuts[:-1]):
         s = slice(cuts[d], cuts[d + 1])
-        out.append({"doc": int(b.ids[d]), "n": int(b.n[d]), "ell": int(ell[d]), "tokens": g[s], "levels": level[s], "members": pack6(b.g[b.off[d] : b.off[d + 1]])})
+        out.append({"doc": int(b.ids[d]), "n": int(b.n[d]), "shared": int(shared[d]), "places": place[s], "ell": int(ell[d]), "tokens": g[s], "levels": level[s], "members": pack6(b.g[b.off[d] : b.off[d + 1]])})
     return out
 
 
-CANDIDATES = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("ell", pa.int32()), ("tokens", pa.list_(pa.int64())), ("levels", pa.list_(pa.int32())), ("members", pa.binary())])
-CANDIDATES_SQL = "doc long, n long, ell int, tokens array<long>, levels array<int>, members binary"
+CANDIDATES = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("ell", pa.int32()), ("places", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("levels", pa.list_(pa.int32())), ("members", pa.binary())])
+CANDIDATES_SQL = "doc long, n long, shared long, ell int, places array<int>, tokens array<long>, levels array<int>, members binary"
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +221,7 @@ def join(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
         if not len(t):
             return pa.Table.from_pylist([], CANDIDATES)
         sent = [x for x in zip(side.column("keys").to_pylist(), side.column("ranks").to_pylist(), strict=True) if x[0] is not None]
-        keys = np.concatenate([np.zeros(0, np.uint64), *(unpack5(k) for k, _ in sent)])
+        keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(k) for k, _ in sent)])
         ranks = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r, np.uint8) for _, r in sent)])
         o = np.argsort(keys, kind="stable")
         out = pa.Table.from_pylist(prefixes(_Block(t, side, size), keys[o], ranks[o], percent, most), CANDIDATES)
@@ -226,23 +241,38 @@ def join(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
     return tk.with_null_ids(d, "doc_id", "component_id")
 
 
-def candidate_links(found: DataFrame, percent: int) -> DataFrame:
-    """Verified links (x, y) with the components of all links."""
+def candidate_links(found: DataFrame, percent: int, rounds: int = 4) -> DataFrame:
+    """Verified links (x, y) that have the components of all links.
+
+    In each of the first rounds a document is compared with one other only: of
+    the documents that a hash, another each round, puts first or last among those
+    of its open shingles, one outside its component that most of them propose. A shingle is open while
+    its documents are in several components. What is left then is compared in
+    pairs that share enough prefix shingles and could still be similar by size
+    and by the places of these shingles among those that others have.
+    """
     sets = found.select("doc", "members")
-    e = found.select("doc", "n", "ell", F.explode(F.arrays_zip("tokens", "levels")).alias("_t")).select("doc", "n", "ell", F.col("_t.tokens").alias("token"), F.col("_t.levels").alias("level"))
-    e = table(e, "entries")
+    t = F.explode(F.arrays_zip("tokens", "levels", "places")).alias("_t")
+    e = found.select("doc", "n", "shared", "ell", t).select("doc", "n", "shared", "ell", F.col("_t.tokens").alias("token"), F.col("_t.levels").alias("level"), F.col("_t.places").alias("place"))
+    e = table(e.withColumn("c", F.col("doc")), "entries")
     long_enough = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    ends = e.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("a"), F.max(F.struct("doc", "n")).alias("b")).where("a.doc <> b.doc")
-    star = e.join(ends, "token").select("doc", "n", F.explode(F.array("a", "b")).alias("o")).select(F.least("doc", "o.doc").alias("x"), F.greatest("doc", "o.doc").alias("y"), "n", F.col("o.n").alias("m"))
-    star = star.where("x <> y").where(long_enough).select("x", "y").distinct()
-    first = table(verify(star, sets, percent), "links")
-    labels = components(first)
-    e = e.join(labels, F.col("doc") == F.col("node"), "left").select("doc", "n", "ell", "token", "level", F.coalesce("component", "doc").alias("c"))
-    open_ = e.groupBy("token").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b").select("token")
-    e = table(e.join(open_, "token", "left_semi"), "entries")
-    f = e.select(F.col("doc").alias("y"), F.col("n").alias("m"), F.col("ell").alias("ell2"), "token", F.col("level").alias("level2"), F.col("c").alias("c2"))
-    p = e.withColumnRenamed("doc", "x").join(f, "token").where("x < y and c <> c2").where(long_enough)
+    links: DataFrame | None = None
+    for r in range(rounds):
+        pick = F.struct(F.xxhash64("doc", F.lit(r)).alias("h"), "doc", "n", "c")
+        ends = e.groupBy("token").agg(F.min(pick).alias("a"), F.max(pick).alias("b"), F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b")
+        near = e.join(ends, "token").select("doc", "n", "c", F.explode(F.array("a", "b")).alias("o")).withColumn("m", F.col("o.n"))
+        near = near.where("c <> o.c").where(long_enough).groupBy("doc", F.col("o.doc").alias("o")).agg(F.count(F.lit(1)).alias("k"))
+        star = near.groupBy("doc").agg(F.max(F.struct("k", "o"))["o"].alias("o")).select(F.least("doc", "o").alias("x"), F.greatest("doc", "o").alias("y")).distinct()
+        new = table(verify(star, sets, percent), "links")
+        links = new if links is None else links.union(new)
+        labels = components(links)
+        e = e.drop("c").join(labels, F.col("doc") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc")).drop("node", "component")
+        open_ = e.groupBy("token").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b").select("token")
+        e = table(e.join(open_, "token", "left_semi"), "entries")
+    f = e.select(F.col("doc").alias("y"), F.col("n").alias("m"), F.col("shared").alias("shared2"), F.col("ell").alias("ell2"), "token", F.col("level").alias("level2"), F.col("place").alias("place2"), F.col("c").alias("c2"))
     least = F.least("ell", "ell2")
-    p = p.where(F.greatest("level", "level2") <= least).groupBy("x", "y", least.alias("l")).agg(F.count(F.lit(1)).alias("k")).where("k >= l").select("x", "y")
-    rest = table(verify(p, sets, percent), "links")
-    return first.union(rest)
+    reach = F.least("place", "place2") + F.least(F.col("shared") - F.col("place"), F.col("shared2") - F.col("place2"))
+    could = (100 + percent) * reach >= percent * (F.col("n") + F.col("m"))
+    p = e.withColumnRenamed("doc", "x").join(f, "token").where("x < y and c <> c2").where(long_enough & could).where(F.greatest("level", "level2") <= least)
+    p = p.groupBy("x", "y", least.alias("l")).agg(F.count(F.lit(1)).alias("k")).where("k >= l").select("x", "y")
+    return links.union(table(verify(p, sets, percent), "links"))
