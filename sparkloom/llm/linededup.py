@@ -85,7 +85,7 @@ def mark(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
     def to_candidates(t: pa.Table, side: pa.Table) -> pa.Table:
         if not len(t):
             return pa.Table.from_pylist([], nj.CANDIDATES)
-        keys = np.concatenate([np.zeros(0, np.uint64), *(nj.unpack5(k.as_py()) for k in side.column("keys"))])
+        keys = np.concatenate([np.zeros(0, np.uint64), *(nj.unpack_sorted(k.as_py()) for k in side.column("keys"))])
         ranks = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r.as_py(), np.uint8) for r in side.column("ranks"))])
         o = np.argsort(keys, kind="stable")
         out = pa.Table.from_pylist(nj.prefixes(_Lines(t.column("text"), size).block(), keys[o], ranks[o], percent, 3), nj.CANDIDATES)
@@ -95,7 +95,7 @@ def mark(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
     keys = blocks.applyInArrow(to_keys, sql_schema(nj.KEYS))
     ranks = keys.groupBy("bucket").applyInArrow(lambda t: nj.rank_keys(t), sql_schema(nj.RANKS))
     found = blocks.cogroup(ranks.groupBy("block")).applyInArrow(to_candidates, nj.CANDIDATES_SQL)
-    found = table(found, "candidates").dropDuplicates(["doc"])
+    found = found.dropDuplicates(["doc"])
     labels = components(nj.candidate_links(table(found, "candidates"), percent))
     schema = "doc_id long, lines array<struct<line: int, k: long, hash: long>>"
     stored = table(d.mapInArrow(to_lines, schema).withColumn("row", F.monotonically_increasing_id()), "lines")
