@@ -56,7 +56,7 @@ class Trees:
         for lang in self.langs:
             buf, offs = tk.pack(pa.array(texts[lang], pa.large_string()))
             top.append(np.unique(grams(buf, offs, order), return_counts=True))
-        for k in range(order + 1):
+        for k in range(order + 1 if top else 0):
             mask = np.uint64((1 << 8 * (k + 1)) - 1)
             keys = np.unique(np.concatenate([g & mask for g, _ in top]))
             n = np.zeros((len(keys), len(self.langs)))
