@@ -19,12 +19,14 @@ MOST_IDS = 1_000_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without any letter, or null, go."""
+    queries.prepare(spark)
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)), F.lit(0))
     return langid.identify(docs, langid.learn(docs, fold != 1)).where(F.col("lang_pred") != langid.UND).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays."""
+    queries.prepare(spark)
     groups = ngramjoin.join(docs)
     gone = table(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     twice = table(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "twice")
@@ -38,12 +40,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
+    queries.prepare(spark)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminate(docs, bench, keep=docs.columns).where("n_hit = 0").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out as their source's target asks."""
+    queries.prepare(spark)
     mix = queries.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), cut=False)
     copies = mix.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
     d = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
@@ -51,6 +55,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    queries.prepare(spark)
     return sharding.shard(docs, 40)
 
 

@@ -89,7 +89,7 @@ class Trees:
         i = np.searchsorted(self.known, g)
         hit = self.known[np.minimum(i, len(self.known) - 1)] == g if len(self.known) else np.zeros(len(g), bool)
         if not hit.all():
-            if len(self.known) > 2_000_000:
+            if len(self.known) > 400_000:
                 self.known, self.known_bits, new = self.known[:0], self.known_bits[:0], g
             else:
                 new = g[~hit]
@@ -153,5 +153,6 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
                 score = np.where(ok, share, 0.0)
                 rate = np.where(ok, least / np.maximum(np.diff(offs), 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], [*names, "lang_pred", "score", "bits_per_byte"])
+            tk.release()
 
     return docs.mapInArrow(run, schema)

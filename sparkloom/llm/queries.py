@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from . import brownlm, decontaminate, langid, linededup, media, mixing, ngramjoin, rlzdedup, sharding, suffixdedup
 
 
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches: a worker's memory follows the batch, not the partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
