@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from . import textkit as tk
 
 #: Samples in an image row.
 WIDTH = 192
@@ -110,6 +111,8 @@ def interleave(pages: DataFrame, html_col: str = "html", out: str = "parts") ->
         for b in batches:
             parts = [parse_parts(x.as_py()) for x in b.column(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(parts, PARTS)], [*names, out])
+            del b, parts
+            tk.release()
 
     return d.mapInArrow(run, f"{fields}{', ' if fields else ''}{out} {PARTS_SQL}")
 
@@ -150,14 +153,20 @@ def decode(stored: bytes) -> np.ndarray:
 
 
 def features(samples: np.ndarray) -> str:
-    """Size, mean, deviation and an 8 x 8 average hash of the image."""
-    x = samples.astype(np.float64)
-    rows = np.minimum(np.arange(len(x)) * 8 // len(x), 7)
-    sums, n = np.zeros((8, 8)), np.zeros(8)
-    np.add.at(sums, rows, x.reshape(len(x), 8, -1).sum(axis=2))
-    np.add.at(n, rows, x.shape[1] // 8)
-    bits = (sums / np.maximum(n, 1)[:, None] > x.mean()).ravel()
-    return f"{x.shape[1]}x{x.shape[0]};mean={x.mean():.4f};dev={x.std():.4f};hash={np.packbits(bits).tobytes().hex()}"
+    """Size, mean, deviation and an 8 x 8 average hash of the image; exact integer sums, a chunk at a time."""
+    height, width = samples.shape
+    counts, sums, n = np.zeros(256, np.int64), np.zeros((8, 8), np.int64), np.zeros(8, np.int64)
+    for a in range(0, height, tk.CHUNK // width):
+        x = samples[a : a + tk.CHUNK // width]
+        at = np.minimum(np.arange(a, a + len(x)) * 8 // height, 7)
+        counts += np.bincount(x.ravel(), minlength=256)
+        np.add.at(sums, at, x.reshape(len(x), 8, -1).sum(axis=2, dtype=np.int64))
+        n += np.bincount(at, minlength=8) * (width // 8)
+    values = np.arange(256)
+    mean = int(counts @ values) / samples.size
+    dev = max(int(counts @ values**2) / samples.size - mean**2, 0.0) ** 0.5
+    bits = (sums / np.maximum(n, 1)[:, None] > mean).ravel()
+    return f"{width}x{height};mean={mean:.4f};dev={dev:.4f};hash={np.packbits(bits).tobytes().hex()}"
 
 
 def as_pages(docs: DataFrame) -> DataFrame:
@@ -174,6 +183,8 @@ def as_pages(docs: DataFrame) -> DataFrame:
                 lines = "".join(f"<p>{html.escape(x, quote=False)}</p>" for x in (text or "").split("\n"))
                 pages.append(f'<article>{lines}<figure><img src="{REF}{hashlib.sha256(raw).hexdigest()}"><figcaption>{size[-1]} bytes</figcaption></figure></article>')
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(pages, pa.string())], ["doc_id", "n_bytes", "html"])
+            del b, pages
+            tk.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, html string")
 
@@ -197,6 +208,8 @@ def store(docs: DataFrame) -> DataFrame:
                 digests.append(digest.hexdigest())
                 media.append(encode(raw))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
+            del b, digests, media
+            tk.release()
 
     return docs.select("text").mapInArrow(run, "digest string, media binary").dropDuplicates(["digest"])
 
@@ -218,6 +231,8 @@ def describe(media: DataFrame) -> DataFrame:
                 rows.append((digest, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(samples)))
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            del b, rows
+            tk.release()
 
     return media.select("digest", "media").mapInArrow(run, PAYLOAD_SQL)
 
