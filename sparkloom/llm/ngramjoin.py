@@ -244,35 +244,48 @@ def join(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
 def candidate_links(found: DataFrame, percent: int, rounds: int = 4) -> DataFrame:
     """Verified links (x, y) that have the components of all links.
 
-    In each of the first rounds a document is compared with one other only: of
-    the documents that a hash, another each round, puts first or last among those
-    of its open shingles, one outside its component that most of them propose. A shingle is open while
-    its documents are in several components. What is left then is compared in
-    pairs that share enough prefix shingles and could still be similar by size
-    and by the places of these shingles among those that others have.
+    In each of the first rounds a document is compared with two others at most.
+    Each of its open shingles proposes two documents: one that a hash, another
+    each round, puts first, and a hub, which has few shingles of its own and so
+    is near to what a group has in common. Of those outside its component a
+    document takes the best hub and the one that most of its shingles propose;
+    in later rounds chance picks among the hubs and the proposed, so that others
+    are tried. A shingle is open while its documents are in several
+    components. What is left then is compared in pairs that share enough prefix
+    shingles and could still be similar by size and by the places of these
+    shingles among those that others have; the first shared one brings the pair.
     """
     sets = found.select("doc", "members")
+    e = found.where(F.col("shared") * 100 >= F.col("n") * percent)
+    upto = [F.size(F.filter("levels", lambda x, i=i: x <= i)) for i in (1, 2, 3)]
+    prefix = e.select("doc", "tokens", F.array(*upto).alias("upto"))
     t = F.explode(F.arrays_zip("tokens", "levels", "places")).alias("_t")
-    e = found.select("doc", "n", "shared", "ell", t).select("doc", "n", "shared", "ell", F.col("_t.tokens").alias("token"), F.col("_t.levels").alias("level"), F.col("_t.places").alias("place"))
+    e = e.select("doc", "n", "shared", "ell", t).select("doc", "n", "shared", "ell", F.col("_t.tokens").alias("token"), F.col("_t.levels").alias("level"), F.col("_t.places").alias("place"))
     e = table(e.withColumn("c", F.col("doc")), "entries")
     long_enough = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     links: DataFrame | None = None
     for r in range(rounds):
-        pick = F.struct(F.xxhash64("doc", F.lit(r)).alias("h"), "doc", "n", "c")
-        ends = e.groupBy("token").agg(F.min(pick).alias("a"), F.max(pick).alias("b"), F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b")
-        near = e.join(ends, "token").select("doc", "n", "c", F.explode(F.array("a", "b")).alias("o")).withColumn("m", F.col("o.n"))
-        near = near.where("c <> o.c").where(long_enough).groupBy("doc", F.col("o.doc").alias("o")).agg(F.count(F.lit(1)).alias("k"))
-        star = near.groupBy("doc").agg(F.max(F.struct("k", "o"))["o"].alias("o")).select(F.least("doc", "o").alias("x"), F.greatest("doc", "o").alias("y")).distinct()
+        h = F.xxhash64("doc", F.lit(r)).alias("h")
+        part = (F.col("shared") / F.col("n") + (F.pmod(h, F.lit(1024)) / 8192 if r else 0)).alias("part")
+        ends = e.groupBy("token").agg(F.min(F.struct(h, "doc", "n", "c", part)).alias("a"), F.max(F.struct(part, h, "doc", "n", "c")).alias("b"), F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b")
+        both = F.array(*(F.struct(*(F.col(f"{o}.{x}").alias(x) for x in ("part", "doc", "n", "c"))) for o in "ab"))
+        near = e.join(ends.select("token", both.alias("_o")), "token").select("doc", "n", "c", F.explode("_o").alias("o")).withColumn("m", F.col("o.n"))
+        near = near.where("c <> o.c").where(long_enough).groupBy("doc", F.col("o.doc").alias("o")).agg(F.count(F.lit(1)).alias("k"), F.max("o.part").alias("part"))
+        other = F.xxhash64("doc", "o", F.lit(r)) if r else F.col("k")
+        best = F.array(F.max(F.struct(other.alias("_k"), "part", "o"))["o"], F.max(F.struct("part", "k", "o"))["o"])
+        star = near.groupBy("doc").agg(best.alias("o")).select("doc", F.explode("o").alias("o")).select(F.least("doc", "o").alias("x"), F.greatest("doc", "o").alias("y")).distinct()
         new = table(verify(star, sets, percent), "links")
         links = new if links is None else links.union(new)
         labels = components(links)
         e = e.drop("c").join(labels, F.col("doc") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc")).drop("node", "component")
         open_ = e.groupBy("token").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b").select("token")
         e = table(e.join(open_, "token", "left_semi"), "entries")
-    f = e.select(F.col("doc").alias("y"), F.col("n").alias("m"), F.col("shared").alias("shared2"), F.col("ell").alias("ell2"), "token", F.col("level").alias("level2"), F.col("place").alias("place2"), F.col("c").alias("c2"))
+    e = e.join(prefix, "doc")
+    f = e.select(*(F.col(c).alias(n) for c, n in (("doc", "y"), ("n", "m"), ("shared", "shared2"), ("ell", "ell2"), ("token", "token"), ("level", "level2"), ("place", "place2"), ("c", "c2"), ("tokens", "tokens2"), ("upto", "upto2"))))
     least = F.least("ell", "ell2")
     reach = F.least("place", "place2") + F.least(F.col("shared") - F.col("place"), F.col("shared2") - F.col("place2"))
     could = (100 + percent) * reach >= percent * (F.col("n") + F.col("m"))
-    p = e.withColumnRenamed("doc", "x").join(f, "token").where("x < y and c <> c2").where(long_enough & could).where(F.greatest("level", "level2") <= least)
-    p = p.groupBy("x", "y", least.alias("l")).agg(F.count(F.lit(1)).alias("k")).where("k >= l").select("x", "y")
+    common = F.array_intersect(F.slice("tokens", 1, F.element_at("upto", least)), F.slice("tokens2", 1, F.element_at("upto2", least)))
+    brings = (F.size(common) >= least) & (F.get(common, F.lit(0)) == F.col("token"))
+    p = e.withColumnRenamed("doc", "x").join(f, "token").where("x < y and c <> c2").where(long_enough & could).where(F.greatest("level", "level2") <= least).where(brings).select("x", "y")
     return links.union(table(verify(p, sets, percent), "links"))
