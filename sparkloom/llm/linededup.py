@@ -88,7 +88,7 @@ def mark(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
         keys = np.concatenate([np.zeros(0, np.uint64), *(nj.unpack_sorted(k.as_py()) for k in side.column("keys"))])
         ranks = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r.as_py(), np.uint8) for r in side.column("ranks"))])
         o = np.argsort(keys, kind="stable")
-        out = pa.Table.from_pylist(nj.prefixes(_Lines(t.column("text"), size).block(), keys[o], ranks[o], percent, 3), nj.CANDIDATES)
+        out = nj.prefixes(_Lines(t.column("text"), size).block(), keys[o], ranks[o], percent, 3)
         tk.release()
         return out
 

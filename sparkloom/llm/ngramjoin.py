@@ -41,12 +41,19 @@ KEYS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.bin
 RANKS = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("ranks", pa.binary())])
 #: Estimated candidates of a prefix up to which l stays 1, 2, 3.
 COSTS = (32, 256, 2048)
+#: Bits of a shingle's hash; the others number the texts that are sorted together.
+SET_BITS = np.uint64(48)
+TEXTS = 1 << 16
+#: Set elements compared at a time.
+ELEMENTS = 1 << 20
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text, sorted by text, and the offsets of texts.
 
     Lower-cases A-Z. A text of fewer words has its whole sequence as one shingle.
+    A shingle is its hash's upper 48 bits; a text's number and a shingle make one
+    64-bit number, so that a single sort orders the sets of many texts.
     """
     buf = tk.LOWER[buf]
     s, e, woff = tk.words(buf, offs, tk.NOT_SPACE)
@@ -57,11 +64,16 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     first = tk.ranges(woff[:-1], count)
     doc = np.repeat(np.arange(len(n)), count)
     g = tk.span_hashes(h, first, first + width[doc])
-    o = np.lexsort((g, doc))
-    g, doc = g[o], doc[o]
-    keep = np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])) if len(g) else np.zeros(0, bool)
-    g, doc = g[keep], doc[keep]
-    return g, np.searchsorted(doc, np.arange(len(n) + 1))
+    cuts = np.concatenate([[0], np.cumsum(count)])
+    sets, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(n), TEXTS):
+        b = min(a + TEXTS, len(n))
+        s = slice(cuts[a], cuts[b])
+        x = np.sort(((doc[s] - a).astype(np.uint64) << SET_BITS) | (g[s] >> (np.uint64(64) - SET_BITS)))
+        x = x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+        sets.append(x << (np.uint64(64) - SET_BITS))
+        sizes.append(np.bincount((x >> SET_BITS).astype(np.int64), minlength=b - a))
+    return np.concatenate(sets), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def signatures(g: np.ndarray, goff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +89,8 @@ def pack6(x: np.ndarray) -> bytes:
     return np.ascontiguousarray((x >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def unpack6(b: bytes) -> np.ndarray:
-    raw = np.zeros((len(b) // 6, 8), np.uint8)
+def unpack6(b: bytes | pa.Buffer) -> np.ndarray:
+    raw = np.zeros((memoryview(b).nbytes // 6, 8), np.uint8)
     raw[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
     return raw.view("<u8").ravel()
 
@@ -146,34 +158,67 @@ def rank_keys(t: pa.Table) -> pa.Table:
     return rows(RANKS, out)
 
 
-def prefixes(b: _Block, keys: np.ndarray, ranks: np.ndarray, percent: int, most: int) -> list[dict]:
-    """Of documents with candidates: shared prefix shingles, their levels, l, and the set."""
+def prefixes(b: _Block, keys: np.ndarray, ranks: np.ndarray, percent: int, most: int) -> pa.Table:
+    """Of documents with candidates: shared prefix shingles, their levels, l, and the set.
+
+    A document too few of whose shingles others have is similar to none and left out.
+    """
     key = b.keys
     i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
     rank = np.where(keys[i] == key, ranks[i], 1).astype(np.int64) if len(keys) else np.ones(len(key), np.int64)
     doc = np.repeat(np.arange(len(b.n)), b.n)
-    o = np.lexsort((b.g, rank, doc))
-    rank_o, pos = rank[o], np.arange(len(o)) - b.off[doc]
+    shared = np.bincount(doc[rank > 1], minlength=len(b.n))
+    yes = np.flatnonzero((rank > 1) & (shared * 100 >= b.n * percent)[doc])
+    # shingles that no other has come first in the order, so only the others are sorted
+    if len(b.n) < 1 << 24:  # document, rank and place fit one number
+        x = (doc[yes].astype(np.uint64) << np.uint64(40)) | (rank[yes].astype(np.uint64) << np.uint64(32)) | np.arange(len(yes), dtype=np.uint64)
+        o = yes[(np.sort(x) & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    else:
+        o = yes[np.lexsort((rank[yes], doc[yes]))]
+    doc, rank, g = doc[o], rank[o], b.g[o]
+    place = np.arange(len(o)) - np.searchsorted(doc, doc)
+    pos = place + (b.n - shared)[doc]
     base = b.n - -(-percent * b.n // 100) + 1
-    cost = np.bincount(doc, weights=np.where(pos < base[doc], rank_o - 1, 0), minlength=len(b.n))
+    cost = np.bincount(doc, weights=np.where(pos < base[doc], rank - 1, 0), minlength=len(b.n))
     ell = np.minimum(1 + sum((cost > c).astype(np.int64) for c in COSTS[: most - 1]), np.maximum(b.n - base + 1, 1))
     level = np.maximum(pos - base[doc] + 2, 1)
-    sent = (level <= ell[doc]) & (rank_o > 1)
-    out = []
-    cuts = np.concatenate([[0], np.cumsum(sent)])[b.off]
-    g, level = b.g[o][sent].view(np.int64), level[sent].astype(np.int32)
-    shared = np.bincount(doc, weights=rank_o > 1, minlength=len(b.n)).astype(np.int64)
-    place = (pos - (b.n - shared)[doc])[sent].astype(np.int32)
-    for d in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        s = slice(cuts[d], cuts[d + 1])
-        out.append({"doc": int(b.ids[d]), "n": int(b.n[d]), "shared": int(shared[d]), "places": place[s], "ell": int(ell[d]), "tokens": g[s], "levels": level[s], "members": pack6(b.g[b.off[d] : b.off[d + 1]])})
-    return out
+    sent = level <= ell[doc]
+    count = np.bincount(doc[sent], minlength=len(b.n))
+    docs = np.flatnonzero(count)
+    offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    lists = lambda x, kind: pa.ListArray.from_arrays(offsets(count[docs]), pa.array(x[sent], kind))
+    n = b.n[docs]
+    members = pa.Array.from_buffers(pa.binary(), len(docs), [None, offsets(6 * n).buffers()[1], pa.py_buffer(pack6(b.g[tk.ranges(b.off[docs], n)]))])
+    return pa.table([pa.array(b.ids[docs]), pa.array(n), pa.array(shared[docs]), pa.array(ell[docs], pa.int32()), lists(place, pa.int32()), lists(g.view(np.int64), pa.int64()), lists(level, pa.int32()), members], schema=CANDIDATES)
 
 
 CANDIDATES = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("ell", pa.int32()), ("places", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("levels", pa.list_(pa.int32())), ("members", pa.binary())])
 CANDIDATES_SQL = "doc long, n long, shared long, ell int, places array<int>, tokens array<long>, levels array<int>, members binary"
 
 
+def packed_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sets end to end, and their n+1 offsets."""
+    column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return unpack6(column.buffers()[2][int(offs[0]) : int(offs[-1])]), (offs - offs[0]) // 6
+
+
+def similar(a: pa.Array, b: pa.Array, percent: int) -> np.ndarray:
+    """Which pairs of packed sets are as similar as asked for, many pairs at a time."""
+    if not len(a):
+        return np.zeros(0, bool)
+    (u, uoff), (v, voff) = packed_sets(a), packed_sets(b)
+    common, i, total = np.zeros(len(a), np.int64), 0, uoff + voff
+    while i < len(a):
+        j = min(max(i + 1, int(np.searchsorted(total, total[i] + ELEMENTS, side="right")) - 1), i + TEXTS, len(a))
+        pair = np.arange(j - i, dtype=np.uint64) << SET_BITS
+        x = np.concatenate([np.repeat(pair, np.diff(o[i : j + 1])) | w[o[i] : o[j]] for w, o in ((u, uoff), (v, voff))])
+        x.sort()
+        common[i:j] = np.bincount((x[1:][x[1:] == x[:-1]] >> SET_BITS).astype(np.int64), minlength=j - i)
+        i = j
+    return 100 * common >= percent * (np.diff(total) - common)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose sets are as similar as asked for."""
     a = sets.select(F.col("doc").alias("x"), F.col("members").alias("a"))
@@ -181,12 +226,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            ok = []
-            for p, q in zip(t.column(2), t.column(3), strict=True):
-                u, v = unpack6(p.as_py()), unpack6(q.as_py())
-                both = np.sort(np.concatenate([u, v]))
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(u) + len(v) - common))
+            ok = similar(t.column(2), t.column(3), percent)
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
@@ -224,7 +264,7 @@ def join(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
         keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(k) for k, _ in sent)])
         ranks = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r, np.uint8) for _, r in sent)])
         o = np.argsort(keys, kind="stable")
-        out = pa.Table.from_pylist(prefixes(_Block(t, side, size), keys[o], ranks[o], percent, most), CANDIDATES)
+        out = prefixes(_Block(t, side, size), keys[o], ranks[o], percent, most)
         tk.release()
         return out
 
@@ -256,11 +296,10 @@ def candidate_links(found: DataFrame, percent: int, rounds: int = 4) -> DataFram
     shingles among those that others have; the first shared one brings the pair.
     """
     sets = found.select("doc", "members")
-    e = found.where(F.col("shared") * 100 >= F.col("n") * percent)
     upto = [F.size(F.filter("levels", lambda x, i=i: x <= i)) for i in (1, 2, 3)]
-    prefix = e.select("doc", "tokens", F.array(*upto).alias("upto"))
+    prefix = found.select("doc", "tokens", F.array(*upto).alias("upto"))
     t = F.explode(F.arrays_zip("tokens", "levels", "places")).alias("_t")
-    e = e.select("doc", "n", "shared", "ell", t).select("doc", "n", "shared", "ell", F.col("_t.tokens").alias("token"), F.col("_t.levels").alias("level"), F.col("_t.places").alias("place"))
+    e = found.select("doc", "n", "shared", "ell", t).select("doc", "n", "shared", "ell", F.col("_t.tokens").alias("token"), F.col("_t.levels").alias("level"), F.col("_t.places").alias("place"))
     e = table(e.withColumn("c", F.col("doc")), "entries")
     long_enough = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     links: DataFrame | None = None
