@@ -19,9 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Shuffle files of a query are removed when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet and read it again; lost executors cost nothing."""
+    """Write df once as Parquet and read it again; lost executors cost nothing.
+
+    What the write shuffled is removed with its end, as only the table is read later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
