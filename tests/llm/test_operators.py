@@ -262,6 +262,56 @@ def test_class_lm(docs, empty):
     assert brownlm.scores(empty, F.lit(True)).count() == 0
 
 
+def test_class_lm_assigns_rare_words(spark):
+    r = random.Random(3)
+    noun = lambda: r.choice(["n0", "n0", f"n{r.randint(1, 40)}"])
+    verb = lambda: r.choice(["v0", "v0", f"v{r.randint(1, 40)}"])
+    texts = [f"the {noun()} to {verb()}" for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    size = sum(map(len, texts))
+    got = {x.doc_id: x.score for x in brownlm.scores(df, F.lit(True), frequent_share=size // 100, block_bytes=512).collect()}
+    # only n0, v0, the, to and the end are in the core; a rare word is to join the one that stands where it does
+    words = [["the", "N", "to", "V", "end"]] * len(texts)
+    count = Counter(w for t in texts for w in t.split(" "))
+    assert sum(c >= size / (size // 100) for c in count.values()) == 4
+    pair = Counter(p for w in words for p in zip(["end", *w[:-1]], w, strict=True))
+    of, total = Counter(p[0] for p in pair.elements()), sum(pair.values())
+    into = Counter(p[1] for p in pair.elements())
+    unknown = max(0.5 * sum(c == 1 for c in count.values()), 1) / (total + 1)
+    step = {p: (n + 8 * into[p[1]] / total) / (of[p[0]] + 8) * (1 - unknown) / into[p[1]] for p, n in pair.items()}
+    for i, t in enumerate(texts):
+        w = words[i]
+        assert got[i] == pytest.approx(sum(np.log10(step[p]) for p in zip(["end", *w[:-1]], w, strict=True)) + sum(np.log10(count[x]) for x in t.split(" ")) + np.log10(len(texts)))
+
+
+def test_best_classes():
+    """Each word's class against the likelihood of all bigrams, counted anew with the word in every class."""
+    r = np.random.default_rng(4)
+    k, m = 5, 30
+    of = np.concatenate([np.arange(1, k), r.integers(1, k, m - k + 1)])
+    bigrams = r.poisson(r.gamma(0.3, 4, (m, m))).astype(float)
+
+    def pairs(of):
+        member = np.eye(k)[of]
+        return member.T @ bigrams @ member
+
+    def likelihood(of):
+        f = lambda v: float((v[v > 0] * np.log(v[v > 0])).sum())
+        p = pairs(of)
+        return f(p) - f(p.sum(axis=0)) - f(p.sum(axis=1))
+
+    word, code, n = [], [], []
+    for w in range(m):
+        row = np.concatenate([bigrams[:, w] @ np.eye(k)[of], bigrams[w] @ np.eye(k)[of], [bigrams[w, w]]])
+        for c in np.flatnonzero(row):
+            word, code, n = [*word, w], [*code, c], [*n, row[c]]
+    got = brownlm.best_classes(pairs(of), of, np.array(word), np.array(code), np.array(n))
+    for w in range(m):
+        each = [likelihood(np.where(np.arange(m) == w, c, of)) for c in range(1, k)]
+        assert each[got[w] - 1] == pytest.approx(max(each), abs=1e-9)
+    assert (got != of).any()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
