@@ -6,7 +6,11 @@ together; here they are sorted into a suffix array, cut at ``length`` bytes.
 Texts are laid out by document, so among equal prefixes the suffix array keeps
 the order of documents, and the previous smaller position in suffix order is
 an earlier document's. Where the longest previous factor taken over other
-documents reaches ``length``, the window goes; the first document keeps it.
+documents reaches ``length``, the window goes; the first document keeps it. No
+array of these factors is built, with previous and next smaller positions: at
+this one threshold it's enough to compare each suffix with the first of its
+group of equal windows. Runs that are equal within or across blocks are marked
+by a 64-bit hash before, in ``anchors``.
 
 Nulls: a null id is one id, smaller than all others; a null text is empty. Documents with equal ids do not count as earlier
 ones. Windows are judged on the input. Empty tables give no rows.
