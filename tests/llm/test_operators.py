@@ -245,6 +245,34 @@ def test_language(docs, empty):
     assert np.exp2(-bits[:256]).sum(axis=0).max() <= 1 + 1e-9
 
 
+def test_code_lengths():
+    """Bits and the best language by counting contexts anew for every byte."""
+    r = random.Random(8)
+    text = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 60)))
+    learned = {"a": [text("abcde ü") for _ in range(6)], "b": [text("defgh ") for _ in range(6)]}
+    trees, texts = langid.Trees(learned), ["", "zzz", *(text("abcdefgh üx") for _ in range(20))]
+    seen = {}
+    for lang, ts in learned.items():
+        for b in (bytes(3) + t.encode() for t in ts):
+            for i in range(3, len(b)):
+                for k in range(4):
+                    seen.setdefault((lang, b[i - k : i]), Counter())[b[i]] += 1
+
+    def bits(lang, before, byte):
+        p = 1 / 256
+        for k in range(4):
+            c = seen.get((lang, before[3 - k :]))
+            if c:
+                p = (c[byte] if c[byte] else len(c) * p) / (sum(c.values()) + len(c))
+        return -np.log2(p)
+
+    buf, offs = langid.tk.pack(langid.pa.array(texts))
+    got = trees.code_lengths(buf, offs)
+    for t, row in zip(texts, got, strict=True):
+        b = bytes(3) + t.encode()
+        assert row == pytest.approx([sum(bits(x, b[i - 3 : i], b[i]) for i in range(3, len(b))) for x in "ab"])
+
+
 def test_class_lm(docs, empty):
     train = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2
     count, tokens = Counter(), {}
