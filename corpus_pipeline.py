@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkloom.llm import decontaminate, langid, ngramjoin, queries, sharding
 from sparkloom.llm.shared import table
@@ -25,17 +26,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays."""
+    """Of each group of linked documents the one with the least id stays.
+
+    A document is an id with a text: rows that repeat both are copies, of which
+    one stays; rows that share an id, or have none, and differ in text are judged
+    each by itself. A null id is smaller than all others.
+    """
     queries.prepare(spark)
-    groups = ngramjoin.join(docs)
-    gone = table(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    twice = table(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "twice")
     small = lambda df: F.broadcast(df) if df.count() <= MOST_IDS else df
-    kept = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    if twice.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return kept.join(small(twice), same, "left_anti").unionByName(kept.join(small(twice), same, "left_semi").dropDuplicates(["doc_id"]))
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        gone = table(ngramjoin.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
+        return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    d = docs.withColumn("_text", F.sha2("text", 256))
+    ids = d.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_digest")).distinct().orderBy("_id", "_digest")
+    numbered = spark.createDataFrame(ids.rdd.zipWithIndex(), StructType().add("_of", ids.schema).add("_key", "long"))
+    keys = table(numbered.select("_of.*", "_key"), "keys")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_digest"))
+    d = table(d.join(keys, same).select(*docs.columns, "_key").dropDuplicates(["_key"]), "keyed")
+    gone = table(ngramjoin.join(d.select(F.col("_key").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
+    return d.join(small(gone), F.col("_key") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

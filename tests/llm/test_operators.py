@@ -340,6 +340,19 @@ def test_best_classes():
     assert (got != of).any()
 
 
+def test_near_duplicates_by_row(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(9)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, d), (None, e), (None, a + " x"), (7, e), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((x.doc_id, x.text) for x in p.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(2, b), (3, c), (3, d), (None, e), (None, a + " x"), (8, None), (None, None)])
+    got = Counter((x.doc_id, x.text) for x in p.near_duplicates(spark, docs.where("doc_id = 1 or doc_id > 6"), "").collect())
+    assert got == Counter([(1, a), (7, e), (8, None)])
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
