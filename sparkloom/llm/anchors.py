@@ -122,10 +122,11 @@ def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
 
 
 def by_bucket(buckets: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
-    """Slices of a sorted array of bucket numbers."""
-    cuts = np.searchsorted(buckets, np.arange(n + 1))
-    for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        yield int(i), slice(int(cuts[i]), int(cuts[i + 1]))
+    """Slices of a sorted array of bucket numbers, one for each number in it."""
+    if len(buckets):
+        edges = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(buckets[a]), slice(a, b)
 
 
 def rows(schema: pa.Schema, data: list[tuple]) -> pa.Table:

@@ -1,117 +1,268 @@
 """Operator 6: remove repeated lines by an exact set-similarity join.
 
 A line's tokens are its distinct shingles of five lower-cased words (a shorter
-line has its whole sequence as one). Tokens are ordered by rarity over all
-lines, prefixes are joined with length and positional filters, and pairs are
-verified by Jaccard similarity, all as in ``ngramjoin``, with the distinct
-lines in place of documents. Of each group of lines that links connect, the
-first in order of document id and line number stays; later ones are removed.
+line has its whole sequence as one). A line goes if a line before it, in order
+of document id and line number, has a Jaccard similarity of ``percent`` to it;
+lines are judged on the input, not on what is left. So the first of several
+copies stays, and a line that only resembles a later one stays too.
+
+1. Texts are read once, in pieces of ``block_bytes``. A piece sends its distinct
+   token sets to buckets by their signature, with the first place of each.
+2. A bucket folds equal sets to one with the first place of all.
+3. Tokens are ordered by rarity over the distinct sets, and a set's prefix is
+   taken, both as in ``ngramjoin``. Sets too few of whose tokens others have
+   are left out.
+4. A set is compared with two earlier ones that its prefix tokens propose: the
+   earliest, and the one with the fewest tokens of its own. What found no match
+   is then compared with every earlier set that passes the prefix, length and
+   positional filters. One match is enough, so a large group of near copies
+   costs a few comparisons a member. A group of g sets that share their rare
+   tokens, could be similar by all filters and yet are not, costs g * g / 2.
+5. Buckets tell each piece which of its sets to remove; texts are not shuffled.
 
 Nulls: a null id is one id, smaller than all others; a null text has no lines.
 Lines without words are neither counted nor removed. Rows that repeat a
-document's id share their lines' places, so neither removes the other's.
-Empty tables give no rows.
+document's id share their lines' places, so neither removes the other's. Other
+columns are ignored, whatever their names. A very long text makes a piece of
+its own, which one worker holds. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import ngramjoin as nj
 from . import textkit as tk
-from .anchors import rows, sql_schema
-from .components import components
+from .anchors import by_bucket, rows, sql_schema
 from .shared import table
 
-LINES = pa.schema([("doc_id", pa.int64()), ("lines", pa.list_(pa.struct([("line", pa.int32()), ("k", pa.int64()), ("hash", pa.int64())])))])
-
-
-class _Lines:
-    """Shingle sets of the lines of a batch of texts; lines without words are left out."""
-
-    def __init__(self, texts: pa.ChunkedArray | pa.Array, size: int):
-        buf, offs = tk.pack(texts)
-        cuts = np.union1d(offs, np.flatnonzero(buf == 0x0A) + 1)
-        cuts = cuts if len(cuts) > 1 else np.zeros(2, np.int64)
-        doc = np.searchsorted(offs, cuts[:-1], side="right") - 1
-        g, goff = nj.shingles(buf, cuts, size)
-        n = np.diff(goff)
-        keep = n > 0
-        first = np.searchsorted(cuts[:-1], offs[:-1])
-        self.doc, self.line = doc[keep], (np.arange(len(n)) - first[np.minimum(doc, len(first) - 1)])[keep] if len(first) else doc[keep]
-        self.k = nj.signatures(g, goff)[0][keep]
-        self.hash = tk.span_hashes(buf, cuts[:-1][keep], cuts[1:][keep]).view(np.int64)
-        self.sets, self.g, self.goff = np.flatnonzero(keep), g, goff
-
-    def block(self) -> nj._Block:
-        """The distinct sets, with their signatures as ids."""
-        ids, at = np.unique(self.k, return_index=True)
-        b = object.__new__(nj._Block)
-        b.ids = ids
-        rows_ = self.sets[at]
-        b.n = np.diff(self.goff)[rows_]
-        b.g = self.g[tk.ranges(self.goff[:-1][rows_], b.n)]
-        b.off = np.concatenate([[0], np.cumsum(b.n)])
-        return b
-
-
-def mark(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int = 2 << 20) -> DataFrame:
-    """row, doc_id, n_lines and lines: array of (line, hash, removed) in order."""
+_bin = pa.binary()
+#: One row a piece (bucket -1): its texts and which of its distinct sets each line has; and one a bucket it sends sets to.
+PIECES = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), *((c, _bin) for c in ("ids", "sizes", "texts", "which", "k1", "k2", "n", "docs", "lines", "sets"))])
+#: Distinct sets of a bucket with their first places, and who sent which of them; late: the sender's first place isn't the first of all.
+SETS = pa.schema([("bucket", pa.int64()), *((c, _bin) for c in ("n", "sets", "docs", "lines", "blocks", "counts", "which", "late"))])
+REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("gone", _bin)])
+ROWS = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+CANDIDATES_SQL = f"{nj.CANDIDATES_SQL}, fdoc long, fline int"
+#: A line without words.
+NO_SET = np.uint32(2**32 - 1)
+
+
+def line_cuts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all lines without their newlines, and the offsets of texts' lines; a text has one more line than newlines."""
+    nl = np.flatnonzero(buf == 0x0A)
+    count = np.searchsorted(nl, offs)
+    first = count + np.arange(len(offs))
+    starts, ends = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    at = np.arange(len(nl)) + np.searchsorted(offs, nl, side="right") - 1
+    starts[first[:-1]], ends[first[1:] - 1] = offs[:-1], offs[1:]
+    starts[at + 1], ends[at] = nl + 1, nl
+    return starts, ends, first
+
+
+def pieces(texts: list[pa.Array], ids: list[pa.Array], block: int, n: int, size: int) -> pa.Table:
+    """Rows of a piece: see PIECES."""
+    buf, offs = tk.pack(pa.chunked_array(texts))
+    own = np.concatenate([x.to_numpy(zero_copy_only=False) for x in ids])
+    starts, ends, first = line_cuts(buf, offs)
+    # sets are made of stretches that end before the next line's start; a newline is white space
+    g, goff = nj.shingles(buf, np.append(starts, len(buf)), size) if len(starts) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    k1, k2 = nj.signatures(g, goff)
+    has = np.flatnonzero(np.diff(goff))
+    doc = np.repeat(own, np.diff(first))[has]
+    line = (np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first)))[has]
+    k1, k2 = k1[has], k2[has]
+    to = bucket_of(k1, n)
+    o = np.lexsort((line, doc, k2, k1, to))
+    edge = np.append(True, (k1[o][1:] != k1[o][:-1]) | (k2[o][1:] != k2[o][:-1])) if len(o) else np.zeros(0, bool)
+    x = o[edge]
+    which = np.full(len(starts), NO_SET, np.uint32)
+    which[has[o]] = np.cumsum(edge) - 1
+    zstd = lambda v: pa.compress(np.ascontiguousarray(v).tobytes(), "zstd", asbytes=True)
+    out = [(block, -1, own.astype("<i8").tobytes(), np.diff(offs).astype("<i8").tobytes(), zstd(buf), zstd(which), *[b""] * 6)]
+    m = np.diff(goff)[has]
+    for i, s in by_bucket(to[x], n):
+        y = x[s]
+        members = nj.pack6(g[tk.ranges(goff[:-1][has[y]], m[y])])
+        out.append((block, i, b"", b"", b"", b"", k1[y].tobytes(), k2[y].tobytes(), m[y].astype("<u4").tobytes(), doc[y].astype("<i8").tobytes(), line[y].astype("<u4").tobytes(), members))
+    return rows(PIECES, out)
+
+
+def bucket_of(k: np.ndarray, n: int) -> np.ndarray:
+    return (((k.view(np.uint64) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def fold(t: pa.Table) -> pa.Table:
+    """Step 2, of all pieces' sets in a bucket."""
+    col = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(c)])
+    k1, k2, n, docs, lines = col("k1", "<i8"), col("k2", "<i8"), col("n", "<u4").astype(np.int64), col("docs", "<i8"), col("lines", "<u4")
+    raw = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("sets")])
+    counts = np.array([len(x.as_py()) // 8 for x in t.column("k1")], "<u4")
+    o = np.lexsort((lines, docs, k2, k1))
+    edge = np.append(True, (k1[o][1:] != k1[o][:-1]) | (k2[o][1:] != k2[o][:-1]))
+    x, group = o[edge], np.empty(len(o), np.int64)
+    group[o] = np.cumsum(edge) - 1
+    late = (docs != docs[x][group]) | (lines != lines[x][group])
+    at = 6 * (np.cumsum(n) - n)
+    return rows(SETS, [(
+        t.column("bucket")[0].as_py(), n[x].astype("<u4").tobytes(), raw[tk.ranges(at[x], 6 * n[x])].tobytes(), docs[x].tobytes(), lines[x].tobytes(),
+        np.array(t.column("block").to_pylist(), "<i8").tobytes(), counts.tobytes(), group.astype("<u4").tobytes(), late.astype("u1").tobytes(),
+    )])
+
+
+def sets_of(r: dict) -> nj._Block:
+    """A bucket's distinct sets; their ids are numbered within the bucket."""
+    b = object.__new__(nj._Block)
+    b.n = np.frombuffer(r["n"], "<u4").astype(np.int64)
+    b.ids = (r["bucket"] << 32) + np.arange(len(b.n))
+    b.g = nj.unpack6(r["sets"])
+    b.off = np.concatenate([[0], np.cumsum(b.n)])
+    return b
+
+
+def candidates(t: pa.Table, side: pa.Table, percent: int) -> pa.Table:
+    """Step 3: prefixes and first places of a bucket's sets."""
+    none = pa.schema([*nj.CANDIDATES, ("fdoc", pa.int64()), ("fline", pa.int32())])
+    if not len(t):
+        return pa.Table.from_pylist([], none)
+    r = t.to_pylist()[0]
+    keys = np.concatenate([np.zeros(0, np.uint64), *(nj.unpack_sorted(k.as_py()) for k in side.column("keys"))])
+    ranks = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_py(), np.uint8) for x in side.column("ranks"))])
+    o = np.argsort(keys, kind="stable")
+    out = nj.prefixes(sets_of(r), keys[o], ranks[o], percent, 3)
+    at = out.column("doc").to_numpy() - (r["bucket"] << 32)
+    first = [np.frombuffer(r["docs"], "<i8")[at], np.frombuffer(r["lines"], "<u4")[at].astype(np.int32)]
+    return out.append_column(none.field("fdoc"), pa.array(first[0])).append_column(none.field("fline"), pa.array(first[1]))
+
+
+def matched(found: DataFrame, percent: int) -> DataFrame:
+    """Step 4: ids of the sets that an earlier one matches."""
+    sets = found.select("doc", "members")
+    t = F.explode(F.arrays_zip("tokens", "levels", "places")).alias("_t")
+    own = ["doc", "n", "shared", "ell", "fdoc", "fline"]
+    e = found.select(*own, t).select(*own, F.col("_t.tokens").alias("token"), F.col("_t.levels").alias("level"), F.col("_t.places").alias("place"))
+    e = table(e, "entries")
+    place = F.struct("fdoc", "fline")
+    # a set of n tokens, shared of which others have, can't match one of more than this many
+    most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
+    by = lambda *first: F.struct(*first, "doc", "n", "shared", "fdoc", "fline")
+    ends = e.groupBy("token").agg(F.min(by(place.alias("p"))).alias("a"), F.max(by((F.col("shared") / F.col("n")).alias("p"))).alias("b"), F.min("n").alias("least"), F.count(F.lit(1)).alias("many"))
+    ends = ends.where("many > 1").select(F.col("token").alias("_token"), "least", F.array(*(F.struct(*(F.col(f"{o}.{x}").alias(x) for x in ("doc", "n", "shared", "fdoc", "fline"))) for o in "ab")).alias("_o"), F.col("a.p").alias("_first"))
+    # entries with an earlier set in their posting, small enough to match
+    e = e.join(ends, F.col("token") == F.col("_token")).where(most >= F.col("least"))
+    open_ = table(e.where(place > F.col("_first")).select(*own, "token", "level", "place", "_o"), "open")
+    could = F.least("shared", "o.shared") * (100 + percent) >= percent * (F.col("n") + F.col("o.n"))
+    near = open_.select("doc", "n", "shared", place.alias("p"), F.explode("_o").alias("o")).where(F.struct("o.fdoc", "o.fline") < F.col("p")).where(could)
+    near = near.where(F.least("n", "o.n") * 100 >= F.greatest("n", "o.n") * percent).groupBy("doc", F.col("o.doc").alias("o")).agg(F.count(F.lit(1)).alias("k"))
+    best = near.groupBy("doc").agg(F.max_by(F.col("o"), F.struct("k", "o")).alias("o"), F.min_by(F.col("o"), F.struct("k", "o")).alias("o2"))
+    stars = best.select(F.col("doc").alias("x"), F.explode(F.array_distinct(F.array("o", "o2"))).alias("y"))
+    gone = table(nj.verify(stars, sets, percent).select(F.col("x").alias("_gone")).distinct(), "gone")
+    # what is left meets every earlier set of its postings
+    left = table(open_.drop("_o").join(gone, F.col("doc") == F.col("_gone"), "left_anti"), "left")
+    some = left.groupBy(F.col("token").alias("_token")).agg(F.max(place).alias("_last"), F.max(most).alias("_most")).where("_token is not null")
+    f = e.drop("_o", "_first", "least", "_token").join(some, F.col("token") == F.col("_token")).where(place < F.col("_last")).where(F.col("n") <= F.col("_most"))
+    f = f.select(*(F.col(c).alias(f"{c}2") for c in (*own, "level", "place")), F.col("token").alias("token2"))
+    least = F.least("ell", "ell2")
+    reach = F.least("place", "place2") + F.least(F.col("shared") - F.col("place"), F.col("shared2") - F.col("place2"))
+    p = left.join(f, F.col("token") == F.col("token2")).where(F.struct("fdoc2", "fline2") < place)
+    p = p.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent).where((100 + percent) * reach >= percent * (F.col("n") + F.col("n2"))).where(F.greatest("level", "level2") <= least)
+    p = p.groupBy(F.col("doc").alias("x"), F.col("doc2").alias("y")).agg(F.count(F.lit(1)).alias("k"), F.first(least).alias("ell")).where("k >= ell").select("x", "y")
+    return gone.union(table(nj.verify(p, sets, percent).select("x").distinct(), "gone"))
+
+
+def replies(t: pa.Table, gone: pa.Table) -> pa.Table:
+    """Step 5: of each set that a piece sent to a bucket, whether its first line there goes too."""
+    if not len(t):
+        return rows(REPLY, [])
+    r = t.to_pylist()[0]
+    bad = np.zeros(len(r["docs"]) // 8, bool)
+    bad[gone.column("_gone").to_numpy() - (r["bucket"] << 32)] = True
+    bits = bad[np.frombuffer(r["which"], "<u4")] | np.frombuffer(r["late"], "u1").astype(bool)
+    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(r["counts"], "<u4").astype(np.int64))])
+    return rows(REPLY, [(b, r["bucket"], bits[cuts[i] : cuts[i + 1]].astype("u1").tobytes()) for i, b in enumerate(np.frombuffer(r["blocks"], "<i8").tolist())])
+
+
+def finished(t: pa.Table, reply: pa.Table, texts: bool) -> pa.Table:
+    """Rows of a piece's documents."""
+    if not len(t):
+        return pa.Table.from_pylist([], ROWS)
+    r = t.to_pylist()[0]
+    ids, sizes = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["sizes"], "<i8")
+    offs = np.concatenate([[0], np.cumsum(sizes)])
+    buf = np.frombuffer(pa.decompress(r["texts"], int(offs[-1]), "zstd"), np.uint8)
+    starts, ends, first = line_cuts(buf, offs)
+    which = np.frombuffer(pa.decompress(r["which"], 4 * len(starts), "zstd"), "<u4")
+    bits = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for _, x in sorted(zip(reply.column("bucket").to_pylist(), reply.column("gone").to_pylist(), strict=True)))]).astype(bool)
+    has = which != NO_SET
+    w = which[has].astype(np.int64)
+    doc = np.repeat(np.arange(len(ids)), np.diff(first))
+    # a place is an id and a line number: rows that repeat an id share places
+    line = np.arange(len(starts)) - first[:-1][doc] if len(starts) else np.zeros(0, np.int64)
+    idn, ln = ids[doc][has], line[has]
+    o = np.lexsort((ln, idn, w))
+    edge = np.append(True, w[o][1:] != w[o][:-1]) if len(o) else np.zeros(0, bool)
+    head = o[np.maximum.accumulate(np.where(edge, np.arange(len(o)), 0))] if len(o) else o
+    later = np.zeros(len(w), bool)
+    later[o] = (idn[o] != idn[head]) | (ln[o] != ln[head])
+    gone = np.zeros(len(starts), bool)
+    gone[np.flatnonzero(has)] = later | (bits[w] if len(w) else False)
+    n = np.bincount(doc[has], minlength=len(ids))
+    bad = np.bincount(doc[gone], minlength=len(ids))
+    data, out = buf.tobytes(), []
+    for i in range(len(ids)):
+        kept = data[offs[i] : offs[i + 1]]
+        if bad[i]:
+            s = slice(first[i], first[i + 1])
+            kept = b"\n".join(data[a:b] for a, b in zip(starts[s][~gone[s]].tolist(), ends[s][~gone[s]].tolist(), strict=True))
+        out.append(kept)
+    return pa.table([pa.array(ids), pa.array(n), pa.array(bad), pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string()), pa.array([x.decode() for x in out] if texts else [None] * len(out), pa.string())], schema=ROWS)
+
+
+def dedup(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int = 2 << 20, texts: bool = False) -> DataFrame:
+    """A row a row of docs: doc_id, n_lines (with words), n_removed, kept_sha256 (of the
+    kept lines, joined by newlines) and text: with ``texts`` the kept text, else null."""
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(tk.long_id(), F.coalesce("text", F.lit("")).alias("text"))
     _, _, n = tk.block_sizes(spark, d, block_bytes=block_bytes)
-    blocks = d.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).groupBy("block")
-
-    def to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            x = _Lines(t.column(1), size)
-            items = pa.StructArray.from_arrays([pa.array(x.line.astype(np.int32)), pa.array(x.k), pa.array(x.hash)], ["line", "k", "hash"])
-            offs = np.searchsorted(x.doc, np.arange(len(t) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.ListArray.from_arrays(pa.array(offs), items)], LINES.names)
-            tk.release()
-
-    def to_keys(t: pa.Table) -> pa.Table:
-        out = nj.send_keys(_Lines(t.column("text"), size).block(), t.column("block")[0].as_py(), n)
-        tk.release()
-        return out
 
-    def to_candidates(t: pa.Table, side: pa.Table) -> pa.Table:
-        if not len(t):
-            return pa.Table.from_pylist([], nj.CANDIDATES)
-        keys = np.concatenate([np.zeros(0, np.uint64), *(nj.unpack_sorted(k.as_py()) for k in side.column("keys"))])
-        ranks = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r.as_py(), np.uint8) for r in side.column("ranks"))])
-        o = np.argsort(keys, kind="stable")
-        out = nj.prefixes(_Lines(t.column("text"), size).block(), keys[o], ranks[o], percent, 3)
+    def tidy(out: pa.Table) -> pa.Table:
         tk.release()
         return out
 
-    keys = blocks.applyInArrow(to_keys, sql_schema(nj.KEYS))
-    ranks = keys.groupBy("bucket").applyInArrow(lambda t: nj.rank_keys(t), sql_schema(nj.RANKS))
-    found = blocks.cogroup(ranks.groupBy("block")).applyInArrow(to_candidates, nj.CANDIDATES_SQL)
-    found = found.dropDuplicates(["doc"])
-    labels = components(nj.candidate_links(table(found, "candidates"), percent))
-    schema = "doc_id long, lines array<struct<line: int, k: long, hash: long>>"
-    stored = table(d.mapInArrow(to_lines, schema).withColumn("row", F.monotonically_increasing_id()), "lines")
-    at = stored.select("row", "doc_id", F.explode("lines").alias("_l")).select("row", "doc_id", "_l.*")
-    at = at.join(labels, F.col("k") == F.col("node"), "left").withColumn("c", F.coalesce("component", "k")).drop("node", "component", "k")
-    first = at.groupBy("c").agg(F.min(F.struct("doc_id", "line")).alias("_f"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("c").alias("_c"), "_f")
-    at = at.join(first, F.col("c") == F.col("_c"), "left").withColumn("removed", F.coalesce(F.struct("doc_id", "line") != F.col("_f"), F.lit(False)))
-    lines = at.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line", "hash", "removed"))).alias("_m"))
-    out = stored.select("row", "doc_id", F.size("lines").cast("long").alias("n_lines")).join(lines.withColumnRenamed("row", "_r"), F.col("row") == F.col("_r"), "left")
-    none = F.array().cast("array<struct<line: int, hash: long, removed: boolean>>")
-    return tk.with_null_ids(out.select("row", "doc_id", "n_lines", F.coalesce("_m", none).alias("lines")), "doc_id")
-
-
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and text without its removed lines; the ids must not repeat."""
-    gone = mark(docs, **options).select(F.col("doc_id").alias("_id"), F.transform(F.filter("lines", lambda x: x["removed"]), lambda x: x["line"]).alias("_gone"))
-    split = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", kept.alias("text"))
+    def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, total, number = [], [], 0, TaskContext.get().partitionId() << 32
+        for b in batches:
+            ids.append(b.column(0))
+            held.append(b.column(1))
+            total += b.column(1).nbytes
+            if total >= block_bytes:
+                yield from tidy(pieces(held, ids, number, n, size)).to_batches()
+                held, ids, total, number = [], [], 0, number + 1
+        if held:
+            yield from tidy(pieces(held, ids, number, n, size)).to_batches()
+
+    sent = table(d.mapInArrow(to_pieces, sql_schema(PIECES)), "pieces")
+    own = table(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: tidy(fold(t)), sql_schema(SETS)), "sets")
+
+    def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield from tidy(nj.send_keys(sets_of(r), r["bucket"], n)).to_batches()
+
+    ranks = own.select("bucket", "n", "sets").mapInArrow(to_keys, sql_schema(nj.KEYS)).groupBy("bucket").applyInArrow(lambda t: tidy(nj.rank_keys(t)), sql_schema(nj.RANKS))
+    places = own.select("bucket", "n", "sets", "docs", "lines").groupBy("bucket")
+    found = table(places.cogroup(ranks.groupBy("block")).applyInArrow(lambda t, s: tidy(candidates(t, s, percent)), CANDIDATES_SQL), "candidates")
+    gone = matched(found, percent).withColumn("_bucket", F.shiftright("_gone", 32))
+    told = own.select("bucket", "docs", "blocks", "counts", "which", "late").groupBy("bucket").cogroup(gone.groupBy("_bucket")).applyInArrow(lambda t, g: replies(t, g), sql_schema(REPLY))
+    held = sent.where("bucket < 0").select("block", "ids", "sizes", "texts", "which").groupBy("block")
+    out = held.cogroup(told.groupBy("block")).applyInArrow(lambda t, s: tidy(finished(t, s, texts)), sql_schema(ROWS))
+    return tk.with_null_ids(out, "doc_id")

@@ -50,11 +50,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and removed lines, and a digest of the kept lines' 64-bit hashes in order."""
-    d = linededup.mark(documents(spark, sf_dir))
-    kept = F.transform(F.filter("lines", lambda x: ~x["removed"]), lambda x: F.hex(x["hash"]))
-    gone = F.filter("lines", lambda x: x["removed"])
-    return d.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.sha2(F.array_join(kept, ","), 256).alias("kept_sha256"))
+    return linededup.dedup(documents(spark, sf_dir)).drop("text")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,17 +125,52 @@ def test_ngram_join(docs, empty):
     assert ngramjoin.join(with_null_id(docs)).where("doc_id is null").count() == 1
 
 
-def test_line_dedup(docs, empty):
-    rows = corpus()[:-1]
-    sets = {(d, i): shingles(x) for d, t, *_ in rows for i, x in enumerate((t or "").split("\n")) if shingles(x)}
-    group = groups(sets)
-    want = {d: (0, 0) for d, *_ in rows}
-    for (d, i), g in group.items():
-        want[d] = (want[d][0] + 1, want[d][1] + (g != (d, i)))
-    got = linededup.mark(docs, block_bytes=4096).select("doc_id", "n_lines", F.size(F.filter("lines", lambda x: x["removed"]))).collect()
-    assert len(got) == len(rows) + 1
-    assert {r[0]: (r[1], r[2]) for r in got} == want
-    assert linededup.mark(empty).count() == 0
+def lines_by_force(rows: list[tuple], percent: int = 75) -> Counter:
+    """(doc, lines, removed, digest): a line goes if any line before it is similar."""
+    sets = [((NO_ID if d is None else d, i), shingles(x)) for d, t, *_ in rows for i, x in enumerate((t or "").split("\n"))]
+    distinct = sorted({(p, s) for p, s in sets if s}, key=lambda x: x[0])
+
+    def gone(place, s):
+        return any(p < place and 100 * len(s & o) >= percent * len(s | o) for p, o in distinct)
+
+    want = Counter()
+    for d, t, *_ in rows:
+        at, lines = NO_ID if d is None else d, (t or "").split("\n")
+        bad = [bool(shingles(x)) and gone((at, i), shingles(x)) for i, x in enumerate(lines)]
+        kept = "\n".join(x for x, g in zip(lines, bad, strict=True) if not g)
+        want[d, sum(bool(shingles(x)) for x in lines), sum(bad), hashlib.sha256(kept.encode()).hexdigest(), kept] += 1
+    return want
+
+
+NO_ID = -(2**63)
+
+
+@pytest.mark.parametrize("block_bytes", [2048, 1 << 20])
+def test_line_dedup(spark, docs, empty, block_bytes):
+    rows = [(None if d == 0 else d, *x) for d, *x in corpus()]
+    got = linededup.dedup(with_null_id(docs), block_bytes=block_bytes, texts=True)
+    assert Counter(tuple(r) for r in got.collect()) == lines_by_force(rows)
+    assert linededup.dedup(empty).count() == 0
+
+
+def test_line_dedup_removes_only_matches_of_earlier_lines(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w[:45])), (2, " ".join(w[7:52])), (3, " ".join(w[:52]))]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 1}
+
+
+def test_line_dedup_of_a_large_group(spark):
+    r = random.Random(2)
+    base = [f"v{i}" for i in range(48)]
+    rows = []
+    for d in range(400):
+        x = list(base)
+        for _ in range(r.randint(0, 3)):
+            x[r.randrange(48)] = f"y{r.randrange(30)}"
+        rows.append((d, "a common line of all\n" + " ".join(x) + "\n" + " ".join(x[:20])))
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=4096, texts=True)
+    assert Counter(tuple(r) for r in got.collect()) == lines_by_force(rows)
 
 
 def test_components(spark):
