@@ -6,9 +6,10 @@ of document id and line number, has a Jaccard similarity of ``percent`` to it;
 lines are judged on the input, not on what is left. So the first of several
 copies stays, and a line that only resembles a later one stays too.
 
-1. Texts are read once, in pieces of ``block_bytes``. A piece sends its distinct
-   token sets to buckets by their signature, with the first place of each.
-2. A bucket folds equal sets to one with the first place of all.
+1. Texts are read once and written in pieces of ``block_bytes``. A piece sends
+   the signatures of its distinct token sets, with the first place of each.
+2. Equal sets of all pieces are folded to one, which the piece with the first
+   place owns.
 3. Tokens are ordered by rarity over the distinct sets, and a set's prefix is
    taken, both as in ``ngramjoin``. Sets too few of whose tokens others have
    are left out.
@@ -18,7 +19,8 @@ copies stays, and a line that only resembles a later one stays too.
    positional filters. One match is enough, so a large group of near copies
    costs a few comparisons a member. A group of g sets that share their rare
    tokens, could be similar by all filters and yet are not, costs g * g / 2.
-5. Buckets tell each piece which of its sets to remove; texts are not shuffled.
+5. Pieces are told which of their sets go. Sets are made anew from the pieces
+   when needed, as hashes take more room than compressed text.
 
 Nulls: a null id is one id, smaller than all others; a null text has no lines.
 Lines without words are neither counted nor removed. Rows that repeat a
@@ -45,15 +47,20 @@ from .anchors import by_bucket, rows, sql_schema
 from .shared import table
 
 _bin = pa.binary()
-#: One row a piece (bucket -1): its texts and which of its distinct sets each line has; and one a bucket it sends sets to.
-PIECES = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), *((c, _bin) for c in ("ids", "sizes", "texts", "which", "k1", "k2", "n", "docs", "lines", "sets"))])
-#: Distinct sets of a bucket with their first places, and who sent which of them; late: the sender's first place isn't the first of all.
-SETS = pa.schema([("bucket", pa.int64()), *((c, _bin) for c in ("n", "sets", "docs", "lines", "blocks", "counts", "which", "late"))])
-REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("gone", _bin)])
+#: Texts of a piece, which of its distinct sets each line has, and the sets' signatures and first places.
+PIECES = pa.schema([("block", pa.int64()), *((c, _bin) for c in ("ids", "sizes", "texts", "which", "k1", "k2", "docs", "lines"))])
+SIGNS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("at", pa.int64()), *((c, _bin) for c in ("k1", "k2", "docs", "lines"))])
+#: Of each set that a piece sent to a bucket whether its first place is elsewhere (LATE) or the piece owns it (OWN);
+#: with neither it is a twin, whose first place is that of the owner's set too: rows that repeat an id.
+FOLDS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("flags", _bin), ("twins", pa.list_(pa.int64())), ("owners", pa.list_(pa.int64()))])
+FOLDS_SQL = "block long, bucket long, flags binary, twins array<long>, owners array<long>"
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 CANDIDATES_SQL = f"{nj.CANDIDATES_SQL}, fdoc long, fline int"
 #: A line without words.
 NO_SET = np.uint32(2**32 - 1)
+LATE, OWN = 1, 2
+#: A set's id is its piece and its number in it; a piece is a task of the first pass and a number in it.
+SET_BITS, SEQ_BITS = 25, 18
 
 
 def line_cuts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,79 +75,103 @@ def line_cuts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, first
 
 
-def pieces(texts: list[pa.Array], ids: list[pa.Array], block: int, n: int, size: int) -> pa.Table:
-    """Rows of a piece: see PIECES."""
+def zstd(v: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(v).tobytes(), "zstd", asbytes=True)
+
+
+def piece(texts: list[pa.Array], ids: list[pa.Array], block: int, n: int, size: int) -> pa.Table:
     buf, offs = tk.pack(pa.chunked_array(texts))
     own = np.concatenate([x.to_numpy(zero_copy_only=False) for x in ids])
-    starts, ends, first = line_cuts(buf, offs)
-    # sets are made of stretches that end before the next line's start; a newline is white space
-    g, goff = nj.shingles(buf, np.append(starts, len(buf)), size) if len(starts) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    starts, _, first = line_cuts(buf, offs)
+    # a line's newline is white space, so stretches from start to start have the same words
+    g, goff = nj.shingles(buf, np.append(starts, len(buf)), size)
     k1, k2 = nj.signatures(g, goff)
     has = np.flatnonzero(np.diff(goff))
     doc = np.repeat(own, np.diff(first))[has]
     line = (np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first)))[has]
     k1, k2 = k1[has], k2[has]
-    to = bucket_of(k1, n)
-    o = np.lexsort((line, doc, k2, k1, to))
+    o = np.lexsort((line, doc, k2, k1, bucket_of(k1, n)))
     edge = np.append(True, (k1[o][1:] != k1[o][:-1]) | (k2[o][1:] != k2[o][:-1])) if len(o) else np.zeros(0, bool)
     x = o[edge]
+    if len(x) >= 1 << SET_BITS:
+        raise ValueError(f"a text has over {1 << SET_BITS} different lines")
     which = np.full(len(starts), NO_SET, np.uint32)
     which[has[o]] = np.cumsum(edge) - 1
-    zstd = lambda v: pa.compress(np.ascontiguousarray(v).tobytes(), "zstd", asbytes=True)
-    out = [(block, -1, own.astype("<i8").tobytes(), np.diff(offs).astype("<i8").tobytes(), zstd(buf), zstd(which), *[b""] * 6)]
-    m = np.diff(goff)[has]
-    for i, s in by_bucket(to[x], n):
-        y = x[s]
-        members = nj.pack6(g[tk.ranges(goff[:-1][has[y]], m[y])])
-        out.append((block, i, b"", b"", b"", b"", k1[y].tobytes(), k2[y].tobytes(), m[y].astype("<u4").tobytes(), doc[y].astype("<i8").tobytes(), line[y].astype("<u4").tobytes(), members))
-    return rows(PIECES, out)
+    return rows(PIECES, [(block, own.astype("<i8").tobytes(), np.diff(offs).astype("<i8").tobytes(), zstd(buf), zstd(which), k1[x].tobytes(), k2[x].tobytes(), doc[x].astype("<i8").tobytes(), line[x].astype("<u4").tobytes())])
+
+
+class _Piece:
+    """A stored piece: texts, lines, and of each line the number of its set."""
+
+    def __init__(self, r: dict):
+        self.ids, sizes = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["sizes"], "<i8")
+        self.offs = np.concatenate([[0], np.cumsum(sizes)])
+        self.buf = np.frombuffer(pa.decompress(r["texts"], int(self.offs[-1]), "zstd"), np.uint8)
+        self.starts, self.ends, self.first = line_cuts(self.buf, self.offs)
+        self.which = np.frombuffer(pa.decompress(r["which"], 4 * len(self.starts), "zstd"), "<u4")
+
+
+def flags_of(side: pa.Table) -> np.ndarray:
+    """Of a piece's sets, from all buckets: sets are in the buckets' order."""
+    got = sorted((x for x in zip(side.column("bucket").to_pylist(), side.column("flags").to_pylist(), strict=True) if x[1] is not None), key=lambda x: x[0])
+    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for _, x in got)])
+
+
+def owned(r: dict, side: pa.Table, size: int) -> tuple[nj._Block, np.ndarray]:
+    """The sets that a piece owns, and their numbers."""
+    p, flags = _Piece(r), flags_of(side)
+    number, line = np.unique(p.which, return_index=True)
+    mine = (number != NO_SET) & (flags[np.minimum(number, max(len(flags) - 1, 0))] & OWN > 0) if len(flags) else np.zeros(len(number), bool)
+    number, line = number[mine].astype(np.int64), line[mine]
+    n = p.ends[line] - p.starts[line]
+    b = object.__new__(nj._Block)
+    b.g, b.off = nj.shingles(p.buf[tk.ranges(p.starts[line], n)], np.concatenate([[0], np.cumsum(n)]), size)
+    b.n, b.ids = np.diff(b.off), (r["block"] << SET_BITS) + number
+    return b, number
 
 
 def bucket_of(k: np.ndarray, n: int) -> np.ndarray:
     return (((k.view(np.uint64) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def signs(r: dict, n: int) -> pa.Table:
+    """Signatures and first places of a piece's sets, by bucket."""
+    k1, k2, docs, lines = np.frombuffer(r["k1"], "<i8"), np.frombuffer(r["k2"], "<i8"), np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["lines"], "<u4")
+    return rows(SIGNS, [(i, r["block"], s.start, *(x[s].tobytes() for x in (k1, k2, docs, lines))) for i, s in by_bucket(bucket_of(k1, n), n)])
+
+
 def fold(t: pa.Table) -> pa.Table:
     """Step 2, of all pieces' sets in a bucket."""
-    col = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(c)])
-    k1, k2, n, docs, lines = col("k1", "<i8"), col("k2", "<i8"), col("n", "<u4").astype(np.int64), col("docs", "<i8"), col("lines", "<u4")
-    raw = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("sets")])
-    counts = np.array([len(x.as_py()) // 8 for x in t.column("k1")], "<u4")
-    o = np.lexsort((lines, docs, k2, k1))
+    col = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in t.column(c)]
+    counts = np.array([len(x) for x in col("k1", "<i8")])
+    k1, k2, docs, lines = (np.concatenate(col(*x)) for x in (("k1", "<i8"), ("k2", "<i8"), ("docs", "<i8"), ("lines", "<u4")))
+    blocks = t.column("block").to_numpy()
+    ids = tk.ranges((blocks << SET_BITS) + t.column("at").to_numpy(), counts)
+    o = np.lexsort((ids, lines, docs, k2, k1))
     edge = np.append(True, (k1[o][1:] != k1[o][:-1]) | (k2[o][1:] != k2[o][:-1]))
-    x, group = o[edge], np.empty(len(o), np.int64)
-    group[o] = np.cumsum(edge) - 1
-    late = (docs != docs[x][group]) | (lines != lines[x][group])
-    at = 6 * (np.cumsum(n) - n)
-    return rows(SETS, [(
-        t.column("bucket")[0].as_py(), n[x].astype("<u4").tobytes(), raw[tk.ranges(at[x], 6 * n[x])].tobytes(), docs[x].tobytes(), lines[x].tobytes(),
-        np.array(t.column("block").to_pylist(), "<i8").tobytes(), counts.tobytes(), group.astype("<u4").tobytes(), late.astype("u1").tobytes(),
-    )])
-
-
-def sets_of(r: dict) -> nj._Block:
-    """A bucket's distinct sets; their ids are numbered within the bucket."""
-    b = object.__new__(nj._Block)
-    b.n = np.frombuffer(r["n"], "<u4").astype(np.int64)
-    b.ids = (r["bucket"] << 32) + np.arange(len(b.n))
-    b.g = nj.unpack6(r["sets"])
-    b.off = np.concatenate([[0], np.cumsum(b.n)])
-    return b
-
-
-def candidates(t: pa.Table, side: pa.Table, percent: int) -> pa.Table:
-    """Step 3: prefixes and first places of a bucket's sets."""
-    none = pa.schema([*nj.CANDIDATES, ("fdoc", pa.int64()), ("fline", pa.int32())])
-    if not len(t):
-        return pa.Table.from_pylist([], none)
-    r = t.to_pylist()[0]
-    keys = np.concatenate([np.zeros(0, np.uint64), *(nj.unpack_sorted(k.as_py()) for k in side.column("keys"))])
-    ranks = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_py(), np.uint8) for x in side.column("ranks"))])
+    head = np.empty(len(o), np.int64)
+    head[o] = o[np.maximum.accumulate(np.where(edge, np.arange(len(o)), 0))]
+    late = (docs != docs[head]) | (lines != lines[head])
+    own = head == np.arange(len(o))
+    flags = (late * LATE + own * OWN).astype(np.uint8)
+    cuts, out, bucket = np.concatenate([[0], np.cumsum(counts)]), [], t.column("bucket")[0].as_py()
+    for i, b in enumerate(blocks.tolist()):
+        s = np.arange(cuts[i], cuts[i + 1])
+        twin = s[flags[s] == 0]
+        out.append((b, bucket, flags[s].tobytes(), ids[twin].tolist(), ids[head[twin]].tolist()))
+    return rows(FOLDS, out)
+
+
+def candidates(r: dict, side: pa.Table, size: int, percent: int) -> pa.Table:
+    """Step 3: prefixes and first places of the sets that a piece owns."""
+    b, number = owned(r, side, size)
+    sent = [x for x in zip(side.column("keys").to_pylist(), side.column("ranks").to_pylist(), strict=True) if x[0] is not None]
+    keys = np.concatenate([np.zeros(0, np.uint64), *(nj.unpack_sorted(k) for k, _ in sent)])
+    ranks = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for _, x in sent)])
     o = np.argsort(keys, kind="stable")
-    out = nj.prefixes(sets_of(r), keys[o], ranks[o], percent, 3)
-    at = out.column("doc").to_numpy() - (r["bucket"] << 32)
-    first = [np.frombuffer(r["docs"], "<i8")[at], np.frombuffer(r["lines"], "<u4")[at].astype(np.int32)]
-    return out.append_column(none.field("fdoc"), pa.array(first[0])).append_column(none.field("fline"), pa.array(first[1]))
+    out = nj.prefixes(b, keys[o], ranks[o], percent, 3)
+    at = out.column("doc").to_numpy() - (r["block"] << SET_BITS)
+    return out.append_column("fdoc", pa.array(np.frombuffer(r["docs"], "<i8")[at])).append_column("fline", pa.array(np.frombuffer(r["lines"], "<u4")[at].astype(np.int32)))
 
 
 def matched(found: DataFrame, percent: int) -> DataFrame:
@@ -178,52 +209,31 @@ def matched(found: DataFrame, percent: int) -> DataFrame:
     return gone.union(table(nj.verify(p, sets, percent).select("x").distinct(), "gone"))
 
 
-def replies(t: pa.Table, gone: pa.Table) -> pa.Table:
-    """Step 5: of each set that a piece sent to a bucket, whether its first line there goes too."""
-    if not len(t):
-        return rows(REPLY, [])
-    r = t.to_pylist()[0]
-    bad = np.zeros(len(r["docs"]) // 8, bool)
-    bad[gone.column("_gone").to_numpy() - (r["bucket"] << 32)] = True
-    bits = bad[np.frombuffer(r["which"], "<u4")] | np.frombuffer(r["late"], "u1").astype(bool)
-    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(r["counts"], "<u4").astype(np.int64))])
-    return rows(REPLY, [(b, r["bucket"], bits[cuts[i] : cuts[i + 1]].astype("u1").tobytes()) for i, b in enumerate(np.frombuffer(r["blocks"], "<i8").tolist())])
-
-
-def finished(t: pa.Table, reply: pa.Table, texts: bool) -> pa.Table:
-    """Rows of a piece's documents."""
+def finished(t: pa.Table, side: pa.Table, texts: bool) -> pa.Table:
+    """Step 5: rows of a piece's documents."""
     if not len(t):
         return pa.Table.from_pylist([], ROWS)
     r = t.to_pylist()[0]
-    ids, sizes = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["sizes"], "<i8")
-    offs = np.concatenate([[0], np.cumsum(sizes)])
-    buf = np.frombuffer(pa.decompress(r["texts"], int(offs[-1]), "zstd"), np.uint8)
-    starts, ends, first = line_cuts(buf, offs)
-    which = np.frombuffer(pa.decompress(r["which"], 4 * len(starts), "zstd"), "<u4")
-    bits = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for _, x in sorted(zip(reply.column("bucket").to_pylist(), reply.column("gone").to_pylist(), strict=True)))]).astype(bool)
-    has = which != NO_SET
-    w = which[has].astype(np.int64)
-    doc = np.repeat(np.arange(len(ids)), np.diff(first))
+    p, bits = _Piece(r), flags_of(side) & LATE > 0
+    gone_ids = side.column("gone").drop_null().to_numpy() - (r["block"] << SET_BITS)
+    bits[gone_ids] = True
+    has = np.flatnonzero(p.which != NO_SET)
+    w = p.which[has].astype(np.int64)
+    doc = np.repeat(np.arange(len(p.ids)), np.diff(p.first))
     # a place is an id and a line number: rows that repeat an id share places
-    line = np.arange(len(starts)) - first[:-1][doc] if len(starts) else np.zeros(0, np.int64)
-    idn, ln = ids[doc][has], line[has]
-    o = np.lexsort((ln, idn, w))
-    edge = np.append(True, w[o][1:] != w[o][:-1]) if len(o) else np.zeros(0, bool)
-    head = o[np.maximum.accumulate(np.where(edge, np.arange(len(o)), 0))] if len(o) else o
-    later = np.zeros(len(w), bool)
-    later[o] = (idn[o] != idn[head]) | (ln[o] != ln[head])
-    gone = np.zeros(len(starts), bool)
-    gone[np.flatnonzero(has)] = later | (bits[w] if len(w) else False)
-    n = np.bincount(doc[has], minlength=len(ids))
-    bad = np.bincount(doc[gone], minlength=len(ids))
-    data, out = buf.tobytes(), []
-    for i in range(len(ids)):
-        kept = data[offs[i] : offs[i + 1]]
+    ids, line = p.ids[doc[has]], has - p.first[:-1][doc[has]]
+    late = (ids != np.frombuffer(r["docs"], "<i8")[w]) | (line != np.frombuffer(r["lines"], "<u4")[w])
+    gone = np.zeros(len(p.starts), bool)
+    gone[has] = late | bits[w]
+    n, bad = np.bincount(doc[has], minlength=len(p.ids)), np.bincount(doc[gone], minlength=len(p.ids))
+    data, out = p.buf.tobytes(), []
+    for i in range(len(p.ids)):
+        kept = data[p.offs[i] : p.offs[i + 1]]
         if bad[i]:
-            s = slice(first[i], first[i + 1])
-            kept = b"\n".join(data[a:b] for a, b in zip(starts[s][~gone[s]].tolist(), ends[s][~gone[s]].tolist(), strict=True))
+            s = slice(p.first[i], p.first[i + 1])
+            kept = b"\n".join(data[a:b] for a, b in zip(p.starts[s][~gone[s]].tolist(), p.ends[s][~gone[s]].tolist(), strict=True))
         out.append(kept)
-    return pa.table([pa.array(ids), pa.array(n), pa.array(bad), pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string()), pa.array([x.decode() for x in out] if texts else [None] * len(out), pa.string())], schema=ROWS)
+    return pa.table([pa.array(p.ids), pa.array(n), pa.array(bad), pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string()), pa.array([x.decode() for x in out] if texts else [None] * len(out), pa.string())], schema=ROWS)
 
 
 def dedup(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int = 2 << 20, texts: bool = False) -> DataFrame:
@@ -239,30 +249,42 @@ def dedup(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
         return out
 
     def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, total, number = [], [], 0, TaskContext.get().partitionId() << 32
+        held, ids, total, number = [], [], 0, TaskContext.get().partitionId() << SEQ_BITS
         for b in batches:
             ids.append(b.column(0))
             held.append(b.column(1))
             total += b.column(1).nbytes
             if total >= block_bytes:
-                yield from tidy(pieces(held, ids, number, n, size)).to_batches()
+                yield from tidy(piece(held, ids, number, n, size)).to_batches()
                 held, ids, total, number = [], [], 0, number + 1
         if held:
-            yield from tidy(pieces(held, ids, number, n, size)).to_batches()
-
-    sent = table(d.mapInArrow(to_pieces, sql_schema(PIECES)), "pieces")
-    own = table(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: tidy(fold(t)), sql_schema(SETS)), "sets")
+            yield from tidy(piece(held, ids, number, n, size)).to_batches()
 
-    def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                yield from tidy(nj.send_keys(sets_of(r), r["bucket"], n)).to_batches()
-
-    ranks = own.select("bucket", "n", "sets").mapInArrow(to_keys, sql_schema(nj.KEYS)).groupBy("bucket").applyInArrow(lambda t: tidy(nj.rank_keys(t)), sql_schema(nj.RANKS))
-    places = own.select("bucket", "n", "sets", "docs", "lines").groupBy("bucket")
-    found = table(places.cogroup(ranks.groupBy("block")).applyInArrow(lambda t, s: tidy(candidates(t, s, percent)), CANDIDATES_SQL), "candidates")
-    gone = matched(found, percent).withColumn("_bucket", F.shiftright("_gone", 32))
-    told = own.select("bucket", "docs", "blocks", "counts", "which", "late").groupBy("bucket").cogroup(gone.groupBy("_bucket")).applyInArrow(lambda t, g: replies(t, g), sql_schema(REPLY))
-    held = sent.where("bucket < 0").select("block", "ids", "sizes", "texts", "which").groupBy("block")
-    out = held.cogroup(told.groupBy("block")).applyInArrow(lambda t, s: tidy(finished(t, s, texts)), sql_schema(ROWS))
+                yield from signs(r, n).to_batches()
+
+    def to_keys(t: pa.Table, side: pa.Table) -> pa.Table:
+        return tidy(nj.send_keys(owned(t.to_pylist()[0], side, size)[0], t.column("block")[0].as_py(), n, percent) if len(t) else rows(nj.KEYS, []))
+
+    def to_candidates(t: pa.Table, side: pa.Table) -> pa.Table:
+        if not len(t):
+            return pa.Table.from_pylist([], pa.schema([*nj.CANDIDATES, ("fdoc", pa.int64()), ("fline", pa.int32())]))
+        return tidy(candidates(t.to_pylist()[0], side, size, percent))
+
+    held = table(d.mapInArrow(to_pieces, sql_schema(PIECES)), "pieces")
+    folds = table(held.select("block", "k1", "k2", "docs", "lines").mapInArrow(to_signs, sql_schema(SIGNS)).groupBy("bucket").applyInArrow(lambda t: fold(t), FOLDS_SQL), "folds")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    flags = folds.select("block", "bucket", "flags")
+    keys = held.select("block", "ids", "sizes", "texts", "which").groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(to_keys, sql_schema(nj.KEYS))
+    ranks = table(keys.groupBy("bucket").applyInArrow(lambda t: tidy(nj.rank_keys(t)), sql_schema(nj.RANKS)), "ranks")
+    side = flags.select("*", none("keys", "binary"), none("ranks", "binary")).unionByName(ranks.select("block", none("bucket", "long"), none("flags", "binary"), "keys", "ranks"))
+    places = held.select("block", "ids", "sizes", "texts", "which", "docs", "lines").groupBy("block")
+    found = table(places.cogroup(side.groupBy("block")).applyInArrow(to_candidates, CANDIDATES_SQL), "candidates")
+    gone = matched(found, percent)
+    twins = folds.where(F.size("twins") > 0).select(F.explode(F.arrays_zip("twins", "owners")).alias("_t")).select("_t.*")
+    gone = gone.union(twins.join(gone, F.col("owners") == F.col("_gone"), "left_semi").select("twins"))
+    told = flags.select("*", none("gone", "long")).unionByName(gone.select(F.shiftright("_gone", SET_BITS).alias("block"), none("bucket", "long"), none("flags", "binary"), F.col("_gone").alias("gone")))
+    out = places.cogroup(told.groupBy("block")).applyInArrow(lambda t, x: tidy(finished(t, x, texts)), sql_schema(ROWS))
     return tk.with_null_ids(out, "doc_id")

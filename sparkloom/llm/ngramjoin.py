@@ -7,9 +7,11 @@ All shingles are ordered by rarity (the number of blocks of documents that have
 them, then their hash). Two sets with Jaccard similarity t or more share at
 least l shingles among the first n - ceil(t n) + l of either, for every l. A
 document whose prefix would bring many candidates takes a longer prefix and a
-larger l; a pair needs the smaller l of the two. Shingles of one document only
-come first and never bring candidates, so what is compared are documents most
-of whose shingles others have too.
+larger l; a pair needs the smaller l of the two. Shingles that no other document
+of a size near enough has come first and never bring candidates, so what is
+compared are documents most of whose shingles such others have too. (A common
+shingle of two similar documents is never of this kind, so all that they share
+stands in one order.)
 
 Links are wanted up to components. So each prefix shingle first proposes two
 of its documents to all others that have it; after verification,
@@ -120,41 +122,58 @@ class _Block:
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
-    """Ascending numbers of 40 bits as compressed differences, byte by byte."""
-    d = np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    """Ascending numbers of 48 bits as compressed differences, byte by byte."""
+    d = np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     return len(x).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(d.T).tobytes(), "zstd", asbytes=True)
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
     n = int.from_bytes(b[:4], "little")
     d = np.zeros((n, 8), np.uint8)
-    d[:, :5] = np.frombuffer(pa.decompress(b[4:], 5 * n, "zstd"), np.uint8).reshape(5, n).T
+    d[:, :6] = np.frombuffer(pa.decompress(b[4:], 6 * n, "zstd"), np.uint8).reshape(6, n).T
     return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
 
 
-def send_keys(b: _Block, block: int, n: int) -> pa.Table:
-    key, count = np.unique(b.keys, return_counts=True)
+def length_classes(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sets as similar as asked for are in the same class of sizes or in neighbouring ones."""
+    return np.minimum(np.floor(np.log(np.maximum(n, 1)) / np.log(100 / min(percent, 90))), 255).astype(np.uint64)
+
+
+def sized_keys(b: _Block, percent: int) -> np.ndarray:
+    """Of each shingle of each set its key and, in the last 8 bits, the set's class of sizes."""
+    return (b.keys << np.uint64(8)) | np.repeat(length_classes(b.n, percent), b.n)
+
+
+def send_keys(b: _Block, block: int, n: int, percent: int) -> pa.Table:
+    key, count = np.unique(sized_keys(b, percent), return_counts=True)
     raw = (key << np.uint64(1)) | (count > 1).astype(np.uint64)
-    return rows(KEYS, [(i, block, pack_sorted(raw[s])) for i, s in by_bucket(bucket_of(key, n), n)])
+    return rows(KEYS, [(i, block, pack_sorted(raw[s])) for i, s in by_bucket(bucket_of(key >> np.uint64(8), n), n)])
 
 
 def rank_keys(t: pa.Table) -> pa.Table:
-    """Rank of keys that two documents or more have: the number of blocks, at least 2."""
+    """Ranks of keys that two sets have whose sizes would let them be similar.
+
+    A rank is the number of (block, class of sizes) that have the key, at least
+    2; it depends on the key alone, so all sets have their shingles in one order.
+    """
     parts = [unpack_sorted(x.as_py()) for x in t.column("keys")]
     raw = np.concatenate(parts)
-    key = raw >> np.uint64(1)
-    o = np.argsort(key, kind="stable")
-    edge = np.flatnonzero(np.append(True, key[o][1:] != key[o][:-1]))
-    n = np.diff(np.append(edge, len(key)))
-    two = np.maximum.reduceat((raw[o] & np.uint64(1)).astype(np.int64), edge)
-    rank = np.empty(len(raw), np.int64)
-    rank[o] = np.repeat(np.minimum(np.maximum(n, 1 + two), 255), n)
+    o = np.argsort(raw, kind="stable")
+    x = raw[o] >> np.uint64(1)
+    key, kind, two = x >> np.uint64(8), (x & np.uint64(255)).astype(np.int64), (raw[o] & np.uint64(1)) > 0
+    edge = np.append(True, key[1:] != key[:-1])
+    heads = np.flatnonzero(edge)
+    n = np.diff(np.append(heads, len(key)))
+    near = ~edge[1:] & (kind[1:] - kind[:-1] <= 1)
+    shared = two | np.append(False, near) | np.append(near, False)
+    rank, yes = np.empty(len(raw), np.uint8), np.empty(len(raw), bool)
+    rank[o] = np.repeat(np.clip(n, 2, 255), n)
+    yes[o] = shared
     cuts, out = np.cumsum([0, *(len(p) for p in parts)]), []
     for i, b in enumerate(t.column("block").to_pylist()):
         s = slice(cuts[i], cuts[i + 1])
-        yes = rank[s] > 1
-        if yes.any():
-            out.append((b, pack_sorted(key[s][yes]), rank[s][yes].astype(np.uint8).tobytes()))
+        if yes[s].any():
+            out.append((b, pack_sorted(raw[s][yes[s]] >> np.uint64(1)), rank[s][yes[s]].tobytes()))
     return rows(RANKS, out)
 
 
@@ -163,7 +182,7 @@ def prefixes(b: _Block, keys: np.ndarray, ranks: np.ndarray, percent: int, most:
 
     A document too few of whose shingles others have is similar to none and left out.
     """
-    key = b.keys
+    key = sized_keys(b, percent)
     i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
     rank = np.where(keys[i] == key, ranks[i], 1).astype(np.int64) if len(keys) else np.ones(len(key), np.int64)
     doc = np.repeat(np.arange(len(b.n)), b.n)
@@ -253,7 +272,7 @@ def join(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
     reps = classes.select(F.col("rep").alias("doc_id"), "k1", "k2", none.alias("keys"), none.alias("ranks"), at("rep"))
 
     def to_keys(t: pa.Table, side: pa.Table) -> pa.Table:
-        out = send_keys(_Block(t, side, size), t.column("block")[0].as_py(), n) if len(t) else rows(KEYS, [])
+        out = send_keys(_Block(t, side, size), t.column("block")[0].as_py(), n, percent) if len(t) else rows(KEYS, [])
         tk.release()
         return out
 
