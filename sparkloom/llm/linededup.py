@@ -13,12 +13,14 @@ copies stays, and a line that only resembles a later one stays too.
 3. Tokens are ordered by rarity over the distinct sets, and a set's prefix is
    taken, both as in ``ngramjoin``. Sets too few of whose tokens others have
    are left out.
-4. A set is compared with two earlier ones that its prefix tokens propose: the
-   earliest, and the one with the fewest tokens of its own. What found no match
-   is then compared with every earlier set that passes the prefix, length and
-   positional filters. One match is enough, so a large group of near copies
-   costs a few comparisons a member. A group of g sets that share their rare
-   tokens, could be similar by all filters and yet are not, costs g * g / 2.
+4. A set is compared with a few earlier ones that its prefix tokens propose: the
+   earliest of a token's sets, and hubs. A hub has few tokens of its own and so
+   is near to what a group has in common; there is one for each stretch of
+   places, so that late sets have hubs before them. What found no match is then
+   compared with every earlier set that passes the prefix, length, positional and
+   bitmap filters. One match is enough, so a large group of near copies costs a few
+   comparisons a member. A group of g sets that share their rare tokens, could
+   be similar by all filters and yet are not, costs g * g / 2.
 5. Pieces are told which of their sets go. Sets are made anew from the pieces
    when needed, as hashes take more room than compressed text.
 
@@ -55,7 +57,10 @@ SIGNS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("at", pa.int6
 FOLDS = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("flags", _bin), ("twins", pa.list_(pa.int64())), ("owners", pa.list_(pa.int64()))])
 FOLDS_SQL = "block long, bucket long, flags binary, twins array<long>, owners array<long>"
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
-CANDIDATES_SQL = f"{nj.CANDIDATES_SQL}, fdoc long, fline int"
+CANDIDATES = pa.schema([*nj.CANDIDATES, ("fdoc", pa.int64()), ("fline", pa.int32()), ("bits", pa.list_(pa.int64()))])
+CANDIDATES_SQL = f"{nj.CANDIDATES_SQL}, fdoc long, fline int, bits array<long>"
+#: 64-bit numbers of a set's bitmap, in which each token sets a bit: two bitmaps differ in as many bits as the sets do, or fewer.
+BITMAP = 8
 #: A line without words.
 NO_SET = np.uint32(2**32 - 1)
 LATE, OWN = 1, 2
@@ -171,40 +176,71 @@ def candidates(r: dict, side: pa.Table, size: int, percent: int) -> pa.Table:
     o = np.argsort(keys, kind="stable")
     out = nj.prefixes(b, keys[o], ranks[o], percent, 3)
     at = out.column("doc").to_numpy() - (r["block"] << SET_BITS)
-    return out.append_column("fdoc", pa.array(np.frombuffer(r["docs"], "<i8")[at])).append_column("fline", pa.array(np.frombuffer(r["lines"], "<u4")[at].astype(np.int32)))
+    members, off = nj.packed_sets(out.column("members").combine_chunks())
+    bits = np.zeros((len(at), 64 * BITMAP), bool)
+    bits[np.repeat(np.arange(len(at)), np.diff(off)), (members >> np.uint64(16)).astype(np.int64) % (64 * BITMAP)] = True
+    bits = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * BITMAP, pa.int32()), pa.array(np.packbits(bits, axis=1).view("<i8").ravel()))
+    more = [pa.array(np.frombuffer(r["docs"], "<i8")[at]), pa.array(np.frombuffer(r["lines"], "<u4")[at].astype(np.int32)), bits]
+    return pa.table([*out.columns, *more], schema=CANDIDATES)
+
+
+def proposals(e: DataFrame, percent: int, round_: int) -> DataFrame:
+    """Pairs (x, y) of a set and at most three earlier ones that its tokens propose; e has entries by token."""
+    place = F.struct("fdoc", "fline")
+    part = F.col("shared") / F.col("n") + (F.pmod(F.xxhash64("doc", F.lit(round_)), F.lit(1024)) / 8192 if round_ else 0)
+    who = F.struct(part.alias("part"), *(F.col(c) for c in ("doc", "n", "shared", "fdoc", "fline")))
+    each = e.groupBy("token", "slice").agg(F.max(who).alias("hub"), F.min(place).alias("p"), F.min_by(who, place).alias("a"))
+    ends = each.groupBy(F.col("token").alias("_token")).agg(F.collect_list(F.struct("slice", "hub")).alias("hubs"), F.min(F.struct("p", "a"))["a"].alias("a"))
+    x = e.join(ends, F.col("token") == F.col("_token"))
+    # the best hub of the stretches before, and that of the set's own
+    before = F.array_max(F.transform(F.filter("hubs", lambda h: h["slice"] < F.col("slice")), lambda h: h["hub"]))
+    own = F.array_max(F.transform(F.filter("hubs", lambda h: h["slice"] == F.col("slice")), lambda h: h["hub"]))
+    x = x.select("doc", "n", "shared", place.alias("p"), F.explode(F.array_distinct(F.filter(F.array("a", before, own), lambda h: h.isNotNull()))).alias("o"))
+    could = F.least("shared", "o.shared") * (100 + percent) >= percent * (F.col("n") + F.col("o.n"))
+    x = x.where(F.struct("o.fdoc", "o.fline") < F.col("p")).where(F.least("n", "o.n") * 100 >= F.greatest("n", "o.n") * percent).where(could)
+    x = x.groupBy("doc", F.col("o.doc").alias("o")).agg(F.count(F.lit(1)).alias("k"), F.max("o.part").alias("part"))
+    best = [F.max_by("o", F.struct("part", "k", "o")), F.max_by("o", F.struct("k", "part", "o")), F.max_by("o", F.xxhash64("doc", "o", F.lit(round_)))]
+    return x.groupBy(F.col("doc").alias("x")).agg(F.array_distinct(F.array(*best)).alias("_y")).select("x", F.explode("_y").alias("y"))
+
+
+#: Stretches of places that have hubs of their own, and rounds of proposals.
+SLICES, ROUNDS = 16, 2
 
 
 def matched(found: DataFrame, percent: int) -> DataFrame:
     """Step 4: ids of the sets that an earlier one matches."""
     sets = found.select("doc", "members")
-    t = F.explode(F.arrays_zip("tokens", "levels", "places")).alias("_t")
     own = ["doc", "n", "shared", "ell", "fdoc", "fline"]
-    e = found.select(*own, t).select(*own, F.col("_t.tokens").alias("token"), F.col("_t.levels").alias("level"), F.col("_t.places").alias("place"))
-    e = table(e, "entries")
+    cuts = found.agg(F.percentile_approx("fdoc", [i / SLICES for i in range(1, SLICES)], 1000)).first()[0] or []
+    slice_ = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c <= F.col("fdoc"))).alias("slice")
+    t = F.explode(F.arrays_zip("tokens", "levels", "places")).alias("_t")
+    e = table(found.select(*own, slice_, t).select(*own, "slice", F.col("_t.tokens").alias("token"), F.col("_t.levels").alias("level"), F.col("_t.places").alias("place")), "entries")
     place = F.struct("fdoc", "fline")
     # a set of n tokens, shared of which others have, can't match one of more than this many
     most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
-    by = lambda *first: F.struct(*first, "doc", "n", "shared", "fdoc", "fline")
-    ends = e.groupBy("token").agg(F.min(by(place.alias("p"))).alias("a"), F.max(by((F.col("shared") / F.col("n")).alias("p"))).alias("b"), F.min("n").alias("least"), F.count(F.lit(1)).alias("many"))
-    ends = ends.where("many > 1").select(F.col("token").alias("_token"), "least", F.array(*(F.struct(*(F.col(f"{o}.{x}").alias(x) for x in ("doc", "n", "shared", "fdoc", "fline"))) for o in "ab")).alias("_o"), F.col("a.p").alias("_first"))
-    # entries with an earlier set in their posting, small enough to match
-    e = e.join(ends, F.col("token") == F.col("_token")).where(most >= F.col("least"))
-    open_ = table(e.where(place > F.col("_first")).select(*own, "token", "level", "place", "_o"), "open")
-    could = F.least("shared", "o.shared") * (100 + percent) >= percent * (F.col("n") + F.col("o.n"))
-    near = open_.select("doc", "n", "shared", place.alias("p"), F.explode("_o").alias("o")).where(F.struct("o.fdoc", "o.fline") < F.col("p")).where(could)
-    near = near.where(F.least("n", "o.n") * 100 >= F.greatest("n", "o.n") * percent).groupBy("doc", F.col("o.doc").alias("o")).agg(F.count(F.lit(1)).alias("k"))
-    best = near.groupBy("doc").agg(F.max_by(F.col("o"), F.struct("k", "o")).alias("o"), F.min_by(F.col("o"), F.struct("k", "o")).alias("o2"))
-    stars = best.select(F.col("doc").alias("x"), F.explode(F.array_distinct(F.array("o", "o2"))).alias("y"))
-    gone = table(nj.verify(stars, sets, percent).select(F.col("x").alias("_gone")).distinct(), "gone")
+    ends = e.groupBy(F.col("token").alias("_token")).agg(F.min(place).alias("_first"), F.min("n").alias("_least"), F.count(F.lit(1)).alias("_many")).where("_many > 1")
+    e = table(e.join(ends, F.col("token") == F.col("_token")).where(most >= F.col("_least")).select(*own, "slice", "token", "level", "place", (place > F.col("_first")).alias("later")), "entries")
+    left, gone = e.where("later"), None
+    for r in range(ROUNDS):
+        tokens = left.select(F.col("token").alias("_t")).distinct()
+        some = e if not r else e.join(tokens, F.col("token") == F.col("_t"), "left_semi")
+        pairs = proposals(some, percent, r)
+        if gone is not None:
+            pairs = pairs.join(gone, F.col("x") == F.col("_gone"), "left_anti")
+        new = table(nj.verify(pairs, sets, percent).select(F.col("x").alias("_gone")).distinct(), "gone")
+        gone = new if gone is None else gone.union(new)
+        left = table(left.join(new, F.col("doc") == F.col("_gone"), "left_anti"), "left")
     # what is left meets every earlier set of its postings
-    left = table(open_.drop("_o").join(gone, F.col("doc") == F.col("_gone"), "left_anti"), "left")
-    some = left.groupBy(F.col("token").alias("_token")).agg(F.max(place).alias("_last"), F.max(most).alias("_most")).where("_token is not null")
-    f = e.drop("_o", "_first", "least", "_token").join(some, F.col("token") == F.col("_token")).where(place < F.col("_last")).where(F.col("n") <= F.col("_most"))
-    f = f.select(*(F.col(c).alias(f"{c}2") for c in (*own, "level", "place")), F.col("token").alias("token2"))
+    some = left.groupBy(F.col("token").alias("_token")).agg(F.max(place).alias("_last"), F.max(most).alias("_most"))
+    f = e.join(some, F.col("token") == F.col("_token")).where(place < F.col("_last")).where(F.col("n") <= F.col("_most"))
+    bits = found.select(F.col("doc").alias("_d"), "bits")
+    f = f.join(bits, F.col("doc") == F.col("_d")).select(*(F.col(c).alias(f"{c}2") for c in (*own, "level", "place", "bits")), F.col("token").alias("token2"))
+    differ = sum(F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i)))) for i in range(BITMAP))
+    both = F.col("n") + F.col("n2")
     least = F.least("ell", "ell2")
     reach = F.least("place", "place2") + F.least(F.col("shared") - F.col("place"), F.col("shared2") - F.col("place2"))
-    p = left.join(f, F.col("token") == F.col("token2")).where(F.struct("fdoc2", "fline2") < place)
-    p = p.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent).where((100 + percent) * reach >= percent * (F.col("n") + F.col("n2"))).where(F.greatest("level", "level2") <= least)
+    p = left.join(bits, F.col("doc") == F.col("_d")).join(f, F.col("token") == F.col("token2")).where(F.struct("fdoc2", "fline2") < place)
+    p = p.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent).where((100 + percent) * reach >= percent * both).where((100 + percent) * (both - differ) >= 2 * percent * both).where(F.greatest("level", "level2") <= least)
     p = p.groupBy(F.col("doc").alias("x"), F.col("doc2").alias("y")).agg(F.count(F.lit(1)).alias("k"), F.first(least).alias("ell")).where("k >= ell").select("x", "y")
     return gone.union(table(nj.verify(p, sets, percent).select("x").distinct(), "gone"))
 
@@ -270,7 +306,7 @@ def dedup(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
 
     def to_candidates(t: pa.Table, side: pa.Table) -> pa.Table:
         if not len(t):
-            return pa.Table.from_pylist([], pa.schema([*nj.CANDIDATES, ("fdoc", pa.int64()), ("fline", pa.int32())]))
+            return pa.Table.from_pylist([], CANDIDATES)
         return tidy(candidates(t.to_pylist()[0], side, size, percent))
 
     held = table(d.mapInArrow(to_pieces, sql_schema(PIECES)), "pieces")
