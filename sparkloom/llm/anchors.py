@@ -6,7 +6,7 @@ window names an anchor: of its grams of ``k`` units the one with the least
 hash, so equal windows name equal anchors. Neighbouring windows mostly name the
 same one and form a run. The steps:
 
-1. Documents are dealt into blocks by a hash of their id. A block sends the
+1. Documents are dealt into blocks by a hash of id and text. A block sends the
    distinct keys of its anchors, with a bit for those of two documents of its
    own, packed by bucket.
 2. A bucket of keys answers each block with those of its keys that another
@@ -183,7 +183,10 @@ class SharedWindows:
     """
 
     def __init__(self, length: int, k: int, words: bool, compare: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]):
-        self.length, self.k, self.words, self.compare = length, k, words, compare
+        """k units a gram, more for long windows: a run has length - k + 1 windows at most, which must fit 63 bits."""
+        if length < 1:
+            raise ValueError("a window has at least one unit")
+        self.length, self.k, self.words, self.compare = length, min(max(k, length - 62), length), words, compare
 
     def send_keys(self, n: int, b: Block, block: int) -> pa.Table:
         r = runs_of(b, self.length, self.k)
@@ -294,7 +297,7 @@ class SharedWindows:
         ship(docs.sparkSession)
         op, words = self, self.words
         _, _, n = tk.block_sizes(docs.sparkSession, docs, block_bytes=block_bytes)
-        d = docs.select(tk.long_id(), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"))
+        d = docs.select(tk.long_id(), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"))
         blocks = d.groupBy("block")
         number = lambda t: t.column("block")[0].as_py()
 

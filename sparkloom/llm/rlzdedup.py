@@ -60,7 +60,7 @@ def factors(docs: np.ndarray, lengths: np.ndarray, units: np.ndarray, length: in
     return out
 
 
-def dedup(docs: DataFrame, *, length: int = 50, k: int = 16, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 50, k: int = 16, texts: bool = False, block_bytes: int = 2 << 20) -> DataFrame:
     """A row a document: counts and the digest of the kept words joined by a space, or that text."""
     op = SharedWindows(length, k, True, factors)
 
@@ -81,4 +81,4 @@ def dedup(docs: DataFrame, *, length: int = 50, k: int = 16, texts: bool = False
             return pa.table([pa.array(b.ids), pa.array([x.decode() for x in out], pa.string()), pa.array(n)], schema=TEXTS)
         return pa.table([pa.array(b.ids), pa.array(np.diff(b.uoffs)), pa.array(n), pa.array([hashlib.sha256(x).hexdigest() for x in out])], schema=ROWS)
 
-    return op.run(docs, finish, TEXTS if texts else ROWS)
+    return op.run(docs, finish, TEXTS if texts else ROWS, block_bytes)

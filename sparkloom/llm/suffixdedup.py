@@ -2,15 +2,15 @@
 
 A byte goes if it lies in a string of ``length`` bytes that also starts in a
 document with a smaller id. ``anchors`` brings the texts around shared anchors
-together; here they are sorted into a suffix array, cut at ``length`` bytes.
-Texts are laid out by document, so among equal prefixes the suffix array keeps
-the order of documents, and the previous smaller position in suffix order is
-an earlier document's. Where the longest previous factor taken over other
-documents reaches ``length``, the window goes; the first document keeps it. No
-array of these factors is built, with previous and next smaller positions: at
-this one threshold it's enough to compare each suffix with the first of its
-group of equal windows. Runs that are equal within or across blocks are marked
-by a 64-bit hash before, in ``anchors``.
+together; here they are sorted into a suffix array, cut at ``length`` bytes, with
+the lengths that neighbours have in common, cut likewise. For every suffix the
+previous and the next one in suffix order that an earlier document has are found
+by pointer jumping, together with the least common length on the way; the greater
+of the two is the longest previous factor. Where it reaches ``length``, the window
+goes; the first document keeps it. Suffixes whose neighbours differ from them
+within ``length`` bytes have shorter factors and are left out before. Runs that
+are equal within or across blocks are marked by a 64-bit hash before, in
+``anchors``.
 
 Nulls: a null id is one id, smaller than all others; a null text is empty. Documents with equal ids do not count as earlier
 ones. Windows are judged on the input. Empty tables give no rows.
@@ -61,6 +61,29 @@ def suffixes(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
     return order, same
 
 
+def nearest_earlier(docs: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of each suffix the length it shares with the nearest one before it, in suffix
+    order, that an earlier document has; 0 where there is none. common[i] is what
+    i - 1 and i share; where that is 0 the search ends."""
+    at, low = np.arange(len(docs)) - 1, common.copy()
+    open_ = np.flatnonzero((low > 0) & (at >= 0))
+    open_ = open_[docs[at[open_]] >= docs[open_]]
+    while len(open_):
+        # all between at[j] and j belong to documents not before that of j, so they can be skipped
+        j = at[open_]
+        to, least = at[j], np.minimum(low[open_], low[j])
+        at[open_], low[open_] = to, np.where(to < 0, 0, least)
+        open_ = open_[low[open_] > 0]
+        open_ = open_[docs[at[open_]] >= docs[open_]]
+    return low
+
+
+def longest_previous(docs: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factors of suffixes in order: by the previous and the next smaller document."""
+    back = np.concatenate([[0], common[:0:-1]]) if len(common) else common
+    return np.maximum(nearest_earlier(docs, common), nearest_earlier(docs[::-1], back)[::-1])
+
+
 def earlier_factors(docs: np.ndarray, lengths: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
     """Whether the longest previous factor in another document reaches ``length``, at each window."""
     first = np.cumsum(lengths) - lengths
@@ -80,8 +103,9 @@ def earlier_factors(docs: np.ndarray, lengths: np.ndarray, text: np.ndarray, len
         b = int(edges[np.searchsorted(edges, min(a + SLICE, len(starts)))])
         part = np.sort(by_lead[a:b])
         order, same = suffixes(text, starts[part], length)
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        out[part[order]] = doc[part[order]] > doc[part[order[head]]]
+        some = np.flatnonzero(same | np.append(same[1:], False))
+        x = part[order[some]]
+        out[x] = longest_previous(doc[x], np.where(same[some], length, 0)) >= length
         a = b
     return out
 
@@ -96,7 +120,7 @@ def removed(b: Block, dup: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     return gone, np.diff(total[b.uoffs]), np.diff(spans[b.uoffs])
 
 
-def dedup(docs: DataFrame, *, length: int = 50, k: int = 24, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 50, k: int = 24, texts: bool = False, block_bytes: int = 2 << 20) -> DataFrame:
     """A row a document: counts and the digest of what is kept, or with ``texts``
     the kept text (bytes of characters cut in two are dropped from it)."""
     op = SharedWindows(length, k, False, earlier_factors)
@@ -111,4 +135,4 @@ def dedup(docs: DataFrame, *, length: int = 50, k: int = 24, texts: bool = False
             return pa.table([pa.array(b.ids), pa.array([x.decode(errors="ignore") for x in out], pa.string()), pa.array(n)], schema=TEXTS)
         return pa.table([pa.array(b.ids), pa.array(np.diff(b.offs)), pa.array(n), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in out])], schema=ROWS)
 
-    return op.run(docs, finish, TEXTS if texts else ROWS)
+    return op.run(docs, finish, TEXTS if texts else ROWS, block_bytes)
