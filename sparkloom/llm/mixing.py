@@ -71,7 +71,12 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, mos
     n = max(1, -(-sized.count() // rows_per_range))
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), 11) + 0.5) / float(2**53)
     d = sized.withColumn("_key", -F.log(u) / F.col("_weight"))
-    d = d.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * n), F.lit(n - 1)))
+    # the share of all keys below this one, weights taken to the nearest power of 2: ranges of about equal numbers
+    kind = F.greatest(F.lit(-40), F.least(F.lit(40), F.round(F.log2("_weight")))).cast("int")
+    kinds = sized.groupBy(kind.alias("k")).count().collect()
+    rows = max(1, sum(r["count"] for r in kinds))
+    below = sum((F.lit(r["count"] / rows) * (1 - F.exp(-F.col("_key") * 2.0 ** r["k"])) for r in kinds), F.lit(0.0))
+    d = d.withColumn("_range", F.least(F.floor(below * n), F.lit(n - 1)))
     t = source_targets(sized, list(weights), share, most)
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long"))
     t = t.withColumn("_left", F.greatest(F.round("target").cast("long") - F.col("epochs") * F.col("source_size"), F.lit(0)))
