@@ -22,7 +22,8 @@ words seen once, wherever it stands, and the rest is scaled down.
 
 Nulls: a null text is empty; every text has an end token, so an empty one still
 has a score. Repeated rows are scored and learned from each. With no training
-rows everything is unknown. Empty tables give no rows.
+rows everything is unknown, the one type there is, and every score is 0. Other
+columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -353,7 +354,8 @@ class Model:
 
 
 def scores(docs: DataFrame, train: Column, *, frequent_share: int = 12_288, n_classes: int = 48, block_bytes: int = 4 << 20, passes: int = 2) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, train_words, base_score, score.
+    """doc_id, train, n_tokens, n_known, train_tokens, train_words, base_score, score
+    and perplexity (10 to the power of -score / n_tokens).
 
     A word is in the core if it occurs at least bytes / frequent_share times,
     bytes being those of all texts: at most frequent_share words do. All other
@@ -364,7 +366,7 @@ def scores(docs: DataFrame, train: Column, *, frequent_share: int = 12_288, n_cl
     d = docs.select(tk.long_id(), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     _, size, n = tk.block_sizes(spark, d, block_bytes=block_bytes)
     frequent = max(size / frequent_share, 2.0)
-    blocks = d.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).groupBy("block")
+    blocks = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).groupBy("block")
 
     def tidy(out: pa.Table) -> pa.Table:
         tk.release()
@@ -433,4 +435,5 @@ def scores(docs: DataFrame, train: Column, *, frequent_share: int = 12_288, n_cl
                 base = s.plus_one - s.n * np.log10(mod.tokens + mod.kinds + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.train), pa.array(s.n), pa.array(s.known_n), pa.array(np.full(k, mod.tokens)), pa.array(np.full(k, mod.kinds)), pa.array(base), pa.array(mod.score(s, classes_of(s, start.value)))], names)
 
-    return tk.with_null_ids(stored.mapInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, train_words long, base_score double, score double"), "doc_id")
+    out = stored.mapInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, train_words long, base_score double, score double")
+    return tk.with_null_ids(out, "doc_id").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
