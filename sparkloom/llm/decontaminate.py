@@ -12,7 +12,10 @@ Phrases are read in blocks of bounded size, each sent to the executors once;
 documents are not shuffled.
 
 Nulls: a null text has no words; a benchmark row with null text or id is
-ignored; repeated items count once an id. Empty tables give no hits or no rows.
+ignored; repeated items count once an id. Repeated documents are judged each, and
+very long texts whole, as a shard of their own. Empty tables give no hits or no
+rows. Benchmark sets are held by the driver and every worker as a whole: this is
+meant for sets of some 10 million words at most.
 """
 
 from __future__ import annotations
@@ -218,13 +221,15 @@ def shards(offs: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = 10, keep: list[str] = ("doc_id",)) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = 10, keep: list[str] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The kept columns with n_words, n_hit, items (sorted as strings) and
-    spans: merged byte ranges [start, end) of the text to remove."""
+    spans: merged byte ranges [start, end) of the text to remove. A kept column
+    named like one of these is replaced; ``prefix`` gives them other names."""
     ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     sent = [sc.broadcast(b) for b in phrase_blocks(bench, window)]
-    keep = list(keep)
+    added = [prefix + c for c in ("n_words", "n_hit", "items", "spans")]
+    keep = [c for c in keep if c.lower() not in added]
     d = docs.select(*keep, docs["text"].alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
     more = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -250,10 +255,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = 10, keep:
                     spans[t].append({"start": int(s[i] + offs[a] - offs[a + t]), "end": int(e[m - 1] + offs[a] - offs[a + t])})
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(a, b - a).columns[:-1], pa.array(np.diff(woff)), pa.array(total[woff[1:]] - total[woff[:-1]]), pa.array([sorted(x) for x in items], more.field("items").type), pa.array(spans, more.field("spans").type)],
-                    [*keep, *more.names],
+                    [*keep, *added],
                 )
 
-    return d.mapInArrow(run, f"{kept}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    kinds = ("long", "long", "array<string>", "array<struct<start: long, end: long>>")
+    return d.mapInArrow(run, ", ".join([*filter(None, [kept]), *(f"`{c}` {t}" for c, t in zip(added, kinds, strict=True))]))
 
 
 def sha256_items(items: list[str]) -> str:

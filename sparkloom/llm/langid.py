@@ -11,14 +11,17 @@ the shortest code wins.
 The cost of a byte depends on it and the ``order`` bytes before it only, so a
 batch is scored by looking up its distinct grams once.
 
-Nulls: a null text and one without any letter are ``und`` with score 0. Ties go
-to the language first in code point order. Without labelled rows every text is
-``und``. Very long texts are scored whole, a chunk at a time.
+Nulls: a null text and one without any letter (Unicode category L) are ``und``
+with score 0. Ties go to the language first in code point order. Without
+labelled rows every text is ``und``. Very long texts are scored whole, a chunk at
+a time. Repeated rows are learned from once and scored each. A column named like
+one that is added is replaced; ``prefix`` gives the added ones other names. The
+trees of all labels are held by the driver and every worker, so labels must be
+few (languages, not free text).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,6 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import textkit as tk
 
-LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 
 
@@ -117,31 +119,39 @@ class Trees:
         return out
 
 
-def learn(docs: DataFrame, held_in: Column, *, order: int = 3, texts_per_lang: int = 200) -> Trees:
-    """Trees from at most texts_per_lang whole texts of each label, the first by a hash of their ids."""
-    rows = docs.where(held_in & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= texts_per_lang)
-    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_l"))
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def learn(docs: DataFrame, held_in: Column, *, order: int = 3, texts_per_lang: int = 200, most_bytes: int = 1 << 18) -> Trees:
+    """Trees from at most texts_per_lang different whole texts of each label, each of
+    at most most_bytes: the first by a hash of id and text. So the driver gets no
+    more than texts_per_lang * most_bytes a label, however often a row repeats."""
+    rows = docs.where(held_in & F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes)).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    w = W.partitionBy("lang").orderBy("_h")
+    first = rows.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= texts_per_lang).drop("_n")
     texts: dict[str, list[str]] = {}
-    for lang, text in rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_l"))).select("lang", "text").collect():
-        texts.setdefault(lang, []).append(text)
+    for r in rows.join(F.broadcast(first), ["lang", "_h"], "left_semi").dropDuplicates(["lang", "_h"]).collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
     return Trees({k: sorted(v) for k, v in texts.items()}, order)
 
 
-def identify(docs: DataFrame, trees: Trees) -> DataFrame:
+def identify(docs: DataFrame, trees: Trees, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score (the winner's share of the posterior) and bits_per_byte."""
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    names = docs.columns
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, lang_pred string, score double, bits_per_byte double"
+    added = [prefix + c for c in ("lang_pred", "score", "bits_per_byte")]
+    names = [c for c in docs.columns if c.lower() not in added]
+    d = docs.select(*names)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields), *(f"`{c}` {t}" for c, t in zip(added, ("string", "double", "double"), strict=True))])
+    at = [c.lower() for c in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            texts = batch.column(names.index("text"))
+            texts = batch.column(at)
             buf, offs = tk.pack(texts)
-            ok = np.array([bool(t) and LETTER.search(t) is not None for t in (x.as_py() for x in texts)], bool)
+            ok = np.array([has_letter(x.as_py()) for x in texts], bool)
             ok &= bool(m.langs)
             pred, score, rate = np.full(len(ok), UND, object), np.zeros(len(ok)), np.zeros(len(ok))
             if ok.any():
@@ -152,7 +162,7 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
                 pred = np.where(ok, np.array(m.langs, object)[best], UND)
                 score = np.where(ok, share, 0.0)
                 rate = np.where(ok, least / np.maximum(np.diff(offs), 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], [*names, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], [*names, *added])
             tk.release()
 
-    return docs.mapInArrow(run, schema)
+    return d.mapInArrow(run, schema)
