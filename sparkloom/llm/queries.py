@@ -29,6 +29,16 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.join(media.describe(media.store(docs)), "digest", "left").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The real web pages as ordered parts, references resolved against the stored texts."""
+    prepare(spark)
+    seq = media.interleave(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    parts = media.resolve(seq, media.describe(media.store(documents(spark, sf_dir))), "page_id")
+    kind = lambda k: F.size(F.filter("parts", lambda p: p["kind"] == k)).cast("long")
+    said = F.transform("parts", lambda p: F.concat_ws("|", p["pos"], p["kind"], p["text"], p["ref"]))
+    return parts.select("page_id", kind("text").alias("n_text"), kind("media").alias("n_media"), F.sha2(F.array_join(said, "\n"), 256).alias("parts_sha256"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(documents(spark, sf_dir))
 
@@ -62,14 +72,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)), F.lit(0)) == 2
     d = brownlm.scores(documents(spark, sf_dir), ~held_out)
-    return d.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return d.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)), F.lit(0))
     trees = langid.learn(docs, fold != 1)
     d = langid.identify(docs.select("doc_id", "text"), trees)
     return d.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
@@ -78,6 +88,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
+    "media_pages": media_pages,
     "op3_ngram_join": op3_ngram_join,
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
