@@ -55,27 +55,41 @@ def with_null_id(docs):
     return docs.withColumn("doc_id", F.when(F.col("doc_id") != 0, F.col("doc_id")))
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize(("length", "block_bytes"), [(50, 2 << 20), (50, 1024), (20, 4096), (100, 4096), (160, 4096)])
+def test_suffix_dedup(docs, empty, length, block_bytes):
     rows, first = corpus(), {}
     for d, t, *_ in sorted(rows, key=lambda x: x[0]):
         b = (t or "").encode()
-        for a in range(len(b) - 49):
-            first.setdefault(b[a : a + 50], d)
+        for a in range(len(b) - length + 1):
+            first.setdefault(b[a : a + length], d)
     want = Counter()
     for d, t, *_ in rows:
         b = (t or "").encode()
         g = bytearray(len(b))
-        for a in range(len(b) - 49):
-            if first[b[a : a + 50]] < d:
-                g[a : a + 50] = b"\1" * 50
+        for a in range(len(b) - length + 1):
+            if first[b[a : a + length]] < d:
+                g[a : a + length] = b"\1" * length
         spans = sum(1 for i in range(len(g)) if g[i] and (i == 0 or not g[i - 1]))
         want[d, len(b), sum(g), spans, hashlib.sha256(bytes(x for x, y in zip(b, g, strict=True) if not y)).hexdigest()] += 1
-    assert Counter(tuple(r) for r in suffixdedup.dedup(docs).collect()) == want
-    assert suffixdedup.dedup(empty).count() == 0
-    assert suffixdedup.dedup(with_null_id(docs)).where("doc_id is null").count() == 1
+    assert Counter(tuple(r) for r in suffixdedup.dedup(docs, length=length, block_bytes=block_bytes).collect()) == want
+    if block_bytes > 4096:
+        assert suffixdedup.dedup(empty).count() == 0
+        assert suffixdedup.dedup(with_null_id(docs)).where("doc_id is null").count() == 1
 
 
-def test_substring_dedup(docs, empty):
+def test_longest_previous_factors():
+    """Against the definition: the longest common length with any suffix of an earlier document."""
+    r = np.random.default_rng(6)
+    for _ in range(30):
+        n = int(r.integers(1, 40))
+        docs, common = r.integers(0, 6, n), r.integers(0, 4, n)
+        common[0] = 0
+        want = [max([0, *(min(common[min(i, j) + 1 : max(i, j) + 1]) for j in range(n) if docs[j] < docs[i])]) for i in range(n)]
+        assert suffixdedup.longest_previous(docs, common).tolist() == want
+
+
+@pytest.mark.parametrize("block_bytes", [2 << 20, 1024])
+def test_substring_dedup(docs, empty, block_bytes):
     rows, first = corpus(), {}
     for d, t, *_ in sorted(rows, key=lambda x: x[0]):
         w = SPACE.findall(t or "")
@@ -89,7 +103,7 @@ def test_substring_dedup(docs, empty):
             if first[tuple(w[a : a + 50])] < d:
                 g[a : a + 50] = [1] * 50
         want[d, len(w), sum(g), hashlib.sha256(" ".join(x for x, y in zip(w, g, strict=True) if not y).encode()).hexdigest()] += 1
-    assert Counter(tuple(r) for r in rlzdedup.dedup(docs).collect()) == want
+    assert Counter(tuple(r) for r in rlzdedup.dedup(docs, block_bytes=block_bytes).collect()) == want
     assert rlzdedup.dedup(empty).count() == 0
 
 
@@ -255,6 +269,28 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_prefers_heavy_documents(spark, docs):
+    """Keys by weight: the documents of the partial epoch are those with the least -ln(u) / weight."""
+    rows = [(i, "w " * 10, None, "s", 0, "x", 1) for i in range(400)] + [(1000 + i, "w " * 10, None, "t", 0, "x", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    quality = spark.createDataFrame([(i, 1000.0 if i % 4 == 0 else 0.01) for i in range(400)], "doc_id long, weight double")
+    got = mixing.mix(df, [1, 20], 0.3, 2.0, quality=quality, rows_per_range=10).where("source = 's' and taken > 0").collect()
+    key = df.join(quality, "doc_id").select("doc_id", (-F.log((F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) + 0.5) / float(2**53)) / F.col("weight")).alias("k")).orderBy("k").collect()
+    assert 0 < len(got) < 400
+    assert {r.doc_id for r in got} == {r.doc_id for r in key[: len(got)]}
+
+
+def test_media_pages(spark):
+    from sparkloom.llm import queries as q
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.page_id: tuple(r)[1:] for r in q.media_pages(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        p = media.parse_parts(r.html)
+        said = "\n".join("|".join(str(x[c]) for c in ("pos", "kind", "text", "ref") if x[c] is not None) for x in p)
+        assert got[r.page_id] == (sum(x["kind"] == "text" for x in p), sum(x["kind"] == "media" for x in p), hashlib.sha256(said.encode()).hexdigest())
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs, 4, rows_per_range=5).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, *_ in corpus())
@@ -262,6 +298,16 @@ def test_sharding(docs, empty):
         slots = sorted(r.slot for r in got if r.shard == k)
         assert slots == list(range(len(slots)))
     assert sharding.shard(empty).count() == 0
+    # copies stay together and shards are near equal where no group is larger than a shard
+    r = random.Random(1)
+    many = [(i, f"t{r.randrange(1500)} " + "w " * r.randrange(60), None, None, 0, "x", 1) for i in range(3000)]
+    out = sharding.shard(docs.sparkSession.createDataFrame(many, SCHEMA), 4).collect()
+    where, load = defaultdict(set), Counter()
+    for x, t in zip(sorted(out, key=lambda x: x.doc_id), many, strict=True):
+        where[t[1]].add(x.shard)
+        load[x.shard] += x.size
+    assert all(len(x) == 1 for x in where.values())
+    assert max(load.values()) <= 1.02 * min(load.values())
     v = np.array([[5.0, 1, 1], [1, 5, 1], [3, 3, 3], [3, 3, 3]])
     assert len(set(sharding.pack_vectors(v, 4))) == 4
 
@@ -280,6 +326,21 @@ def test_language(docs, empty):
     assert np.exp2(-bits[:256]).sum(axis=0).max() <= 1 + 1e-9
 
 
+def test_language_learns_a_bounded_sample_and_survives_names(spark):
+    rows = [(None, "the same words", "en", 1.0)] * 300 + [(i, f"text {i} of many", "en", 1.0) for i in range(50)] + [(1, "½ ² ①", "de", 2.0), (2, "ü", None, 3.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    trees = langid.learn(df, F.lit(True), texts_per_lang=20)
+    assert sum(t[4].sum() for t in trees.tables[:1]) <= 20 * 20 + 10
+    got = langid.identify(df, trees).collect()
+    assert {r.lang_pred for r in got if r.text == "½ ² ①"} == {langid.UND} and all(0 <= r.score <= 1 for r in got)
+    kept = langid.identify(df, trees, prefix="_p_").collect()
+    assert sorted(r.score for r in kept) == sorted(r[3] for r in rows)
+    bench = spark.createDataFrame([(1, "the same words")], "item_id long, text string")
+    more = df.withColumn("n_hit", F.lit("own")).withColumn("items", F.lit(1))
+    assert decontaminate.decontaminate(more, bench, keep=more.columns).where("n_hit > 0").count() == 300
+    assert {r.n_hit for r in decontaminate.decontaminate(more, bench, keep=more.columns, prefix="_p_").collect()} == {"own"}
+
+
 def test_code_lengths():
     """Bits and the best language by counting contexts anew for every byte."""
     r = random.Random(8)
@@ -322,9 +383,32 @@ def test_class_lm(docs, empty):
         w = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(np.log10((count[x] + 1) / (n + v + 1)) for x in w)) and r.score < 0
+        assert r.perplexity == pytest.approx(10 ** (-r.score / len(w)))
     assert brownlm.scores(empty, F.lit(True)).count() == 0
 
 
+def test_class_lm_is_a_distribution():
+    """After every class the probabilities of all words and of the unknown one make 1."""
+    pair = np.random.default_rng(2).poisson(5, (7, 7)).astype(float)
+    pair[0] = pair[:, 0] = 0
+    m = brownlm.Model(pair, 9, int(pair.sum()), 40)
+    size = pair.sum(axis=0)
+    each = np.where(size > 0, 10**m.step * size, 0)
+    assert (each[:, 1:].sum(axis=1) + 10 ** m.step[:, 0])[1:] == pytest.approx(np.ones(6))
+
+
+def test_exchange_raises_the_likelihood():
+    r = np.random.default_rng(3)
+    n = r.poisson(r.gamma(0.2, 5, (25, 25))).astype(float)
+
+    def likelihood(of):
+        p = np.eye(4)[of].T @ n @ np.eye(4)[of]
+        return float(brownlm.xlogx(p).sum() - brownlm.xlogx(p.sum(axis=0)).sum() - brownlm.xlogx(p.sum(axis=1)).sum())
+
+    each = [likelihood(brownlm.exchange_classes(n, 4, rounds=k)) for k in range(4)]
+    assert each == sorted(each) and each[1] > each[0]
+
+
 def test_class_lm_assigns_rare_words(spark):
     r = random.Random(3)
     noun = lambda: r.choice(["n0", "n0", f"n{r.randint(1, 40)}"])
