@@ -19,10 +19,17 @@ MOST_IDS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without any letter, or null, go."""
+    """Documents without a language go: null texts and texts without any letter.
+
+    Where no row is labelled, none is learned, and only the letters decide.
+    Repeated rows and null ids stay; extra columns are kept, whatever their names.
+    """
     queries.prepare(spark)
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)), F.lit(0))
-    return langid.identify(docs, langid.learn(docs, fold != 1)).where(F.col("lang_pred") != langid.UND).select(*docs.columns)
+    trees = langid.learn(docs, fold != 1)
+    if not trees.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return langid.identify(docs, trees, prefix="_op_").where(F.col("_op_lang_pred") != langid.UND).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +55,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go; null and empty texts have none. Extra
+    columns are kept, whatever their names."""
     queries.prepare(spark)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, bench, keep=docs.columns).where("n_hit = 0").select(*docs.columns)
+    return decontaminate.decontaminate(docs, bench, keep=docs.columns, prefix="_op_").where("_op_n_hit = 0").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
