@@ -184,11 +184,10 @@ def candidates(r: dict, side: pa.Table, size: int, percent: int) -> pa.Table:
     return pa.table([*out.columns, *more], schema=CANDIDATES)
 
 
-def proposals(e: DataFrame, percent: int, round_: int) -> DataFrame:
+def proposals(e: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of a set and at most three earlier ones that its tokens propose; e has entries by token."""
     place = F.struct("fdoc", "fline")
-    part = F.col("shared") / F.col("n") + (F.pmod(F.xxhash64("doc", F.lit(round_)), F.lit(1024)) / 8192 if round_ else 0)
-    who = F.struct(part.alias("part"), *(F.col(c) for c in ("doc", "n", "shared", "fdoc", "fline")))
+    who = F.struct((F.col("shared") / F.col("n")).alias("part"), *(F.col(c) for c in ("doc", "n", "shared", "fdoc", "fline")))
     each = e.groupBy("token", "slice").agg(F.max(who).alias("hub"), F.min(place).alias("p"), F.min_by(who, place).alias("a"))
     ends = each.groupBy(F.col("token").alias("_token")).agg(F.collect_list(F.struct("slice", "hub")).alias("hubs"), F.min(F.struct("p", "a"))["a"].alias("a"))
     x = e.join(ends, F.col("token") == F.col("_token"))
@@ -199,12 +198,12 @@ def proposals(e: DataFrame, percent: int, round_: int) -> DataFrame:
     could = F.least("shared", "o.shared") * (100 + percent) >= percent * (F.col("n") + F.col("o.n"))
     x = x.where(F.struct("o.fdoc", "o.fline") < F.col("p")).where(F.least("n", "o.n") * 100 >= F.greatest("n", "o.n") * percent).where(could)
     x = x.groupBy("doc", F.col("o.doc").alias("o")).agg(F.count(F.lit(1)).alias("k"), F.max("o.part").alias("part"))
-    best = [F.max_by("o", F.struct("part", "k", "o")), F.max_by("o", F.struct("k", "part", "o")), F.max_by("o", F.xxhash64("doc", "o", F.lit(round_)))]
+    best = [F.max_by("o", F.struct("part", "k", "o")), F.max_by("o", F.struct("k", "part", "o")), F.max_by("o", F.xxhash64("doc", "o"))]
     return x.groupBy(F.col("doc").alias("x")).agg(F.array_distinct(F.array(*best)).alias("_y")).select("x", F.explode("_y").alias("y"))
 
 
-#: Stretches of places that have hubs of their own, and rounds of proposals.
-SLICES, ROUNDS = 16, 2
+#: Stretches of places that have hubs of their own.
+SLICES = 16
 
 
 def matched(found: DataFrame, percent: int) -> DataFrame:
@@ -220,28 +219,24 @@ def matched(found: DataFrame, percent: int) -> DataFrame:
     most = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
     ends = e.groupBy(F.col("token").alias("_token")).agg(F.min(place).alias("_first"), F.min("n").alias("_least"), F.count(F.lit(1)).alias("_many")).where("_many > 1")
     e = table(e.join(ends, F.col("token") == F.col("_token")).where(most >= F.col("_least")).select(*own, "slice", "token", "level", "place", (place > F.col("_first")).alias("later")), "entries")
-    left, gone = e.where("later"), None
-    for r in range(ROUNDS):
-        tokens = left.select(F.col("token").alias("_t")).distinct()
-        some = e if not r else e.join(tokens, F.col("token") == F.col("_t"), "left_semi")
-        pairs = proposals(some, percent, r)
-        if gone is not None:
-            pairs = pairs.join(gone, F.col("x") == F.col("_gone"), "left_anti")
-        new = table(nj.verify(pairs, sets, percent).select(F.col("x").alias("_gone")).distinct(), "gone")
-        gone = new if gone is None else gone.union(new)
-        left = table(left.join(new, F.col("doc") == F.col("_gone"), "left_anti"), "left")
+    gone = table(nj.verify(proposals(e, percent), sets, percent).select(F.col("x").alias("_gone")).distinct(), "gone")
+    left = table(e.where("later").join(gone, F.col("doc") == F.col("_gone"), "left_anti"), "left")
     # what is left meets every earlier set of its postings
     some = left.groupBy(F.col("token").alias("_token")).agg(F.max(place).alias("_last"), F.max(most).alias("_most"))
     f = e.join(some, F.col("token") == F.col("_token")).where(place < F.col("_last")).where(F.col("n") <= F.col("_most"))
-    bits = found.select(F.col("doc").alias("_d"), "bits")
-    f = f.join(bits, F.col("doc") == F.col("_d")).select(*(F.col(c).alias(f"{c}2") for c in (*own, "level", "place", "bits")), F.col("token").alias("token2"))
+    upto = F.array(*[F.size(F.filter("levels", lambda x, i=i: x <= i)) for i in (1, 2, 3)])
+    more = found.select(F.col("doc").alias("_d"), "bits", "tokens", upto.alias("upto"))
+    f = f.join(more, F.col("doc") == F.col("_d")).select(*(F.col(c).alias(f"{c}2") for c in (*own, "token", "level", "place", "bits", "tokens", "upto")))
     differ = sum(F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i)))) for i in range(BITMAP))
     both = F.col("n") + F.col("n2")
     least = F.least("ell", "ell2")
     reach = F.least("place", "place2") + F.least(F.col("shared") - F.col("place"), F.col("shared2") - F.col("place2"))
-    p = left.join(bits, F.col("doc") == F.col("_d")).join(f, F.col("token") == F.col("token2")).where(F.struct("fdoc2", "fline2") < place)
-    p = p.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent).where((100 + percent) * reach >= percent * both).where((100 + percent) * (both - differ) >= 2 * percent * both).where(F.greatest("level", "level2") <= least)
-    p = p.groupBy(F.col("doc").alias("x"), F.col("doc2").alias("y")).agg(F.count(F.lit(1)).alias("k"), F.first(least).alias("ell")).where("k >= ell").select("x", "y")
+    p = left.join(more, F.col("doc") == F.col("_d")).join(f, F.col("token") == F.col("token2")).where(F.struct("fdoc2", "fline2") < place)
+    p = p.where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent).where((100 + percent) * reach >= percent * both).where(F.greatest("level", "level2") <= least)
+    p = p.where((100 + percent) * (both - differ) >= 2 * percent * both)
+    # the first of the prefix tokens that two sets share brings the pair
+    common = F.array_intersect(F.slice("tokens", 1, F.element_at("upto", least)), F.slice("tokens2", 1, F.element_at("upto2", least)))
+    p = p.where((F.size(common) >= least) & (F.get(common, F.lit(0)) == F.col("token"))).select(F.col("doc").alias("x"), F.col("doc2").alias("y"))
     return gone.union(table(nj.verify(p, sets, percent).select("x").distinct(), "gone"))
 
 
