@@ -49,11 +49,11 @@ def generate_json(df: DataFrame, prompt: str, out: str, generate: Callable[[str]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def once(text: str | None) -> str | None:
-        from ..functions.pytext import extract_json_text, repair_json_text
+        from ..functions.replies import object_text
 
         for _ in range(retries + 1):
             try:
-                got = canonical(repair_json_text(extract_json_text(generate(text or ""))))
+                got = canonical(object_text(generate(text or "")))
             except Exception:  # noqa: BLE001 - a model may fail in any way; the next attempt may not
                 continue
             if got is not None and (accept is None or accept(json.loads(got))):
@@ -68,6 +68,26 @@ def generate_json(df: DataFrame, prompt: str, out: str, generate: Callable[[str]
     return df.mapInArrow(run, f"{fields}, {out} string")
 
 
+def generate_text(df: DataFrame, prompt: str, out: str, generate: Callable[[str], str]) -> DataFrame:
+    """df with a column of what generate(prompt) answered; null where it failed."""
+    ship(df.sparkSession)
+    names = df.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def once(text: str | None) -> str | None:
+        try:
+            return generate(text or "")
+        except Exception:  # noqa: BLE001 - a model may fail in any way
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([once(t) for t in b.column(names.index(prompt)).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, made], [*names, out])
+
+    return df.mapInArrow(run, f"{fields}, {out} string")
+
+
 def is_documentation(value: object) -> bool:
     """A reply counts if it has one of the two parts."""
     return isinstance(value, dict) and ("postman" in value or "swagger" in value)

@@ -61,11 +61,15 @@ def words(x: Column) -> Column:
 
 
 def windows(x: Column, size: int) -> Column:
-    """Text in windows of size words, if it has more than that; else the text alone."""
-    w = words(x)
-    n = F.size(w)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-    return F.when(n > size, cut).otherwise(F.array(x))
+    """Structs (part, cut): text in windows of size words, if it has more than that; else the text alone.
+
+    The words are bound once as the argument of a lambda, so a text is split once
+    however many windows it has.
+    """
+    item = lambda part, cut: F.struct(part.alias("part"), F.lit(cut).alias("cut"))
+    at = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size))
+    many = lambda w: F.transform(at(w), lambda i: item(F.array_join(F.slice(w, i + 1, size), " "), True))
+    return F.flatten(F.transform(F.array(words(x)), lambda w: F.when(F.size(w) > size, many(w)).otherwise(F.array(item(x, False)))))
 
 
 def endpoint_alerts(path: Column, method: Column, url: Column | None = None) -> Column:
@@ -135,6 +139,9 @@ def join_path(base: Column, path: Column) -> Column:
     return F.when(F.coalesce(path, F.lit("")) == "", base).otherwise(joined)
 
 
+# The marks of a fenced reply.
+
+
 def extract_json(x: Column) -> Column:
     """Text of a reply without fences, cut to its outermost braces where it has both."""
     y = F.regexp_replace(F.regexp_replace(strip(x), r"^```json\s*", ""), r"^```\s*", "")

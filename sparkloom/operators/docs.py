@@ -6,15 +6,16 @@ import json
 import os
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.strict import generate_json, is_documentation
 from .shape import first_wins, last_wins
 
+# Wording of documents and artifacts, here and in fallback(), openapi() and examples_ts().
 NO_DEPS = "No internal dependencies identified."
 SCHEMA_URL = "https://schema.getpostman.com/json/collection/v2.1.0/collection.json"
 
@@ -42,11 +43,13 @@ def dependency_context(methods: DataFrame, documents: DataFrame, keys: list[str]
     """
     docs = documents.where(F.col("type") == "ast_method")
     first = first_wins(docs, ["method_name"], ["class_name", "file_name"]).select(F.col("method_name").alias("_m"), F.col("content").alias("_c"))
-    e = methods.select(*keys, F.posexplode(deps).alias("_pos", "_dep"))
+    # a row stands for itself: overloads share the keys
+    m = methods.withColumn("_row", F.xxhash64(*keys, F.to_json(F.struct(*methods.columns))))
+    e = m.select("_row", F.posexplode(deps).alias("_pos", "_dep")).distinct()
     e = e.join(first, T.dependency_tail(F.col("_dep")) == F.col("_m"), "left")
     said = F.when(F.col("_c").isNull(), F.concat(F.lit("**"), "_dep", F.lit("**: No additional context available.\n"))).otherwise(F.concat(F.lit("**"), "_dep", F.lit("**:\n"), "_c", F.lit("\n")))
-    got = e.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", said.alias("t")))), lambda x: x["t"]), "\n").alias("context"))
-    return methods.join(got, keys, "left").withColumn("context", F.coalesce("context", F.lit(NO_DEPS)))
+    got = e.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", said.alias("t")))), lambda x: x["t"]), "\n").alias("context"))
+    return m.join(got, "_row", "left").withColumn("context", F.coalesce("context", F.lit(NO_DEPS))).drop("_row")
 
 
 def prompt(context: Column) -> Column:
@@ -79,13 +82,41 @@ def documentation(methods: DataFrame, generate: Callable[[str], str] | None = No
     return d.withColumn("documentation", F.coalesce("_made", plain)).drop("_made", "prompt")
 
 
-def save_documentation(docs: DataFrame, folder: str, by: tuple[str, ...] = ("class_name", "method")) -> DataFrame:
-    """Write a row's two parts as JSON text under folder, partitioned by class and
-    method (names made safe); returns counts. Repeats of a key: the last file wins."""
-    safe = [F.regexp_replace(F.coalesce(F.col(c), F.lit("unknown")), r"[^\w.-]", "_").alias(c) for c in by]
-    d = docs.select(*safe, F.col("documentation").alias("value"))
-    d.write.mode("overwrite").partitionBy(*by).text(folder)
-    return docs.agg(F.count(F.lit(1)).alias("methods_processed"), F.count_distinct(*[F.col(c) for c in by]).alias("output_files"))
+def save_documentation(docs: DataFrame, folder: str, by: tuple[str, ...] = ("class_name", "method"), order: str | None = None) -> DataFrame:
+    """Write postman.json and swagger.json of every method into a folder of its own,
+    named by the keys; returns counts. Of rows with the same folder the last by
+    ``order`` is written, or else by the text. Executors write, so the folder must
+    be one they all see."""
+    safe = F.concat_ws("/", *[F.regexp_replace(F.coalesce(F.col(c), F.lit("unknown")), r"[^\w.-]", "_") for c in by])
+    last = docs.groupBy(safe.alias("_folder")).agg(F.max_by("documentation", F.struct(*([order] if order else []), "documentation")).alias("_d"))
+
+    def write(rows: Iterator[Row]) -> None:
+        for r in rows:
+            value, at = json.loads(r["_d"] or "{}"), os.path.join(folder, r["_folder"])
+            os.makedirs(at, exist_ok=True)
+            for part in ("postman", "swagger"):
+                with open(os.path.join(at, f"{part}.json"), "w", encoding="utf-8") as f:
+                    json.dump(value.get(part, {}), f, indent=2)
+
+    last.foreachPartition(write)
+    return docs.agg(F.count(F.lit(1)).alias("methods_processed"), F.count_distinct(safe).alias("output_files"))
+
+
+def save_classes(methods: DataFrame, folder: str) -> None:
+    """Write the classes extracted from each source file as <path>.json, an array of
+    classes with their methods; separators of the path become underscores, so that
+    equal names in different folders stay apart. Executors write."""
+    own = [c for c in methods.columns if c not in ("path", "class_name", "class_type", "base_path")]
+    one = methods.groupBy("path", "class_name", "class_type", "base_path").agg(F.array_sort(F.collect_list(F.struct("method_name", *[c for c in own if c != "method_name"]))).alias("methods"))
+    files = one.groupBy("path").agg(F.to_json(F.array_sort(F.collect_list(F.struct("class_name", "class_type", "base_path", "methods")))).alias("_json"))
+
+    def write(rows: Iterator[Row]) -> None:
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            with open(os.path.join(folder, re.sub(r"[^\w.-]", "_", r["path"].strip("/")) + ".json"), "w", encoding="utf-8") as f:
+                json.dump(json.loads(r["_json"]), f, indent=2)
+
+    files.foreachPartition(write)
 
 
 # ---- artifacts -------------------------------------------------------------
@@ -158,6 +189,3 @@ def generate_artifacts(endpoints: DataFrame, base: str, title: str = "Generated
             f.write(text)
     return out
 
-
-def safe_name(name: str) -> str:
-    return re.sub(r"[^\w.-]", "_", name)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.strict import generate_text
 from ..runtime import ship
 
 
@@ -18,10 +20,10 @@ def chunks(df: DataFrame, content: str = "text", size: int = 500, *, name: Colum
     """df's rows with chunk_no, content and is_sub_chunk: texts of more than size
     words in windows of size words, each behind a line that names where it is from."""
     d = df.withColumn("_parts", T.windows(F.col(content), size))
-    d = d.select("*", F.posexplode("_parts").alias("chunk_no", "_part")).drop("_parts")
-    cut = F.size(T.words(F.col(content))) > size
-    label = name if name is not None else F.lit("")
-    return d.select(*df.columns, "chunk_no", F.when(cut, F.concat(F.lit("Context: Function "), label, F.lit("\n"), "_part")).otherwise(F.col("_part")).alias("content"), cut.alias("is_sub_chunk")).drop("_part")
+    d = d.select(*df.columns, F.posexplode("_parts").alias("chunk_no", "_part"))
+    label, cut = name if name is not None else F.lit(""), F.coalesce("_part.cut", F.lit(False))
+    said = F.when(cut, F.concat(F.lit("Context: Function "), label, F.lit("\n"), "_part.part")).otherwise(F.col("_part.part"))
+    return d.select(*df.columns, "chunk_no", said.alias("content"), cut.alias("is_sub_chunk"))
 
 
 def method_documents(methods: DataFrame) -> DataFrame:
@@ -67,11 +69,40 @@ def embed(df: DataFrame, content: str = "content", out: str = "embedding", model
     return df.withColumn(out, run(F.col(content)))
 
 
-def write_index(docs: DataFrame, path: str) -> DataFrame:
-    """Write documents, one a content, partitioned by type; returns counts by type."""
+def write_index(docs: DataFrame, path: str, policy: str = "replace") -> DataFrame:
+    """Write documents, one a content, partitioned by type; returns counts by type.
+
+    policy: ``replace`` the whole index, ``skip`` documents it has, ``upsert``
+    (new documents take the place of those with the same content) or ``fail`` on
+    such. An index is read and rewritten by snapshot folders: path/v1, path/v2 ...
+    so that a failed write leaves the last one whole.
+    """
+    if policy not in ("replace", "skip", "upsert", "fail"):
+        raise ValueError(f"unknown policy: {policy}")
+    spark = docs.sparkSession
     d = docs.withColumn("doc_key", F.sha2("content", 256)).dropDuplicates(["doc_key"])
-    d.write.mode("overwrite").partitionBy("type").parquet(path)
-    return docs.sparkSession.read.parquet(path).groupBy("type").count()
+    last = _snapshots(spark, path)
+    if last and policy != "replace":
+        old = spark.read.parquet(f"{path}/v{last}")
+        keys = lambda x: x.select("doc_key")
+        if policy == "fail" and not d.join(keys(old), "doc_key", "left_semi").isEmpty():
+            raise ValueError("the index has some of these documents")
+        kept, new = (old.join(keys(d), "doc_key", "left_anti"), d) if policy == "upsert" else (old, d.join(keys(old), "doc_key", "left_anti"))
+        d = kept.unionByName(new, allowMissingColumns=True)
+    d.write.partitionBy("type").parquet(f"{path}/v{last + 1}")
+    return read_index(spark, path).groupBy("type").count()
+
+
+def _snapshots(spark: SparkSession, path: str) -> int:
+    """The number of the last whole snapshot, 0 where there is none."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return max((int(x.getPath().getParent().getName()[1:]) for x in found or []), default=0)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v{_snapshots(spark, path)}")
 
 
 def by_method(index: DataFrame, name: str, kind: str = "ast_method") -> DataFrame:
@@ -117,3 +148,8 @@ def rag_prompt(found: DataFrame, question: str, rank: str = "rank", content: str
     """One row: the texts in order of rank, then the question. found has at most k rows."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(content).alias("c")))), lambda x: x["c"]), "\n---\n")
     return found.agg(F.concat(F.lit("Answer from these sources.\n\n"), body, F.lit(f"\n\nQuestion: {question}")).alias("prompt"))
+
+
+def answer(found: DataFrame, question: str, generate: Callable[[str], str], **columns: str) -> DataFrame:
+    """One row: the prompt and what the model answers to it; null where it fails."""
+    return generate_text(rag_prompt(found, question, **columns), "prompt", "answer", generate)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strict import generate_json
 from .shape import last_wins
 
-CALL = r"(?:\b(this|self)\s*\.\s*)?\b(\w+\s*\.\s*\w+)\s*\("
-
 
 def dependencies(methods: DataFrame, project: list[str] | None = None) -> DataFrame:
     """path, class_name, method, dependencies in order of appearance, is_api_route.
@@ -18,7 +19,7 @@ def dependencies(methods: DataFrame, project: list[str] | None = None) -> DataFr
     this.name count as the own class's. project: columns that bound the lookup.
     """
     keys = project or []
-    m = methods.select(*keys, "path", "class_name", "method_name", "is_api_route", "method_definition").withColumn("_row", F.xxhash64("path", "class_name", "method_name"))
+    m = methods.select(*keys, "path", "class_name", "method_name", "is_api_route", "method_definition").withColumn("_row", F.xxhash64("path", "class_name", "method_name", "method_definition"))
     calls = m.select(*keys, "_row", "class_name", F.posexplode(F.regexp_extract_all("method_definition", F.lit(r"(?:\b(?:this|self)\s*\.\s*)?(\b\w+\s*\.\s*\w+)\s*\("), F.lit(1))).alias("pos", "call"))
     calls = calls.withColumn("call", F.regexp_replace("call", r"\s+", "")).withColumn("_recv", F.substring_index("call", ".", 1)).withColumn("_name", F.substring_index("call", ".", -1))
     own = F.col("_recv").isin("self", "this")
@@ -50,3 +51,23 @@ def mapped_json(classes: DataFrame) -> DataFrame:
     """One row: the mapped classes as a JSON object by class name. A report of one project."""
     entry = F.struct("class_name", F.struct("methods").alias("v"))
     return classes.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["class_name"] < b["class_name"], -1).otherwise(1)))).alias("json"))
+
+
+def prompt(classes: DataFrame) -> DataFrame:
+    """classes(class_name, methods) with the prompt that asks a model for its calls."""
+    code = F.to_json(F.transform("methods", lambda m: m["method_definition"]))
+    task = 'List for each method the calls to other classes of this project, as JSON: {"methods": [{"method": name, "dependencies": ["receiver.name"]}]}. Leave out library calls.\n'
+    return classes.withColumn("prompt", F.concat(F.lit(f"{task}Class: "), F.coalesce("class_name", F.lit("Unknown")), F.lit("\nMethods: "), code))
+
+
+def _has_methods(value: object) -> bool:
+    return isinstance(value, dict) and isinstance(value.get("methods"), list)
+
+
+def by_model(classes: DataFrame, generate: Callable[[str], str], retries: int = 2) -> DataFrame:
+    """class_name, method, dependencies and is_api_route as a model maps them; classes it has no valid answer for are left out."""
+    made = generate_json(prompt(classes), "prompt", "_made", generate, retries=retries, accept=_has_methods)
+    reply = F.from_json("_made", "methods array<struct<method: string, dependencies: array<string>>>")["methods"]
+    d = made.select("class_name", F.explode(reply).alias("_m")).select("class_name", "_m.method", F.coalesce("_m.dependencies", F.array().cast("array<string>")).alias("dependencies"))
+    flat = classes.select("class_name", F.posexplode("methods").alias("ord", "_m")).select("class_name", F.col("_m.method_name").alias("method_name"), F.col("_m.is_api_route").alias("is_api_route"), "ord")
+    return with_flags(d, flat)

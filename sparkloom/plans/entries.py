@@ -49,7 +49,10 @@ def document_methods(methods: DataFrame, mapped: DataFrame, generate: Callable[[
 
 @dataclass
 class Jobs:
-    """Background runs of the mapping plan: processing, then completed or failed."""
+    """Background runs of the mapping plan.
+
+    Fixed values: the states are processing, completed and failed.
+    """
 
     spark: SparkSession
     states: dict[str, dict] = field(default_factory=dict)
@@ -84,9 +87,7 @@ class Jobs:
             self.states[job] = {"status": "failed", "error": f"{type(e).__name__}: {e}"[:500]}
 
 
-def model(kind: str, makers: dict[str, Callable[[], Callable[[str], str]]]) -> Callable[[str], str]:
-    """The text generator of a registered provider, by name in any case."""
-    found = {k.lower(): v for k, v in makers.items()}
-    if kind.lower() not in found:
-        raise ValueError(f"unknown provider: {kind}")
-    return found[kind.lower()]()
+def answer(indexed: DataFrame, question: str, generate: Callable[[str], str], k: int = 10, keep: int = 5) -> DataFrame:
+    """A question answered from the best documents of an index."""
+    found = retrieve(indexed, question, k, keep).withColumn("_rank", -F.col("rerank"))
+    return index.answer(found, question, generate, rank="_rank")
