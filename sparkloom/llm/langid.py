@@ -128,8 +128,11 @@ def learn(docs: DataFrame, held_in: Column, *, order: int = 3, texts_per_lang: i
     at most most_bytes: the first by a hash of id and text. So the driver gets no
     more than texts_per_lang * most_bytes a label, however often a row repeats."""
     rows = docs.where(held_in & F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes)).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
-    w = W.partitionBy("lang").orderBy("_h")
-    first = rows.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= texts_per_lang).drop("_n")
+    # the first of each part of a label, then the first of these: no task reads all of a frequent label
+    first = rows.select("lang", "_h", F.pmod("_h", F.lit(64)).alias("_part")).distinct()
+    for keys in (["lang", "_part"], ["lang"]):
+        first = first.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_h"))).where(F.col("_n") <= texts_per_lang)
+    first = first.select("lang", "_h")
     texts: dict[str, list[str]] = {}
     for r in rows.join(F.broadcast(first), ["lang", "_h"], "left_semi").dropDuplicates(["lang", "_h"]).collect():
         texts.setdefault(r["lang"], []).append(r["text"])
