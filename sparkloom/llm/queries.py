@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brownlm, decontaminate, langid, linededup, media, mixing, ngramjoin, rlzdedup, sharding, suffixdedup
+from .oracles import ORACLES  # noqa: F401
 
 
 def prepare(spark: SparkSession) -> None:
@@ -98,4 +99,3 @@ QUERIES = {
     "op9_class_lm": op9_class_lm,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {}

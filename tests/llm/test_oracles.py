@@ -1,0 +1,20 @@
+"""The operators' queries give the rows of their SQL, over whole tables."""
+
+import duckdb
+import pytest
+
+from sparkloom.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]}) ORDER BY doc_id").fetchall()
+    got = [tuple(r) for r in df.select(*cols).orderBy("doc_id").collect()]
+    assert got == want
