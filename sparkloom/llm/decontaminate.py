@@ -8,14 +8,16 @@ positions sampled every few symbols and behind each break. Backward search
 gives the rows of each phrase, stepping back from a row to a sampled one gives
 its position, and the spans of all occurrences are merged.
 
-Phrases are read in blocks of bounded size, each sent to the executors once;
-documents are not shuffled.
+Phrases are read in blocks of bounded size. A pass over the documents gets a
+set number of blocks by broadcast, so what driver and workers hold does not grow
+with the benchmark; where one pass isn't enough, runs of hit words and items are
+written with the documents and the next pass adds to them. Documents are not
+shuffled.
 
 Nulls: a null text has no words; a benchmark row with null text or id is
 ignored; repeated items count once an id. Repeated documents are judged each, and
-very long texts whole, as a shard of their own. Empty tables give no hits or no
-rows. Benchmark sets are held by the driver and every worker as a whole: this is
-meant for sets of some 10 million words at most.
+very long texts whole, as a shard of their own. A very long item is cut into
+stretches that overlap by a window. Empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -23,15 +25,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+from itertools import chain, islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import textkit as tk
+from .shared import table
 
-#: Bytes of documents in a shard, and words of phrases in a block.
-SHARD_BYTES, BLOCK_WORDS = 8 << 20, 1 << 19
+#: Bytes of documents in a shard, words of phrases in a block, and blocks of a pass.
+SHARD_BYTES, BLOCK_WORDS, PASS_BLOCKS = 8 << 20, 1 << 19, 2
+RUNS, RUNS_SQL = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "array<struct<start: long, end: long>>"
 
 
 def suffix_array(seq: np.ndarray, bits: int) -> np.ndarray:
@@ -162,18 +169,19 @@ class Phrases:
             self.groups.append((np.frombuffer(b"".join(ps), np.int64).reshape(len(ps), -1), np.concatenate([[0], np.cumsum([len(o) for o in own])]), np.concatenate(own)))
 
 
-def phrase_blocks(bench: DataFrame, window: int) -> Iterator[Phrases]:
+def phrase_blocks(bench: DataFrame, window: int, most: int) -> Iterator[Phrases]:
     items, n = [], 0
     for item, text in bench.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
         buf, offs = tk.pack(pa.array([text], pa.large_string()))
         buf = tk.LOWER[buf]
         s, e, _ = tk.words(buf, offs, tk.ALNUM)
-        if len(s):
-            items.append((str(item), tk.span_hashes(buf, s, e)))
-            n += len(s)
-        if n >= BLOCK_WORDS:
-            yield Phrases(items, window)
-            items, n = [], 0
+        w = tk.span_hashes(buf, s, e)
+        for a in range(0, max(len(w) - window + 1, min(len(w), 1)), most):
+            items.append((str(item), w[a : a + most + window - 1]))
+            n += len(items[-1][1])
+            if n >= most:
+                yield Phrases(items, window)
+                items, n = [], 0
     if items:
         yield Phrases(items, window)
 
@@ -221,45 +229,66 @@ def shards(offs: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = 10, keep: list[str] = ("doc_id",), prefix: str = "") -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = 10, keep: list[str] = ("doc_id",), prefix: str = "", block_words: int = BLOCK_WORDS, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
     """The kept columns with n_words, n_hit, items (sorted as strings) and
     spans: merged byte ranges [start, end) of the text to remove. A kept column
-    named like one of these is replaced; ``prefix`` gives them other names."""
+    named like one of these is replaced; ``prefix`` gives them other names.
+
+    A pass takes ``pass_blocks`` blocks of about ``block_words`` words of phrases.
+    """
     ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(b) for b in phrase_blocks(bench, window)]
     added = [prefix + c for c in ("n_words", "n_hit", "items", "spans")]
     keep = [c for c in keep if c.lower() not in added]
-    d = docs.select(*keep, docs["text"].alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    more = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in sent]
-        for batch in batches:
-            buf, offs = tk.pack(batch.column(len(keep)))
-            for a, b in shards(offs):
-                s, e, woff, hit, pairs = scan(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], blocks)
-                total = np.concatenate([[0], np.cumsum(hit)])
-                items = [[] for _ in range(b - a)]
-                for t, x in set(pairs):
-                    items[t].append(x)
-                spans = [[] for _ in range(b - a)]
-                edge = hit & ~np.append(False, hit[:-1])
-                edge[woff[:-1][woff[:-1] < len(hit)]] |= hit[woff[:-1][woff[:-1] < len(hit)]]
-                first = np.flatnonzero(edge)
-                last = np.append(first, len(hit))[1:]
-                text = np.searchsorted(woff, first, side="right") - 1
-                for i, j, t in zip(first, last, text, strict=True):
-                    m = i + int(total[j] - total[i])  # words of the run
-                    spans[t].append({"start": int(s[i] + offs[a] - offs[a + t]), "end": int(e[m - 1] + offs[a] - offs[a + t])})
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(a, b - a).columns[:-1], pa.array(np.diff(woff)), pa.array(total[woff[1:]] - total[woff[:-1]]), pa.array([sorted(x) for x in items], more.field("items").type), pa.array(spans, more.field("spans").type)],
-                    [*keep, *added],
-                )
-
-    kinds = ("long", "long", "array<string>", "array<struct<start: long, end: long>>")
-    return d.mapInArrow(run, ", ".join([*filter(None, [kept]), *(f"`{c}` {t}" for c, t in zip(added, kinds, strict=True))]))
+    k = len(keep)
+    state = [F.array().cast(RUNS_SQL), F.array().cast("array<string>")]
+    d = docs.select(*keep, docs["text"], *state)
+    kinds = [f.dataType.simpleString() for f in d.schema.fields[:k]]
+    names = [f"c{i}" for i in range(k + 3)]
+    d = d.toDF(*names)
+    between = ", ".join(f"{c} {t}" for c, t in zip(names, [*kinds, "string", RUNS_SQL, "array<string>"], strict=True))
+    result = ", ".join(f"`{c}` {t}" for c, t in zip([*keep, *added], [*kinds, "long", "long", "array<string>", RUNS_SQL], strict=True))
+
+    def one_pass(sent: list, last: bool):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = [b.value for b in sent]
+            for batch in batches:
+                buf, offs = tk.pack(batch.column(k))
+                for a, b in shards(offs):
+                    part = batch.slice(a, b - a)
+                    s, e, woff, hit, pairs = scan(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], blocks)
+                    for t, before in enumerate(part.column(k + 1).to_pylist()):
+                        for r in before:
+                            hit[woff[t] + r["start"] : woff[t] + r["end"]] = True
+                    items = [set(x) for x in part.column(k + 2).to_pylist()]
+                    for t, x in pairs:
+                        items[t].add(x)
+                    total = np.concatenate([[0], np.cumsum(hit)])
+                    edge = hit & ~np.append(False, hit[:-1])
+                    edge[woff[:-1][woff[:-1] < len(hit)]] |= hit[woff[:-1][woff[:-1] < len(hit)]]
+                    first = np.flatnonzero(edge)
+                    after = first + total[np.append(first, len(hit))[1:]] - total[first]  # behind the run's last word
+                    text = np.searchsorted(woff, first, side="right") - 1
+                    start, end = (s[first] + offs[a] - offs[a + text], e[after - 1] + offs[a] - offs[a + text]) if last else (first - woff[text], after - woff[text])
+                    runs = [[] for _ in range(b - a)]
+                    for t, x, y in zip(text.tolist(), start.tolist(), end.tolist(), strict=True):
+                        runs[t].append({"start": x, "end": y})
+                    found, runs = pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(runs, RUNS)
+                    if last:
+                        yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(np.diff(woff)), pa.array(total[woff[1:]] - total[woff[:-1]]), found, runs], [*keep, *added])
+                    else:
+                        yield pa.RecordBatch.from_arrays([*part.columns[: k + 1], runs, found], names)
+
+        return run
+
+    blocks = phrase_blocks(bench, window, block_words)
+    sent = [sc.broadcast(b) for b in islice(blocks, pass_blocks)]
+    while (more := next(blocks, None)) is not None:
+        d = table(d.mapInArrow(one_pass(sent, False), between), "decontaminated")
+        for b in sent:
+            b.destroy()
+        sent = [sc.broadcast(b) for b in islice(chain([more], blocks), pass_blocks)]
+    return d.mapInArrow(one_pass(sent, True), result)
 
 
 def sha256_items(items: list[str]) -> str:

@@ -214,6 +214,13 @@ def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.decontaminate(docs, bench)
     assert Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in got.collect()) == want
+    # several passes over the documents, items cut into stretches; kept columns named like those in between
+    named = docs.withColumnRenamed("block", "c0").withColumnRenamed("row", "_text")
+    for words, blocks in ((16, 1), (7, 3)):
+        more = decontaminate.decontaminate(named, bench, keep=named.columns, prefix="x_", block_words=words, pass_blocks=blocks).collect()
+        assert Counter((r.doc_id, r.x_n_words, r.x_n_hit, ",".join(r.x_items)) for r in more) == want
+        assert {r.doc_id: r.x_spans for r in more} == {r.doc_id: r.spans for r in got.collect()}
+        assert {(r.doc_id, r.text, r.c0, r["_text"]) for r in more} == {(d, t, "x", 1) for d, t, *_ in corpus()}
     spans = {r.doc_id: r.spans for r in got.collect()}
     assert all(len(spans[d]) > 0 for d in (1, 65))
     s = spans[1][0]
