@@ -488,3 +488,64 @@ def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bad = {r.doc_id for r in decontaminate.decontaminate(docs, bench).where("n_hit > 0").collect()}
     assert not bad & {r.doc_id for r in out}
+
+
+def targets_by_force(sizes: dict, weights: list[int] = (3, 1, 2)) -> dict:
+    """Share 150 % of all sizes by weight; what is above twice a source's size goes to the others, until none is."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full, rest = {}, 1.5 * sum(sizes.values())
+    while open_ := [s for s in order if s not in full]:
+        level = (rest - sum(full.values())) / sum(w[s] for s in open_)
+        over = [s for s in open_ if level * w[s] >= 2 * sizes[s]]
+        if not over:
+            return full | {s: level * w[s] for s in open_}
+        full |= {s: 2.0 * sizes[s] for s in over}
+    return full
+
+
+def copies_by_force(spark, rows: list[tuple], weight: dict) -> dict:
+    """How often each document is in the mix: whole epochs, then by key, the one at the edge if half of it fits."""
+    ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
+    h = {r[0]: r[1] % 2**64 >> 11 for r in ids.select("doc_id", F.xxhash64("doc_id", F.lit(7))).collect()}
+    size = {r[0]: len(SPACE.findall(r[1])) for r in rows}
+    of = defaultdict(list)
+    for d, _, source in rows:
+        of[source].append(d)
+    total = {s: sum(size[d] for d in ds) for s, ds in of.items()}
+    want, out = targets_by_force(total), {}
+    for s, ds in of.items():
+        epochs = int(want[s] / total[s] + 1e-9)
+        left = round(want[s]) - epochs * total[s]
+        for d in sorted(ds, key=lambda d: -np.log((h[d] + 0.5) / 2**53) / weight.get(d, 1.0)):
+            out[d] = epochs + (left > 0 and 2 * left >= size[d])
+            left -= size[d]
+    return out
+
+
+def test_pipeline_by_force(spark, docs, empty, tmp_path):
+    import corpus_pipeline as p
+
+    texts = [t for _, t, *_ in corpus()]
+    bench = [(1, " ".join(texts[7].split()[:12])), (2, texts[69]), (3, None)]
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(d, d % 2, 0) for d in range(0, 90, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {(d, t, s) for d, t, _, s, *_ in corpus() if any(c.isalpha() for c in t or "")}
+    sets = {d: shingles(t) for d, t, _ in rows}
+    group = groups(sets)
+    rows = {r for r in rows if group[r[0]] == r[0]}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    said = lambda t, n: {tuple(w[a : a + n]) for w in [word.findall(low(t))] for a in range(len(w) - n + 1)}
+    windows = {x for _, t in bench if t for x in said(t, min(10, len(word.findall(t))))}
+    dirty = {r for r in rows if windows & {x for n in {len(x) for x in windows} for x in said(r[1], n)}}
+    rows -= dirty
+    assert dirty and len(rows) > 10
+    copies = copies_by_force(spark, sorted(rows, key=lambda r: r[0]), {d: 4.0 ** (d % 2) / 2 for d in range(0, 90, 3)})
+    want = Counter({(d, len(t.encode()) + 16, zlib.crc32(t.encode()), len(SPACE.findall(t))): copies[d] for d, t, _ in rows if copies[d]})
+    out = p.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.tokens) for r in out) == want
+    for k in {r.shard for r in out}:
+        assert 0 <= k < 40 and sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
+    empty.select("doc_id", "text", "lang", "source", "n_chars").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
