@@ -28,6 +28,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def uniform(doc_id: Column, seed: int) -> Column:
+    """Above 0 and below 1, by the first 52 bits of the MD5 of "id:seed"; a null id counts as -1."""
+    said = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-1")), F.lit(str(seed)))
+    return (F.conv(F.substring(F.md5(said), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
+
+
 def source_targets(sized: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Target of every source: its weight's part of share x all sizes, at most
     most x its own size; the excess goes to the others by weight.
@@ -69,8 +75,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, mos
         w = F.when(F.col("_w") > 0, F.col("_w").cast("double")).otherwise(1.0)
     sized = table(sized.select("doc_id", "source", "size", w.alias("_weight")), "mix")
     n = max(1, -(-sized.count() // rows_per_range))
-    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), 11) + 0.5) / float(2**53)
-    d = sized.withColumn("_key", -F.log(u) / F.col("_weight"))
+    d = sized.withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("_weight"))
     # the share of all keys below this one, weights taken to the nearest power of 2: ranges of about equal numbers
     kind = F.greatest(F.lit(-40), F.least(F.lit(40), F.round(F.log2("_weight")))).cast("int")
     kinds = sized.groupBy(kind.alias("k")).count().collect()

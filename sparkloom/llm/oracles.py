@@ -113,9 +113,41 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(c
 FROM docs LEFT JOIN sums USING (doc_id)
 """
 
+MIXING = rf"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
+good AS (SELECT doc_id, pow(4, avg(quality)) / 2 AS weight FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+keyed AS (
+    SELECT s.*, -ln((CAST('0x' || substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), '-1') || ':7'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)
+        / CASE WHEN weight > 0 THEN weight ELSE 1 END AS k
+    FROM sized s LEFT JOIN good ON good.doc_id = s.doc_id),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+caps AS (
+    SELECT *, CAST([3, 1, 2][i % 3 + 1] AS DOUBLE) AS w, CAST(2 * source_size AS DOUBLE) AS cap
+    FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM sums)),
+-- sources fill up in order of cap / w; each sees what those before it left
+fill AS (
+    SELECT *, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0) AS rest,
+        sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS restw
+    FROM caps WINDOW before AS (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT rest / restw AS level FROM fill WHERE cap * restw > rest * w ORDER BY cap / w, i LIMIT 1),
+targets AS (
+    SELECT source, source_size, CASE WHEN cap * restw <= rest * w THEN cap ELSE least((SELECT level FROM level) * w, cap) END AS target FROM fill),
+budgets AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-9) AS BIGINT) ELSE 0 END AS epochs FROM targets),
+spent AS (
+    SELECT k.doc_id, k.source, k.size, b.source_size, b.target, b.epochs,
+        greatest(CAST(round(target) AS BIGINT) - epochs * source_size, 0)
+            - (sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) - k.size) AS room
+    FROM keyed k JOIN budgets b ON k.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source, source_size, target, epochs,
+    CAST(epochs * size + greatest(least(room, size), 0) AS BIGINT) AS taken
+FROM spent
+"""
+
 ORACLES = {
     "op1_decontamination": DECONTAMINATION,
     "op3_ngram_join": NGRAM_JOIN,
+    "op4_mixing": MIXING,
     "op6_line_dedup": LINE_DEDUP,
     "op7_suffix_dedup": SUFFIX_DEDUP,
     "op8_substring_dedup": SUBSTRING_DEDUP,

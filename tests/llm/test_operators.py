@@ -276,15 +276,19 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def uniform(doc_id: int) -> float:
+    return (int(hashlib.md5(f"{doc_id}:7".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+
 def test_mixing_prefers_heavy_documents(spark, docs):
     """Keys by weight: the documents of the partial epoch are those with the least -ln(u) / weight."""
     rows = [(i, "w " * 10, None, "s", 0, "x", 1) for i in range(400)] + [(1000 + i, "w " * 10, None, "t", 0, "x", 1) for i in range(40)]
     df = spark.createDataFrame(rows, SCHEMA)
     quality = spark.createDataFrame([(i, 1000.0 if i % 4 == 0 else 0.01) for i in range(400)], "doc_id long, weight double")
     got = mixing.mix(df, [1, 20], 0.3, 2.0, quality=quality, rows_per_range=10).where("source = 's' and taken > 0").collect()
-    key = df.join(quality, "doc_id").select("doc_id", (-F.log((F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) + 0.5) / float(2**53)) / F.col("weight")).alias("k")).orderBy("k").collect()
+    key = sorted((-np.log(uniform(i)) / (1000.0 if i % 4 == 0 else 0.01), i) for i in range(400))
     assert 0 < len(got) < 400
-    assert {r.doc_id for r in got} == {r.doc_id for r in key[: len(got)]}
+    assert {r.doc_id for r in got} == {i for _, i in key[: len(got)]}
 
 
 def test_media_pages(spark):
@@ -504,10 +508,8 @@ def targets_by_force(sizes: dict, weights: list[int] = (3, 1, 2)) -> dict:
     return full
 
 
-def copies_by_force(spark, rows: list[tuple], weight: dict) -> dict:
+def copies_by_force(rows: list[tuple], weight: dict) -> dict:
     """How often each document is in the mix: whole epochs, then by key, the one at the edge if half of it fits."""
-    ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
-    h = {r[0]: r[1] % 2**64 >> 11 for r in ids.select("doc_id", F.xxhash64("doc_id", F.lit(7))).collect()}
     size = {r[0]: len(SPACE.findall(r[1])) for r in rows}
     of = defaultdict(list)
     for d, _, source in rows:
@@ -517,7 +519,7 @@ def copies_by_force(spark, rows: list[tuple], weight: dict) -> dict:
     for s, ds in of.items():
         epochs = int(want[s] / total[s] + 1e-9)
         left = round(want[s]) - epochs * total[s]
-        for d in sorted(ds, key=lambda d: -np.log((h[d] + 0.5) / 2**53) / weight.get(d, 1.0)):
+        for d in sorted(ds, key=lambda d: -np.log(uniform(d)) / weight.get(d, 1.0)):
             out[d] = epochs + (left > 0 and 2 * left >= size[d])
             left -= size[d]
     return out
@@ -541,7 +543,7 @@ def test_pipeline_by_force(spark, docs, empty, tmp_path):
     dirty = {r for r in rows if windows & {x for n in {len(x) for x in windows} for x in said(r[1], n)}}
     rows -= dirty
     assert dirty and len(rows) > 10
-    copies = copies_by_force(spark, sorted(rows, key=lambda r: r[0]), {d: 4.0 ** (d % 2) / 2 for d in range(0, 90, 3)})
+    copies = copies_by_force(sorted(rows, key=lambda r: r[0]), {d: 4.0 ** (d % 2) / 2 for d in range(0, 90, 3)})
     want = Counter({(d, len(t.encode()) + 16, zlib.crc32(t.encode()), len(SPACE.findall(t))): copies[d] for d, t, _ in rows if copies[d]})
     out = p.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32, r.tokens) for r in out) == want
