@@ -55,7 +55,8 @@ def framework_of_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def framework_of_project(spark: SparkSession, sf: str) -> DataFrame:
-    return shape.project_framework(spark.createDataFrame(HEADS[3:], "path string, content string"))
+    d = pages(spark, sf).select(F.col("url").alias("path"), F.col("html").alias("content"))
+    return shape.project_framework(d.union(spark.createDataFrame(HEADS[3:], "path string, content string")))
 
 
 def security_alerts(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,6 +92,17 @@ def metadata_filter(spark: SparkSession, sf: str) -> DataFrame:
     return I.by_method(d, "1", "assistant").select("class_name", F.md5("text").alias("text_md5"))
 
 
+def class_filter(spark: SparkSession, sf: str) -> DataFrame:
+    d = documents(spark, sf).select(F.lit("ast_method").alias("type"), F.col("source").alias("class_name"), F.col("doc_id").cast("string").alias("method_name"), "text")
+    u = I.union_documents(d, conversations(spark, sf).select(F.lit("code_mapper").alias("type"), F.lit("web").alias("class_name"), F.col("turn").cast("string").alias("method_name"), "text"))
+    return I.by_class(u, "web").select("method_name", F.md5("text").alias("text_md5"))
+
+
+def docs_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    m = _turns(spark, sf).withColumn("method", F.when(F.col("ord") > 0, F.col("method_name"))).withColumn("class_name", F.col("class_name").cast("string"))
+    return m.select("class_name", "ord", F.md5(D.prompt(F.lit("None."))).alias("prompt_md5"))
+
+
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     d = conversations(spark, sf)
     return d.select(F.lit("c").alias("path"), F.lit("f").alias("file_name"), F.col("conv_id").cast("string").alias("class_name"), F.lit(0).alias("class_ord"), F.lit("T").alias("class_type"), F.lit("/").alias("base_path"), F.col("turn").cast("int").alias("ord"), F.col("turn").cast("string").alias("method_name"), F.col("role").alias("method_type"), (F.col("role") == "user").alias("is_api_route"), F.lit(None).cast("string").alias("method_path"), F.md5("text").alias("method_definition"))
@@ -235,7 +247,7 @@ def mapped_document(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_documents, language_by_extension, framework_of_file, framework_of_project, security_alerts, json_extract_repair, json_strict_parse, code_text, metadata_filter, flatten_methods, schema_check,
+        chunk_documents, language_by_extension, framework_of_file, framework_of_project, security_alerts, json_extract_repair, json_strict_parse, code_text, metadata_filter, class_filter, docs_prompt, flatten_methods, schema_check,
         first_wins_dedup, last_wins_by_key, vector_topk, rerank_topk, embed_documents, rag_prompt, method_docs, index_counts, dependency_context, method_details, flag_merge, api_route_filter, openapi_paths,
         openapi_document, postman_items, postman_document, examples_map, examples_ts, fallback_documentation, map_dependencies, mapped_document,
     )
@@ -274,7 +286,7 @@ ORACLES = {
         SELECT doc_id, chunk_no::BIGINT AS chunk_no, len(w) > 500 AS is_sub_chunk, md5(CASE WHEN len(w) > 500 THEN 'Context: Function ' || doc_id || chr(10) || array_to_string(w[chunk_no * 500 + 1 : chunk_no * 500 + 500], ' ') ELSE text END) AS content_md5 FROM p""",
     "language_by_extension": f"""WITH p AS (SELECT url AS path FROM pages UNION ALL SELECT * FROM (VALUES {sql_list([(x,) for x in PATHS])}) t(path)), x AS (SELECT path, lower(regexp_extract(path, '[^./][^/]*(\\.[^./]*)$', 1)) AS e FROM p) SELECT path, CASE {_EXT} ELSE 'unknown' END AS language FROM x""",
     "framework_of_file": f"WITH p AS (SELECT page_id::VARCHAR AS path, html AS content FROM pages UNION ALL {_HEADS}), x AS (SELECT path, substr(content, 1, 10000) AS h FROM p) SELECT path, {_framework_sql(_OWN)} AS framework, {_framework_sql(_REF)} AS framework_ref FROM x",
-    "framework_of_project": f"WITH x AS (SELECT path, content AS h FROM ({_HEADS}) WHERE path > 'c'), y AS (SELECT path, {_framework_sql(_OWN)} AS f FROM x) SELECT coalesce(arg_min(f, path), 'Unknown') AS framework FROM y WHERE f <> 'Unknown'",
+    "framework_of_project": f"WITH p AS (SELECT url AS path, html AS content FROM pages UNION ALL SELECT path, content FROM ({_HEADS}) WHERE path > 'c'), y AS (SELECT path, {_framework_sql(_OWN)} AS f FROM (SELECT path, substr(content, 1, 10000) AS h FROM p)) SELECT coalesce(arg_min(f, path) FILTER (f <> 'Unknown'), 'Unknown') AS framework FROM y",
     "security_alerts": f"""WITH p AS (SELECT {_PATH} AS path, 'GET' AS method, url FROM pages UNION ALL SELECT path, method, 'https://x' FROM (VALUES {sql_list(ROUTES)}) t(path, method)), a AS (SELECT *, list_filter([CASE WHEN starts_with(url, 'http://') THEN 'SECURITY ALERT: Endpoint ' || method || ' ' || path || ' is using HTTP. Use HTTPS for secure communication.' END, {_ALERT}], lambda x: x IS NOT NULL) AS l FROM p)
         SELECT path, method, url, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS alert, CASE WHEN starts_with(url, 'http://') THEN '{T.GLOBAL_ALERT}' END AS global_alert FROM a""",
     "json_extract_repair": f"WITH {_REPLY} SELECT event_id, regexp_replace(regexp_extract(reply, '(\\{{[^}}]*\\}})', 1), ',\\s*([}}\\]])', '\\1', 'g') AS json FROM rep",
@@ -309,3 +321,19 @@ ORACLES = {
     + sql_list([("svc/views.py", "ItemView", "get", "item_service.find", True), ("svc/views.py", "ItemView", "helper", "self.get", False), ("svc/views.py", "ItemService", "find", "", False), ("svc/ItemController.java", "ItemController", "one", "itemService.find", True), ("svc/ItemController.java", "ItemController", "add", "", True), ("svc/ItemController.cs", "ItemController", "One", "", True), ("svc/ItemController.cs", "ItemController", "Plain", "", False), ("svc/item.controller.ts", "ItemController", "constructor", "", False), ("svc/item.controller.ts", "ItemController", "one", "itemService.find", True), ("svc/item.controller.ts", "ItemController", "add", "", False)])
     + ") t(path, class_name, method, dependencies, is_api_route)",
 }
+
+_OPERATION = """'{"summary":' || to_json(summary) || ',"description":' || to_json(description) || ',"tags":[' || to_json(tag) || '],"responses":{"200":{"description":"Successful response"}}}'"""
+_ITEM = """'{"name":' || to_json(name) || ',"request":{"method":' || to_json(method) || ',"url":{"raw":' || to_json(raw) || ',"host":["{{base_url}}"],"path":' || to_json(string_split(segments, '|')) || '}}}'"""
+_METHOD = """'{"method":' || to_json(method) || ',"dependencies":' || to_json(CASE WHEN dependencies = '' THEN [] ELSE string_split(dependencies, ',') END) || ',"is_api_route":' || is_api_route || '}'"""
+#: Whole documents, of the rows of other queries.
+ORACLES |= {
+    "class_filter": "SELECT doc_id::VARCHAR AS method_name, md5(text) AS text_md5 FROM documents WHERE source = 'web'",
+    "docs_prompt": f"""WITH {_TURNS} SELECT class_name, ord, md5('Document this endpoint as JSON with the keys postman and swagger.' || chr(10) || 'Class: ' || class_name || chr(10) || 'Method: ' || CASE WHEN ord > 0 THEN method_name ELSE 'unknown' END || chr(10) || 'Verb: ' || method_type || chr(10) || 'Path: / /' || chr(10) || 'Code:' || chr(10) || method_definition || chr(10) || 'Uses:' || chr(10) || 'None.') AS prompt_md5 FROM turns""",
+    "rag_prompt": f"""WITH best AS ({ORACLES["rerank_topk"]}) SELECT md5('Answer from these sources.' || chr(10) || chr(10) || string_agg(text, chr(10) || '---' || chr(10) ORDER BY score DESC, best.doc_id) || chr(10) || chr(10) || 'Question: What is it?') AS prompt_md5 FROM best JOIN documents ON documents.doc_id = best.doc_id""",
+    "openapi_document": f"""WITH o AS ({ORACLES["openapi_paths"]}), p AS (SELECT path, min(ord) AS ord, string_agg(to_json(verb) || ':' || {_OPERATION}, ',' ORDER BY ord) AS verbs FROM o GROUP BY path)
+        SELECT '{{"openapi":"3.0.0","info":{{"title":"Generated API","version":"1.0.0","description":"Automatically generated documentation.\\n"}},"paths":{{' || coalesce(string_agg(to_json(path) || ':{{' || verbs || '}}', ',' ORDER BY ord), '') || '}}}}' AS json FROM p""",
+    "postman_document": f"""WITH i AS ({ORACLES["postman_items"]}) SELECT '{{"info":{{"name":"Generated Collection","schema":"{D.SCHEMA_URL}"}},"item":[' || coalesce(string_agg({_ITEM}, ',' ORDER BY ord), '') || ']}}' AS json FROM i""",
+    "examples_ts": f"""WITH e AS ({ORACLES["examples_map"]}) SELECT '/** Auto-generated API Examples */' || chr(10) || chr(10) || 'export const apiExamples = {{' || chr(10) || coalesce(string_agg('  ' || to_json(key) || ': {{"request": ' || request || ', "response": ' || response || '}}', ',' || chr(10) ORDER BY ord), '') || chr(10) || '}};' || chr(10) AS text FROM e""",
+    "mapped_document": f"""WITH m AS ({ORACLES["map_dependencies"]}), n AS (SELECT *, max(path) OVER (PARTITION BY class_name) AS last FROM m), c AS (SELECT class_name, string_agg({_METHOD}, ',' ORDER BY method) AS methods FROM n WHERE path = last GROUP BY class_name)
+        SELECT '{{' || string_agg(to_json(class_name) || ':{{"methods":[' || methods || ']}}', ',' ORDER BY class_name) || '}}' AS json FROM c""",
+}
