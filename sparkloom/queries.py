@@ -94,8 +94,8 @@ def metadata_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def class_filter(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).select(F.lit("ast_method").alias("type"), F.col("source").alias("class_name"), F.col("doc_id").cast("string").alias("method_name"), "text")
-    u = I.union_documents(d, conversations(spark, sf).select(F.lit("code_mapper").alias("type"), F.lit("web").alias("class_name"), F.col("turn").cast("string").alias("method_name"), "text"))
-    return I.by_class(u, "web").select("method_name", F.md5("text").alias("text_md5"))
+    u = I.union_documents(d, conversations(spark, sf).select(F.lit("code_mapper").alias("type"), F.lit("src0").alias("class_name"), F.col("turn").cast("string").alias("method_name"), "text"))
+    return I.by_class(u, "src0").select("method_name", F.md5("text").alias("text_md5"))
 
 
 def docs_prompt(spark: SparkSession, sf: str) -> DataFrame:
@@ -327,7 +327,7 @@ _ITEM = """'{"name":' || to_json(name) || ',"request":{"method":' || to_json(met
 _METHOD = """'{"method":' || to_json(method) || ',"dependencies":' || to_json(CASE WHEN dependencies = '' THEN [] ELSE string_split(dependencies, ',') END) || ',"is_api_route":' || is_api_route || '}'"""
 #: Whole documents, of the rows of other queries.
 ORACLES |= {
-    "class_filter": "SELECT doc_id::VARCHAR AS method_name, md5(text) AS text_md5 FROM documents WHERE source = 'web'",
+    "class_filter": "SELECT doc_id::VARCHAR AS method_name, md5(text) AS text_md5 FROM documents WHERE source = 'src0'",
     "docs_prompt": f"""WITH {_TURNS} SELECT class_name, ord, md5('Document this endpoint as JSON with the keys postman and swagger.' || chr(10) || 'Class: ' || class_name || chr(10) || 'Method: ' || CASE WHEN ord > 0 THEN method_name ELSE 'unknown' END || chr(10) || 'Verb: ' || method_type || chr(10) || 'Path: / /' || chr(10) || 'Code:' || chr(10) || method_definition || chr(10) || 'Uses:' || chr(10) || 'None.') AS prompt_md5 FROM turns""",
     "rag_prompt": f"""WITH best AS ({ORACLES["rerank_topk"]}) SELECT md5('Answer from these sources.' || chr(10) || chr(10) || string_agg(text, chr(10) || '---' || chr(10) ORDER BY score DESC, best.doc_id) || chr(10) || chr(10) || 'Question: What is it?') AS prompt_md5 FROM best JOIN documents ON documents.doc_id = best.doc_id""",
     "openapi_document": f"""WITH o AS ({ORACLES["openapi_paths"]}), p AS (SELECT path, min(ord) AS ord, string_agg(to_json(verb) || ':' || {_OPERATION}, ',' ORDER BY ord) AS verbs FROM o GROUP BY path)
