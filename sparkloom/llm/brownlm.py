@@ -7,8 +7,9 @@ words stand in as bands of equal log2 count. Then each other word, down to those
 seen once, is moved to the class where the likelihood of the class bigrams is
 greatest, by counts of its own left and right classes. This is done in executors,
 in a set number of passes; within a pass all words move at once, by the classes
-and class bigrams before it. So classes of the core do not learn from the
-others' moves, and those of the others are not a joint optimum.
+and class bigrams before it, so their classes are not a joint optimum. After each
+pass the core is exchanged again, word by word, against the classes that the
+others have then.
 
 Counts are those of all training tokens: blocks of documents send their distinct
 words and counts to buckets of words, which answer with the totals; in a pass
@@ -28,7 +29,7 @@ columns are ignored. Empty tables give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -271,22 +272,36 @@ def with_classes(t: pa.Table, reply: pa.Table, start: tuple[np.ndarray, np.ndarr
 
 
 def classes_of(s: _Seqs, start: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Of each of the block's words; start has the vocabulary and the classes of pseudo-words."""
-    return s.classes.astype(np.int64) if len(s.classes) else start[1][s.pseudo_words(start[0])]
+    """Of each of the block's words; start has the vocabulary and the classes of pseudo-words, and always those of the core."""
+    out = start[1][s.pseudo_words(start[0])]
+    if len(s.classes):
+        words = s.movable()
+        out[words] = s.classes[words]
+    return out
+
+
+def core_or_class(s: _Seqs, start: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """Of each of the block's words its class, below k; k is the end, and the core's words follow."""
+    p = s.pseudo_words(start[0])
+    return np.where(p >= END_ID, p - END_ID + k, classes_of(s, start))
 
 
-def exchange_classes(n: np.ndarray, n_classes: int, rounds: int = 4) -> np.ndarray:
+def exchange_classes(n: np.ndarray, n_classes: int, rounds: int = 4, start: np.ndarray | None = None, fixed: np.ndarray | None = None) -> np.ndarray:
     """Classes of pseudo-words that maximise the likelihood of their bigram counts n.
 
-    Words start in classes by frequency, in turn; each is moved to the class
-    where the likelihood is greatest, most frequent first, until none moves or
-    the rounds are over. Ties go to the lower class.
+    Words start in classes by frequency, in turn, or in those of start; each that
+    is not fixed is moved to the class where the likelihood is greatest, most
+    frequent first, until none moves or the rounds are over. Ties go to the lower class.
     """
     m = len(n)
-    c = min(n_classes, m)
     order = np.lexsort((np.arange(m), -n.sum(axis=1)))
-    of = np.zeros(m, np.int64)
-    of[order] = np.arange(m) % c
+    if start is None:
+        c, of = min(n_classes, m), np.zeros(m, np.int64)
+        of[order] = np.arange(m) % c
+    else:
+        c, of = n_classes, start.copy()
+    if fixed is not None:
+        order = order[~fixed[order]]
     member = np.zeros((m, c))
     member[np.arange(m), of] = 1
     pair = member.T @ n @ member
@@ -335,6 +350,18 @@ def core_classes(bigrams: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.nd
     return of, member.T @ bigrams @ member
 
 
+def core_again(n: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of pseudo-words after the core has moved among the k classes, and the
+    classes' bigrams. n are bigrams of numbers as core_or_class() has them; of are
+    the classes of pseudo-words before."""
+    now = np.concatenate([np.arange(k), of[END_ID:]])
+    used = np.flatnonzero((n.sum(axis=0) > 0) & (np.arange(len(n)) > 0))
+    if len(used):
+        now[used] = exchange_classes(n[np.ix_(used, used)], k - 1, start=now[used] - 1, fixed=used < k) + 1
+    member = np.eye(k)[now]
+    return np.concatenate([of[:END_ID], now[k:]]), member.T @ n @ member
+
+
 class Model:
     def __init__(self, pair: np.ndarray, once: float, tokens: int, kinds: int, alpha: float = 8.0):
         """pair: class bigrams; once: training words seen once."""
@@ -385,16 +412,15 @@ def scores(docs: DataFrame, train: Column, *, frequent_share: int = 12_288, n_cl
 
     vocab = np.sort(np.array([r[0] for r in stored.select("core").mapInArrow(words, "w long").distinct().collect()], np.int64).view(np.uint64))
 
-    def counted(df: DataFrame, start: tuple[np.ndarray, np.ndarray], m: int) -> np.ndarray:
-        """Bigrams of classes, or of pseudo-words that are their own classes."""
-        sent = spark.sparkContext.broadcast(start)
+    def counted(df: DataFrame, numbers: Callable[[_Seqs], np.ndarray], m: int) -> np.ndarray:
+        """Bigrams of what numbers gives for a block's words, below m."""
 
         def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs, ns = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for b in batches:
                 for r in b.to_pylist():
                     s = _Seqs(r, n)
-                    p, c = s.pairs(classes_of(s, sent.value), m)
+                    p, c = s.pairs(numbers(s), m)
                     merged, inv = np.unique(np.concatenate([pairs, p]), return_inverse=True)
                     pairs, ns = merged, np.bincount(inv, weights=np.concatenate([ns, c]), minlength=len(merged)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(ns)], ["p", "n"])
@@ -404,15 +430,18 @@ def scores(docs: DataFrame, train: Column, *, frequent_share: int = 12_288, n_cl
         out.ravel()[got.column("p").to_numpy()] = got.column("n").to_numpy()
         return out
 
-    m = END_ID + 1 + len(vocab)
-    first = counted(stored, (vocab, np.arange(m)), m)
+    m, own = END_ID + 1 + len(vocab), spark.sparkContext.broadcast(vocab)
+    first = counted(stored, lambda s: s.pseudo_words(own.value), m)
     of, pair = core_classes(first, n_classes)
+    k = len(pair)
     start = spark.sparkContext.broadcast((vocab, of))
     assigned = lambda known: lambda t: tidy(assign(t, known.value))
-    for _ in range(passes if len(pair) > 1 else 0):
+    numbered = lambda start: lambda s: core_or_class(s, start.value, k)
+    updated = lambda start: lambda t, r: tidy(with_classes(t, r, start.value, n))
+    for _ in range(passes if k > 1 else 0):
         known = spark.sparkContext.broadcast(pair)
 
-        def contexts(batches: Iterator[pa.RecordBatch], k: int = len(pair)) -> Iterator[pa.RecordBatch]:
+        def contexts(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for r in b.to_pylist():
                     s = _Seqs(r, n)
@@ -421,8 +450,9 @@ def scores(docs: DataFrame, train: Column, *, frequent_share: int = 12_288, n_cl
 
         sent = stored.mapInArrow(contexts, sql_schema(CONTEXTS))
         reply = sent.groupBy("bucket").applyInArrow(assigned(known), sql_schema(CLASSES))
-        stored = table(stored.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(lambda t, r: tidy(with_classes(t, r, start.value, n)), sql_schema(SEQS)), "classes")
-        pair = counted(stored, (vocab, of), len(pair))
+        stored = table(stored.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(updated(start), sql_schema(SEQS)), "classes")
+        of, pair = core_again(counted(stored, numbered(start), k + 1 + len(vocab)), of, k)
+        start = spark.sparkContext.broadcast((vocab, of))
     shared = spark.sparkContext.broadcast(Model(pair, first[:, 1].sum(), int(first.sum()), int(kinds)))
     names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "train_words", "base_score", "score"]
 

@@ -420,6 +420,27 @@ def test_exchange_raises_the_likelihood():
     assert each == sorted(each) and each[1] > each[0]
 
 
+def test_the_core_moves_again():
+    """Only the end and the core move, the likelihood rises, and the class bigrams are those of the new classes."""
+    r = np.random.default_rng(11)
+    k, m = 5, 5 + 1 + 20
+    n = r.poisson(r.gamma(0.3, 6, (m, m))).astype(float)
+    n[0] = n[:, 0] = 0
+    of = np.concatenate([np.arange(brownlm.END_ID) % k, r.integers(1, k, 21)])
+
+    def pairs(of):
+        member = np.eye(k)[np.concatenate([np.arange(k), of[brownlm.END_ID :]])]
+        return member.T @ n @ member
+
+    def likelihood(p):
+        return float(brownlm.xlogx(p).sum() - brownlm.xlogx(p.sum(axis=0)).sum() - brownlm.xlogx(p.sum(axis=1)).sum())
+
+    got, pair = brownlm.core_again(n, of, k)
+    assert (got[: brownlm.END_ID] == of[: brownlm.END_ID]).all() and (got != of).any() and got[brownlm.END_ID :].min() >= 1
+    assert (pair == pairs(got)).all() and pair.sum() == n.sum()
+    assert likelihood(pair) > likelihood(pairs(of))
+
+
 def test_class_lm_assigns_rare_words(spark):
     r = random.Random(3)
     noun = lambda: r.choice(["n0", "n0", f"n{r.randint(1, 40)}"])
