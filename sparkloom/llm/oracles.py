@@ -144,6 +144,78 @@ SELECT doc_id, size, source, source_size, target, epochs,
 FROM spent
 """
 
+PHRASES = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+    FROM documents, unnest(regexp_split_to_array({_text}, '[.,;:!?\x0A-\x0D]')) AS u(piece)),
+grams AS (
+    SELECT lang, k AS words, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS c
+    FROM pieces, unnest(range(1, 6)) AS s(k), unnest(range(1, len(ws) - k + 2)) AS u(i) GROUP BY ALL),
+totals AS (SELECT lang, sum(c) AS n FROM grams WHERE words = 1 GROUP BY lang),
+f AS (SELECT * FROM grams WHERE c >= 100),
+cuts AS (
+    SELECT lang, phrase, words, c AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+        array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+    FROM f, unnest(range(1, words)) AS u(k) WHERE words > 1),
+scored AS (
+    SELECT cuts.*, l.c AS l, r.c AS r, n::BIGINT AS n,
+        CAST((1000::HUGEINT * a * n) // (l.c::HUGEINT * r.c) AS BIGINT) AS score
+    FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head
+    JOIN f r ON r.lang = cuts.lang AND r.phrase = rest JOIN totals t ON t.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+    SELECT * FROM best WHERE NOT EXISTS (
+        SELECT 1 FROM f WHERE f.lang = best.lang AND f.words > best.words AND 100 * f.c >= 100 * best.a
+        AND contains(' ' || f.phrase || ' ', ' ' || best.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM ranked WHERE rank <= 2000
+"""
+
+# crc32 is not a function of DuckDB: a table of 256 steps, made by the rule of the polynomial, folds over the bytes.
+_CRC = """
+step AS (
+    SELECT list(x ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS x
+        FROM range(256) AS u(i)))"""
+
+
+def _crc(text: str) -> str:
+    """The CRC-32 of a text of ASCII and other characters, as UTF-8; step must be joined."""
+    octets = f"list_transform(range(1, strlen({text}) + 1), lambda j: ('0x' || substr(hex(encode({text})), 2 * j - 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+TXLOG = rf"""
+WITH {_CRC.strip()},
+ids AS (SELECT doc_id, source, text, {_crc("CAST(doc_id AS VARCHAR)")} AS h FROM documents, step WHERE doc_id IS NOT NULL),
+log AS (
+    SELECT doc_id, source, h % 41 AS m, (h // 100) % 3000 AS key,
+        CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) THEN text END AS text FROM ids),
+ahead AS (
+    SELECT *, lead(CASE WHEN m <= 6 THEN doc_id END IGNORE NULLS) OVER w AS control,
+        lead(CASE WHEN m <= 6 THEN m END IGNORE NULLS) OVER w AS control_m,
+        lead(CASE WHEN m <= 2 THEN doc_id END IGNORE NULLS) OVER w AS fin,
+        lead(CASE WHEN m <= 2 THEN m END IGNORE NULLS) OVER w AS fin_m
+    FROM log WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+undone AS (
+    SELECT CASE WHEN control_m >= 5 THEN 'rollback' ELSE 'abort' END AS kind, doc_id AS id,
+        CASE WHEN control_m >= 5 THEN control ELSE fin END AS n, key AS value
+    FROM ahead WHERE m > 6 AND (coalesce(control_m, 0) >= 5 OR coalesce(fin_m, 2) = 2)),
+commits AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS number FROM log WHERE m <= 1),
+applied AS (
+    SELECT key, text, (number - 1) // 16 + 1 AS epoch, number, ahead.doc_id
+    FROM ahead JOIN commits ON commits.doc_id = fin WHERE m > 6 AND coalesce(control_m, 0) < 5 AND fin_m <= 1),
+last AS (SELECT *, lead(epoch) OVER (PARTITION BY key ORDER BY epoch) AS until FROM (
+    SELECT * FROM applied QUALIFY row_number() OVER (PARTITION BY key, epoch ORDER BY number DESC, doc_id DESC) = 1)),
+epochs AS (SELECT DISTINCT (number - 1) // 16 + 1 AS epoch FROM commits),
+states AS (
+    SELECT epochs.epoch, count(text) AS n, CAST(coalesce(sum(crc) FILTER (text IS NOT NULL), 0) AS BIGINT) AS value
+    FROM epochs LEFT JOIN (SELECT last.epoch, until, text, {_crc("(key || ':' || text)")} AS crc FROM last, step) s
+    ON s.epoch <= epochs.epoch AND coalesce(until > epochs.epoch, true) GROUP BY epochs.epoch)
+SELECT 'state' AS kind, epoch AS id, n, value FROM states UNION ALL SELECT kind, id, n, value FROM undone
+"""
+
 ORACLES = {
     "op1_decontamination": DECONTAMINATION,
     "op3_ngram_join": NGRAM_JOIN,
@@ -151,4 +223,6 @@ ORACLES = {
     "op6_line_dedup": LINE_DEDUP,
     "op7_suffix_dedup": SUFFIX_DEDUP,
     "op8_substring_dedup": SUBSTRING_DEDUP,
+    "op11_phrases": PHRASES,
+    "op12_txlog": TXLOG,
 }

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brownlm, decontaminate, langid, linededup, media, mixing, ngramjoin, rlzdedup, sharding, suffixdedup
+from . import brownlm, decontaminate, langid, linededup, media, mixing, ngramjoin, packing, phrases, rlzdedup, sharding, suffixdedup, txlog
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -86,6 +92,40 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir))
+
+
+def op12_txlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States after each epoch and undone changes; a value is the check sum of "key:text"."""
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(F.col("doc_id").alias("_toxic")).distinct()
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    m, key = h % 41, F.floor(h / 100) % 3000
+    op = F.when(m <= 1, txlog.COMMIT).when(m == 2, txlog.ABORT).when(m <= 4, txlog.SAVEPOINT).when(m <= 6, txlog.ROLLBACK).otherwise(txlog.CHANGE)
+    said = F.crc32(F.concat(key.cast("string"), F.lit(":"), "text").cast("binary"))
+    log = documents(spark, sf_dir).select("source", F.col("doc_id").alias("seq"), F.xxhash64("text").alias("tie"), op.alias("op"), key.alias("key"), said.alias("value"))
+    log = log.join(toxic, F.col("seq") == F.col("_toxic"), "left").withColumn("value", F.when(F.col("_toxic").isNull(), F.col("value")))
+    got = txlog.reassemble(log)
+    stored = lambda c: F.col(c).isNotNull().cast("long")
+    value = lambda c: F.coalesce(F.col(c), F.lit(0))
+    s = txlog.states(got, {"n": stored("new") - stored("old"), "value": value("new") - value("old")})
+    return s.select(F.lit("state").alias("kind"), F.col("epoch").alias("id"), "n", "value").union(got.undone.select("kind", "seq", "by_seq", "key"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens, with a check sum of their ids."""
+    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("ids")
+            flat, at = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+            crc = pa.array(np.array([zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)], np.int64))
+            yield pa.RecordBatch.from_arrays([crc if n == "ids" else b.column(n) for n in b.schema.names], [n if n != "ids" else "ids_crc32" for n in b.schema.names])
+
+    return pieces.mapInArrow(run, packing.SCHEMA.replace("ids array<int>", "ids_crc32 long"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
@@ -98,4 +138,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_class_lm": op9_class_lm,
     "op10_language": op10_language,
+    "op11_phrases": op11_phrases,
+    "op12_txlog": op12_txlog,
+    "op13_packing": op13_packing,
 }
