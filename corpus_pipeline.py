@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from sparkloom.llm import decontaminate, langid, ngramjoin, queries, sharding
 from sparkloom.llm.shared import table
@@ -18,6 +17,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MOST_IDS = 1_000_000
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as no column of docs begins with."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts and texts without any letter.
 
@@ -41,17 +48,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     queries.prepare(spark)
     small = lambda df: F.broadcast(df) if df.count() <= MOST_IDS else df
+    digest, key, gone = fresh(docs, "digest", "key", "gone")
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        gone = table(ngramjoin.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
-        return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    d = docs.withColumn("_text", F.sha2("text", 256))
-    ids = d.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_digest")).distinct().orderBy("_id", "_digest")
-    numbered = spark.createDataFrame(ids.rdd.zipWithIndex(), StructType().add("_of", ids.schema).add("_key", "long"))
-    keys = table(numbered.select("_of.*", "_key"), "keys")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_digest"))
-    d = table(d.join(keys, same).select(*docs.columns, "_key").dropDuplicates(["_key"]), "keyed")
-    gone = table(ngramjoin.join(d.select(F.col("_key").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "gone")
-    return d.join(small(gone), F.col("_key") == F.col("_gone"), "left_anti").select(*docs.columns)
+        d, key = docs, "doc_id"
+    else:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        d = docs.withColumn(digest, F.sha2("text", 256)).dropDuplicates(["doc_id", digest])
+        # numbers that grow from range to range stand for ids: in the order of id and digest, each once
+        d = d.repartitionByRange(n, "doc_id", digest).sortWithinPartitions("doc_id", digest).withColumn(key, F.monotonically_increasing_id())
+        d = table(d.drop(digest), "keyed")
+    links = ngramjoin.join(d.select(F.col(key).alias("doc_id"), "text"))
+    out = table(links.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)), "gone")
+    return d.join(small(out), F.col(key) == F.col(gone), "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,15 +71,25 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out as their source's target asks."""
+    """Documents are repeated or left out as their source's target asks.
+
+    Each row is a document of its own, with copies of its own, whatever its id; a
+    null text has size 0, a null source is one of its own. Extra columns are kept,
+    whatever their names. An empty table stays empty.
+    """
     queries.prepare(spark)
-    mix = queries.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), cut=False)
-    copies = mix.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    d = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return d.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    row, copies, copy = fresh(docs, "row", "copies", "copy")
+    d = table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    mix = queries.mixed(d, spark.read.parquet(f"{sf_dir}/labels.parquet"), cut=False, row=row)
+    mix = mix.where("copies > 0").select(F.col(row).alias(f"{row}_of"), F.col("copies").alias(copies))
+    d = d.join(mix, F.col(row) == F.col(f"{row}_of"))
+    return d.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets a shard and a slot; null texts are empty ones, equal texts share
+    a shard while their group is no larger than a shard's part. Extra columns are not
+    kept. An empty table gives no rows."""
     queries.prepare(spark)
     return sharding.shard(docs, 40)
 
