@@ -104,7 +104,7 @@ def op12_txlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(m <= 1, txlog.COMMIT).when(m == 2, txlog.ABORT).when(m <= 4, txlog.SAVEPOINT).when(m <= 6, txlog.ROLLBACK).otherwise(txlog.CHANGE)
     said = F.crc32(F.concat(key.cast("string"), F.lit(":"), "text").cast("binary"))
     log = documents(spark, sf_dir).select("source", F.col("doc_id").alias("seq"), F.xxhash64("text").alias("tie"), op.alias("op"), key.alias("key"), said.alias("value"))
-    log = log.join(toxic, F.col("seq") == F.col("_toxic"), "left").withColumn("value", F.when(F.col("_toxic").isNull(), F.col("value")))
+    log = log.join(toxic.hint("merge"), F.col("seq") == F.col("_toxic"), "left").withColumn("value", F.when(F.col("_toxic").isNull(), F.col("value")))
     got = txlog.reassemble(log)
     stored = lambda c: F.col(c).isNotNull().cast("long")
     value = lambda c: F.coalesce(F.col(c), F.lit(0))
