@@ -5,32 +5,41 @@ method_name, method_type, is_api_route, method_path, method_definition; a class
 without methods gives no row. ``extract`` runs over a table of files; each file
 is parsed on its own, and one that can't be parsed gives no rows.
 
-Python goes through the standard parser. The other three share a scanner that
-blanks out comments and strings, so that brackets, names and annotations can be
-found by position while texts are taken from the source.
+Python goes through the standard parser, the other three through the grammar of
+``grammar.py``. ``facts`` gives what a call graph needs: types of names, parents
+of classes and calls. ``register`` makes both table functions of SQL, to be used
+LATERAL over any table of sources.
+
+Known limits: C# and Java classes count at the top of a file and in namespaces,
+also in one that is declared for the whole file; TypeScript classes count where
+they are exported. Classes inside classes give rows of their own only with
+``nested``; their methods never count as the outer class's.
 """
 
 from __future__ import annotations
 
 import ast
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import language, trim_code
 from ..runtime import ship
+from .grammar import MODIFIERS, NO_NAMES, Declarations, Klass, Member, Token, walk
 
-FIELDS = ["class_ord", "class_name", "class_type", "base_path", "ord", "method_name", "method_type", "is_api_route", "method_path", "method_definition"]
 SQL = "class_ord int, class_name string, class_type string, base_path string, ord int, method_name string, method_type string, is_api_route boolean, method_path string, method_definition string"
-ARROW = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
 # Verbs, stereotypes and route decorators.
 VERBS = ["get", "post", "put", "delete", "patch", "options", "head"]
 JAVA_TYPES = ["RestController", "Service", "Controller", "Component"]
 TS_ROUTES = ["Get", "Post", "Put", "Delete", "Patch", "Options", "Head", "All", "MessagePattern"]
-NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "new", "function", "using", "lock", "foreach", "else", "do", "try", "await", "super", "this", "synchronized", "typeof", "throw", "case"}
+#: Names of arguments that hold a path.
+PATHS, TEMPLATES = ("value", "path"), ("template", "Template")
+LANGUAGES = ["java", "typescript", "python", "c_sharp"]
+FACTS = "class_name string, method_name string, kind string, name string, value string, pos long"
 
 
 def python_methods(source: str) -> Iterator[tuple]:
@@ -60,243 +69,265 @@ def python_methods(source: str) -> Iterator[tuple]:
             yield i, name, kind, "", j, m, m.capitalize() if api else None, api, "" if api else None, text
 
 
-def blank(source: str) -> str:
-    """The source with comments and the inside of strings as spaces, position by position."""
-    out, i, n = list(source), 0, len(source)
-
-    def wipe(a: int, b: int) -> None:
-        for k in range(a, min(b, n)):
-            if out[k] != "\n":
-                out[k] = " "
-
-    while i < n:
-        two, c = source[i : i + 2], source[i]
-        if two == "//":
-            j = source.find("\n", i)
-            j = n if j < 0 else j
-            wipe(i, j)
-        elif two == "/*":
-            j = source.find("*/", i + 2)
-            j = n if j < 0 else j + 2
-            wipe(i, j)
-        elif source[i : i + 3] == '"""':
-            j = source.find('"""', i + 3)
-            j = n if j < 0 else j + 3
-            wipe(i + 3, j - 3)
-        elif c in "\"'`":
-            verbatim, j = c == '"' and i > 0 and source[i - 1] == "@", i + 1
-            while j < n and source[j] != c:
-                if source[j] == "\n" and c != "`" and not verbatim:
-                    break
-                j += 2 if source[j] == "\\" and not verbatim else 1
-            wipe(i + 1, j)
-            j += 1
-        else:
-            j = i + 1
-        i = j
-    return "".join(out)
-
-
-def closing(code: str, at: int) -> int:
-    """Behind the bracket that closes the one at ``at``; the end where none does."""
-    pairs, depth = {"{": "}", "(": ")", "[": "]"}, 0
-    a, b = code[at], pairs[code[at]]
-    for i in range(at, len(code)):
-        depth += (code[i] == a) - (code[i] == b)
-        if not depth:
-            return i + 1
-    return len(code)
-
-
-def first_string(source: str, code: str, a: int, b: int, names: tuple[str, ...] = ("value", "path")) -> str | None:
-    """The first string argument between a and b that is positional or has one of the names."""
-    for m in re.finditer(r"""["'`]""", code[a:b]):
-        i = a + m.start()
-        before = code[a:i].rstrip("{([ \n\t")
-        if before.endswith(("=", ":")) and not re.search(r"\b(" + "|".join(names) + r")\s*[=:]$", before):
-            continue
-        j = code.find(code[i], i + 1)
-        return source[i + 1 : j if j > 0 else b]
-    return None
-
-
-def annotations(source: str, code: str, at: int, mark: str) -> tuple[list[tuple[str, str | None, int]], int]:
-    """Annotations from ``at`` on as (name, first string, position), and where the declaration goes on."""
-    found = []
-    while True:
-        m = re.compile(r"\s*").match(code, at)
-        i = m.end()
-        if mark == "@" and (x := re.compile(r"@([\w.]+)\s*").match(code, i)) and x[1] != "interface":
-            end = x.end()
-            text = None
-            if end < len(code) and code[end] == "(":
-                stop = closing(code, end)
-                text, end = first_string(source, code, end + 1, stop - 1), stop
-            found.append((x[1].rpartition(".")[2], text, i))
-            at = end
-        elif mark == "[" and i < len(code) and code[i] == "[":
-            stop = closing(code, i)
-            for y in re.finditer(r"(\w[\w.]*)\s*(\()?", code[i + 1 : stop - 1]):
-                p = i + 1 + y.start()
-                if code[i + 1 : p].count("(") > code[i + 1 : p].count(")"):
-                    continue
-                text = None
-                if y[2]:
-                    q = i + 1 + y.end() - 1
-                    text = first_string(source, code, q + 1, closing(code, q) - 1, ("template", "Template"))
-                found.append((y[1].rpartition(".")[2], text, i))
-            at = stop
-        else:
-            return found, i
-
-
-def members(code: str, a: int, b: int) -> Iterator[tuple[int, int]]:
-    """Top-level declarations between a and b."""
-    start, i, depth = a, a, 0
-    while i < b:
-        c = code[i]
-        if c in "([":
-            i = closing(code, i)
+def brace_methods(source: str, lang: str, nested: bool = False) -> Iterator[tuple]:
+    seen: dict[str, tuple[int, set]] = {}
+    for c in outer(Declarations(source, lang).classes(), nested):
+        if lang == "typescript" and "export" not in c.modifiers and not nested:
             continue
-        if c == "{":
-            end = min(closing(code, i), b)
-            rest = re.compile(r"\s*([=;,)]|=>)").match(code, end)
-            if rest and rest[1] == ";":
-                end = rest.end()
-            elif rest and rest[1] in "=,)":
-                i = end
+        kind, base = class_facts(lang, c)
+        number, known = seen.setdefault(c.name, (len(seen), set()))
+        for m in c.members:
+            got = method_facts(source, lang, kind, c, m)
+            key = m.name if lang != "typescript" else (m.first, m.end)
+            if got is None or key in known:
                 continue
-            yield start, end
-            start = i = end
-            continue
-        if c == ";":
-            yield start, i + 1
-            start = i + 1
-        i += 1
-    if code[start:b].strip():
-        yield start, b
+            yield (number, c.name, kind, base, len(known), m.name, *got)
+            known.add(key)
 
 
-def declared(source: str, lang: str, code: str) -> Iterator[tuple[list, str, str, int, int]]:
-    """Classes as (annotations, name, text between name and body, body start, body end)."""
-    scopes = [(0, len(code))]
-    if lang == "c_sharp":
-        scopes = [(m.end(), closing(code, m.end() - 1) - 1) for m in re.finditer(r"\bnamespace\s+[\w.]+\s*\{", code)]
-    mark = "[" if lang == "c_sharp" else "@"
-    head = re.compile(r"((?:\w+\s+)*)class\s+(\w+)([^{]*)\{")
-    for a, b in scopes:
-        for s, e in members(code, a, b):
-            keyword = re.search(r"\bclass\s+\w", code[s:e])
-            if not keyword:
-                continue
-            # the annotations that lead up to the class begin at one of its marks
-            word = s + keyword.start()
-            for k in [s, *(s + m.start() for m in re.finditer(re.escape(mark), code[s:word])), word - len(re.search(r"(?:\w+\s+)*\Z", code[s:word])[0])]:
-                found, at = annotations(source, code, k, mark)
-                m = head.match(code, at)
-                if m and m.end() > word:
-                    break
-            else:
-                continue
-            if lang == "typescript" and not re.search(r"\bexport\b", source[s : word]):
-                continue
-            yield found, m[2], m[3], m.end(), closing(code, m.end() - 1) - 1
+def outer(classes: list[Klass], nested: bool) -> Iterator[Klass]:
+    for c in classes:
+        yield c
+        if nested:
+            yield from outer(c.nested, True)
 
 
-def brace_methods(source: str, lang: str) -> Iterator[tuple]:
-    code = blank(source)
-    if lang == "typescript":
-        space = lambda x: re.sub(r"[^\n]", " ", x[0])
-        code = re.sub(r"""(?m)^\s*import\b[^;'"]*['"][^'"]*['"]\s*;?""", space, code)
-        code = re.sub(r"\bexport(?=\s+@)", space, code)
-    seen: dict[str, tuple[int, set]] = {}
-    for found, name, tail, a, b in declared(source, lang, code):
-        kind, base = class_facts(lang, found, name, tail)
-        number, known = seen.setdefault(name, (len(seen), set()))
-        j = len(known)
-        for s, e in members(code, a, b):
-            got = method_facts(source, code, lang, kind, s, e, name)
-            if got is None or (lang != "typescript" and got[0] in known):
-                continue
-            known.add(got[0] if lang != "typescript" else (s, e))
-            yield (number, name, kind, base, j, *got)
-            j += 1
+def parents(c: Klass) -> Iterator[str]:
+    """Names of the classes and interfaces that a class is made from, without qualifiers and arguments."""
+    depth, on = 0, False
+    for k, t in enumerate(c.heritage):
+        depth += (t.text == "<") - (t.text == ">")
+        if t.text == "where":
+            return
+        on = on or t.text in (":", "extends", "implements") and not depth
+        if on and not depth and t.kind == "word" and t.text not in ("extends", "implements") and not (k + 1 < len(c.heritage) and c.heritage[k + 1].text == "."):
+            yield t.text
 
 
-def class_facts(lang: str, found: list, name: str, tail: str) -> tuple[str, str]:
-    names = {x: t for x, t, _ in reversed(found)}
+def class_facts(lang: str, c: Klass) -> tuple[str, str]:
     if lang == "java":
-        return next((x for x, _, _ in found if x in JAVA_TYPES), "Utility"), names.get("RequestMapping") or ""
+        route = next((n for n in c.notes if n.name == "RequestMapping"), None)
+        return next((n.name for n in c.notes if n.name in JAVA_TYPES), "Utility"), (route and route.string(PATHS)) or ""
     if lang == "c_sharp":
-        parent = re.match(r"\s*:\s*([\w.]+)", tail)
-        if "Controller" in name or (parent and "Controller" in parent[1]):
-            kind = "Controller"
-        else:
-            kind = "Service" if "Service" in name else "Utility"
-        return kind, next((t for _, t, _ in found if t), "")
-    return (found[0][0], found[0][1] or "/") if found else ("Utility", "/")
+        parent = next(parents(c), "")
+        kind = "Controller" if "Controller" in c.name or "Controller" in parent else "Service" if "Service" in c.name else "Utility"
+        return kind, next((x for n in c.notes if (x := n.string(TEMPLATES))), "")
+    return (c.notes[0].name, c.notes[0].string(PATHS) or "/") if c.notes else ("Utility", "/")
 
 
-def method_facts(source: str, code: str, lang: str, kind: str, s: int, e: int, class_name: str) -> tuple | None:
-    found, at = annotations(source, code, s, "[" if lang == "c_sharp" else "@")
-    first = s + len(code[s:e]) - len(code[s:e].lstrip())
-    head_end = next((i for i in range(at, e) if code[i] in "{;="), e)
+def method_facts(source: str, lang: str, kind: str, c: Klass, m: Member) -> tuple | None:
+    """method_type, is_api_route, method_path and definition, or None for what is no method."""
+    if m.kind == "field":
+        return None
     if lang == "typescript":
-        m = re.compile(r"((?:(?:public|private|protected|static|async|readonly|override|get|set|abstract|\*)\s+)*)(\w+)\s*(?:<[^(]*>)?\s*(\(|(?::[^=({]*)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]*)?=>)").match(code, at)
-        if not m or m[2] in NOT_METHODS or "abstract" in m[1].split() or (m[3] == "(" and "{" not in code[closing(code, m.end() - 1) : e]):
+        if "abstract" in m.modifiers or not m.body:
             return None
-        route = next((x for x in found if x[0] in TS_ROUTES), None)
-        text = source[at:e]
-        return (m[2], route[0] if route else None, route is not None, (route[1] or "") if route else None, text.rstrip().rstrip(";") if m[3] != "(" else text)
-    m = None
-    for x in re.finditer(r"(\w+)\s*(?:<[^>]*>\s*)?\(", code[at:e]):
-        if at + x.start() > head_end:
-            break
-        m = x
-        break
-    if not m or m[1] in NOT_METHODS:
-        return None
-    before = code[at : at + m.start()].split()
-    after = closing(code, at + m.end() - 1)
-    body = re.compile(r"[^{;=]*(\{|=>)").match(code, after)
-    if m[1] == class_name or not before or before[-1] in ("new", "class") or "=" in before:
+        route = next((n for n in m.notes if n.name in TS_ROUTES), None)
+        return (route.name, True, route.string(PATHS) or "", source[m.start : m.end]) if route else (None, False, None, source[m.start : m.end])
+    if not m.type or m.type[-1].text == "~" or m.kind != "method":  # constructors have no type
         return None
-    text = source[first:e]
     if lang == "java":
-        modifiers = [w for w in before if w in ("public", "private", "protected", "static", "final", "synchronized", "abstract", "default")]
-        if not body or not (modifiers or found):
+        if not m.body or not (m.modifiers or m.notes):
             return None
-        route = next((x for x in found if x[0].endswith("Mapping")), None)
-        path = next((t or "" for _, t, _ in ([route] if route else found)), None)
-        api = route is not None and kind != "Service"
-        verb = route[0][: -len("Mapping")] if api else None
-        return m[1], "All" if verb == "Request" else verb, api, path, text
-    verb = next((x for x in found if x[0].startswith("Http") and x[0][4:].lower() in VERBS), None)
-    path = (verb[1] if verb else next((t for _, t, _ in found if t), None)) or ""
+        route = next((n for n in m.notes if n.name.endswith("Mapping")), None)
+        path = next((n.string(PATHS) or "" for n in ([route] if route else m.notes)), None)
+        verb = route.name.removesuffix("Mapping") if route else None
+        return "All" if verb == "Request" else verb, route is not None, path, source[m.first : m.end]
+    verb = next((n for n in m.notes if n.name.startswith("Http") and n.name[4:].lower() in VERBS), None)
+    path = (verb.string(TEMPLATES) if verb else next((x for n in m.notes if (x := n.string(TEMPLATES))), None)) or ""
     api = verb is not None and kind != "Service"
-    return m[1], verb[0][4:].capitalize() if api else None, api, path, text
+    return verb.name[4:].capitalize() if api else None, api, path, source[m.first : m.end]
+
+
+# ---- what the call graph is made of ------------------------------------------
+
+
+def type_name(inner: list[Token]) -> str | None:
+    """The name of a type: the last part of its first word, arguments and annotations aside."""
+    got = None
+    for k, t in enumerate(inner):
+        if t.kind == "word" and t.text not in MODIFIERS:
+            if got is not None and inner[k - 1].text != ".":
+                break
+            got = t.text
+        elif got is not None and t.text != ".":
+            break
+    return got
+
+
+def parameters(group: Token | None, lang: str) -> Iterator[tuple[str, str]]:
+    """Names and types of declared parameters."""
+    part: list[Token] = []
+    depth = 0
+    for t in [*(group.inner if group else []), Token("mark", ",", 0, 0)]:
+        depth += (t.text == "<") - (t.text == ">")
+        if t.text != "," or depth > 0:
+            part.append(t)
+            continue
+        words = [k for k, x in enumerate(part) if x.kind == "word" and x.text not in MODIFIERS and (k == 0 or part[k - 1].text != "@")]
+        stop = next((k for k, x in enumerate(part) if x.text == "="), len(part))
+        words = [k for k in words if k < stop]
+        if lang == "typescript":
+            colon = next((k for k, x in enumerate(part) if x.text == ":"), None)
+            if colon and words and (kind := type_name(part[colon + 1 :])):
+                yield part[[k for k in words if k < colon][-1]].text if any(k < colon for k in words) else "", kind
+        elif len(words) > 1 and (kind := type_name([x for k, x in enumerate(part) if k in words[:-1] or x.text in ("<", ">", ".")])):
+            yield part[words[-1]].text, kind
+        part, depth = [], 0
+
+
+def locals_of(inner: list[Token], lang: str) -> Iterator[tuple[str, str]]:
+    """Names and types of local variables: typed, or made by new."""
+    for items in walk(inner):
+        for k, t in enumerate(items):
+            if t.text != "=" or k < 2:
+                continue
+            name, made = items[k - 1], k + 2 < len(items) and items[k + 1].text == "new"
+            if lang == "typescript" and k > 3 and items[k - 2].text == ":":
+                name, kind = items[k - 3], type_name([items[k - 1]])
+            elif made:
+                kind = type_name(items[k + 2 :])
+            else:
+                j, depth = k - 2, 0
+                while j > 0 and (depth or items[j].text == ">"):  # arguments of the type
+                    depth += (items[j].text == ">") - (items[j].text == "<")
+                    j -= 1
+                kind = items[j].text if lang != "typescript" and items[j].kind == "word" and items[j].text not in ("var", "return") else None
+            if name.kind == "word" and kind:
+                yield name.text, kind
+
+
+def calls_of(inner: list[Token]) -> Iterator[tuple[int, str, str]]:
+    """(position, receiver, name) of calls; the receiver is the last name before the dot, or empty."""
+    for items in walk(inner):
+        for k, t in enumerate(items):
+            if t.text != "(" or t.kind != "mark" or not k or items[k - 1].kind != "word" or items[k - 1].text in NO_NAMES or items[k - 1].text in MODIFIERS:
+                continue
+            name = items[k - 1]
+            dotted = k > 2 and items[k - 2].text in (".", "?.")
+            if dotted and items[k - 3].kind == "word":
+                yield name.start, items[k - 3].text, name.text
+            elif not dotted and not (k > 1 and items[k - 2].text in ("new", "@")):
+                yield name.start, "", name.text
+
+
+def brace_facts(source: str, lang: str) -> Iterator[tuple]:
+    for c in outer(Declarations(source, lang).classes(), True):
+        for name in parents(c):
+            yield c.name, None, "parent", name, None, None
+        for m in c.members:
+            if m.kind == "field":
+                of = m.type[1:] if lang == "typescript" and m.type and m.type[0].text == ":" else m.type
+                if kind := type_name([x for x in of if x.text not in ("?", "!", ":")]) or next((v for _, v in locals_of([Token("mark", "", 0, 0), Token("word", m.name, 0, 0), Token("mark", "=", 0, 0), *m.rest], lang)), None):
+                    yield c.name, None, "type", m.name, kind, None
+                continue
+            made = m.name == "constructor" if lang == "typescript" else m.name == c.name
+            for name, kind in parameters(m.params or next((t for t in m.rest if t.text == "("), None), lang):
+                yield c.name, None if made else m.name, "type", name, kind, None
+            if made and lang != "typescript":  # this.x = y gives x the type of y
+                kinds = dict(parameters(m.params, lang))
+                for items in walk(m.rest):
+                    for k, t in enumerate(items):
+                        if t.text == "=" and k and k + 1 < len(items) and items[k + 1].text in kinds:
+                            yield c.name, None, "type", items[k - 1].text, kinds[items[k + 1].text], None
+            for name, kind in locals_of(m.rest, lang):
+                yield c.name, m.name, "type", name, kind, None
+            for at, receiver, name in calls_of(m.rest):
+                yield c.name, m.name, "call", receiver, name, at
+
+
+def python_facts(source: str) -> Iterator[tuple]:
+    made = lambda v: v.func.id if isinstance(v, ast.Call) and isinstance(v.func, ast.Name) else None
+    named = lambda v: v.id if isinstance(v, ast.Name) else v.attr if isinstance(v, ast.Attribute) else v.value if isinstance(v, ast.Constant) and isinstance(v.value, str) else None
+    body = ast.parse(source).body
+    shared = [(t.id, made(n.value)) for n in body if isinstance(n, ast.Assign) and made(n.value) for t in n.targets if isinstance(t, ast.Name)]
+    for c in body:
+        if not isinstance(c, ast.ClassDef):
+            continue
+        for p in c.bases:
+            if named(p):
+                yield c.name, None, "parent", named(p), None, None
+        for name, kind in shared:
+            yield c.name, None, "type", name, kind, None
+        for m in c.body:
+            if isinstance(m, ast.AnnAssign) and isinstance(m.target, ast.Name) and named(m.annotation):
+                yield c.name, None, "type", m.target.id, named(m.annotation), None
+            if not isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                continue
+            kinds = {a.arg: named(a.annotation) for a in m.args.args if a.annotation is not None and named(a.annotation)}
+            for name, kind in kinds.items():
+                yield c.name, m.name, "type", name, kind, None
+            for n in ast.walk(m):
+                if isinstance(n, ast.Assign) and (kind := made(n.value) or kinds.get(named(n.value))):
+                    for t in n.targets:
+                        if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
+                            yield c.name, None, "type", t.attr, kind, None
+                        elif isinstance(t, ast.Name):
+                            yield c.name, m.name, "type", t.id, kind, None
+                elif isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and named(n.func.value):
+                    yield c.name, m.name, "call", named(n.func.value), n.func.attr, n.func.end_lineno * 100_000 + n.func.end_col_offset
+
+
+def extract_source(source: str | None, lang: str, nested: bool = False) -> list[tuple]:
+    if source is None:
+        return []
+    try:
+        return list(python_methods(source) if lang == "python" else brace_methods(source, lang, nested))
+    except (SyntaxError, ValueError, RecursionError):
+        return []
 
 
-def extract_source(source: str | None, lang: str) -> list[tuple]:
+def facts_source(source: str | None, lang: str) -> list[tuple]:
     if source is None:
         return []
     try:
-        return list(python_methods(source) if lang == "python" else brace_methods(source, lang))
-    except (SyntaxError, ValueError, RecursionError, IndexError):
+        return list(python_facts(source) if lang == "python" else brace_facts(source, lang))
+    except (SyntaxError, ValueError, RecursionError):
         return []
 
 
-def extract(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """Method rows of the files in a language that has an extractor, with path and file_name (base name + .json)."""
+def _sources(files: DataFrame, content: str, path: str) -> DataFrame:
     ship(files.sparkSession)
     d = files.select(F.col(path).alias("path"), language(F.col(path)).alias("lang"), F.col(content).alias("content"))
-    d = d.where(F.col("lang").isin("java", "typescript", "python", "c_sharp") & F.col("content").isNotNull())
+    return d.where(F.col("lang").isin(*LANGUAGES) & F.col("content").isNotNull())
+
+
+def _rows(d: DataFrame, of: Callable[[str, str], list[tuple]], schema: str) -> DataFrame:
+    fields = to_arrow_schema(StructType.fromDDL(f"path string, {schema}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(p, *r) for p, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in extract_source(text, lang)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate([pa.string(), *ARROW])], ["path", *FIELDS])
+            out = [(p, *r) for p, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in of(text, lang)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(fields)], fields.names)
+
+    return d.mapInArrow(run, f"path string, {schema}")
+
 
-    got = d.mapInArrow(run, f"path string, {SQL}")
+def extract(files: DataFrame, content: str = "content", path: str = "path", nested: bool = False) -> DataFrame:
+    """Method rows of the files in a language that has an extractor, with path and file_name (base name + .json)."""
+    got = _rows(_sources(files, content, path), lambda t, lang: extract_source(t, lang, nested), SQL)
     name = F.concat(F.regexp_extract("path", r"([^/]*)$", 1), F.lit(".json"))
     return got.withColumn("file_name", name).withColumn("method_definition", trim_code(F.col("method_definition")))
+
+
+def facts(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
+    """path, class_name, method_name (null: the whole class), kind, name, value, pos: ``type`` (a name and its
+    type), ``parent`` (its name) and ``call`` (receiver, or empty, and name)."""
+    return _rows(_sources(files, content, path), facts_source, FACTS)
+
+
+class ExtractMethods:
+    def eval(self, lang: str, content: str) -> Iterator[tuple]:
+        yield from extract_source(content, lang)
+
+
+class ExtractFacts:
+    def eval(self, lang: str, content: str) -> Iterator[tuple]:
+        yield from facts_source(content, lang)
+
+
+def register(spark: SparkSession) -> None:
+    """SQL: SELECT ... FROM sources, LATERAL extract_methods(lang, content), or extract_facts."""
+    ship(spark)
+    spark.udtf.register("extract_methods", F.udtf(ExtractMethods, returnType=SQL))
+    spark.udtf.register("extract_facts", F.udtf(ExtractFacts, returnType=FACTS))

@@ -8,17 +8,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strict import generate_json
+from ..runtime import stored
 from .shape import last_wins
 
+#: Receivers that stand for the object itself; an empty one too.
+OWN = ["this", "self", ""]
 
-def dependencies(methods: DataFrame, project: list[str] | None = None) -> DataFrame:
+
+def call_graph(facts: DataFrame, methods: DataFrame, project: list[str] | None = None, inherited: int = 2) -> DataFrame:
+    """Calls that reach a method of the project: path, class_name, method_name, pos, receiver, name, to_class.
+
+    facts: of ``extract.facts``. A receiver is looked up in the scope of its method,
+    then in that of its class, and gives the class of its declared type; one that
+    has none may be a class's name, or else be named like a class (upper case and
+    underscores aside). A method that the class does not have is looked for in its
+    parents, ``inherited`` steps up. project: columns that bound all lookups.
+    """
+    keys = project or []
+    at = [*keys, "path", "class_name"]
+    calls = facts.where("kind = 'call'").select(*at, "method_name", F.col("name").alias("receiver"), F.col("value").alias("name"), "pos")
+    calls = calls.join(methods.select(*at, "method_name").distinct(), [*at, "method_name"], "left_semi")
+    types = facts.where("kind = 'type'")
+    inner = types.where("method_name IS NOT NULL").groupBy(*at, "method_name", F.col("name").alias("receiver")).agg(F.min("value").alias("_inner"))
+    outer = types.where("method_name IS NULL").groupBy(*at, F.col("name").alias("receiver")).agg(F.min("value").alias("_outer"))
+    d = calls.join(inner, [*at, "method_name", "receiver"], "left").join(outer, [*at, "receiver"], "left")
+    own = F.when(F.col("receiver").isin(*OWN), F.col("class_name"))
+    d = d.withColumn("_typed", F.coalesce(own, "_inner", "_outer"))
+    has = methods.select(*keys, F.col("class_name").alias("_c"), F.col("method_name").alias("name")).distinct()
+    has = has.withColumn("to_class", F.col("_c"))
+    up = facts.where("kind = 'parent'").select(*keys, F.col("class_name").alias("_child"), F.col("name").alias("_c")).distinct()
+    for _ in range(inherited):
+        more = has.join(up, [*keys, "_c"]).select(*keys, F.col("_child").alias("_c"), "name", "to_class")
+        has = has.union(more.join(has, [*keys, "_c", "name"], "left_anti").groupBy(*keys, "_c", "name").agg(F.min("to_class").alias("to_class")))
+    plain = lambda c: F.lower(F.translate(c, "_", ""))
+    typed = d.where("_typed IS NOT NULL").withColumnRenamed("_typed", "_c").join(has, [*keys, "_c", "name"])
+    loose = has.groupBy(*keys, plain(F.col("_c")).alias("_p"), "name").agg(F.min("to_class").alias("to_class"))
+    named = d.where("_typed IS NULL").withColumn("_p", plain(F.col("receiver"))).join(loose, [*keys, "_p", "name"])
+    out = [*at, "method_name", "pos", "receiver", "name", "to_class"]
+    return typed.select(*out).union(named.select(*out))
+
+
+def reaches(graph: DataFrame, project: list[str] | None = None, rounds: int | None = None) -> DataFrame:
+    """class_name, method_name, to_class, to_method, steps: what each method calls, at once or
+    by others, with the least number of calls between. Pairs are met once, so cycles end."""
+    keys = project or []
+    edges = stored(graph.select(*keys, "class_name", "method_name", "to_class", F.col("name").alias("to_method")).distinct(), "edges")
+    step = edges.select(*keys, F.col("class_name").alias("to_class"), F.col("method_name").alias("to_method"), F.col("to_class").alias("_c"), F.col("to_method").alias("_m"))
+    met = edges.withColumn("steps", F.lit(1))
+    new, n = met, 1
+    while rounds is None or n < rounds:
+        n += 1
+        far = new.join(step, [*keys, "to_class", "to_method"]).select(*keys, "class_name", "method_name", F.col("_c").alias("to_class"), F.col("_m").alias("to_method")).distinct()
+        new = stored(far.join(met, [*keys, "class_name", "method_name", "to_class", "to_method"], "left_anti").withColumn("steps", F.lit(n)), "reach")
+        if new.isEmpty():
+            break
+        met = met.union(new)
+    return met
+
+
+def dependencies(methods: DataFrame, project: list[str] | None = None, facts: DataFrame | None = None) -> DataFrame:
     """path, class_name, method, dependencies in order of appearance, is_api_route.
 
-    A call receiver.name counts when the project has a class named like the
-    receiver (upper case and underscores aside) with such a method; self.name and
+    With facts, calls are those of the sources' syntax, by the call graph. Without,
+    a call receiver.name in the text counts when the project has a class named like
+    the receiver (upper case and underscores aside) with such a method; self.name and
     this.name count as the own class's. project: columns that bound the lookup.
     """
     keys = project or []
+    if facts is not None:
+        on = [*keys, "path", "class_name", "method_name"]
+        said = F.concat(F.when(F.col("receiver") == "", F.lit("this")).otherwise(F.col("receiver")), F.lit("."), "name")
+        hit = call_graph(facts, methods, project).groupBy(*on, said.alias("call")).agg(F.min("pos").alias("pos"))
+        deps = hit.groupBy(*on).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "call"))), lambda x: x["call"]).alias("dependencies"))
+        m = methods.select(*on, F.coalesce("is_api_route", F.lit(False)).alias("is_api_route")).join(deps, on, "left")
+        return m.select(*keys, "path", "class_name", F.col("method_name").alias("method"), F.coalesce("dependencies", F.array().cast("array<string>")).alias("dependencies"), "is_api_route")
     m = methods.select(*keys, "path", "class_name", "method_name", "is_api_route", "method_definition").withColumn("_row", F.xxhash64("path", "class_name", "method_name", "method_definition"))
     calls = m.select(*keys, "_row", "class_name", F.posexplode(F.regexp_extract_all("method_definition", F.lit(r"(?:\b(?:this|self)\s*\.\s*)?(\b\w+\s*\.\s*\w+)\s*\("), F.lit(1))).alias("pos", "call"))
     calls = calls.withColumn("call", F.regexp_replace("call", r"\s+", "")).withColumn("_recv", F.substring_index("call", ".", 1)).withColumn("_name", F.substring_index("call", ".", -1))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import docs, index, mapping, shape
-from ..operators.extract import extract
+from ..operators.extract import extract, facts
 from ..sources.files import project
 from ..sources.srctree import read_tree
 
@@ -23,7 +23,8 @@ def methods_of(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 def map_project(spark: SparkSession, folder: str) -> DataFrame:
     """Source tree to mapped methods: class, method, dependencies, API flag."""
-    return mapping.dependencies(methods_of(spark, folder))
+    files = read_tree(spark, folder)
+    return mapping.dependencies(extract(files), facts=facts(files))
 
 
 def build_index(methods: DataFrame, mapped: DataFrame, path: str) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import code_queries
 from .functions import strict
 from .functions import text as T
 from .operators import docs as D
 from .operators import index as I
 from .operators import mapping, shape
-from .operators.extract import extract
 from .runtime import ship
 
 
@@ -23,12 +23,6 @@ documents, pages, events, conversations, embeddings, benchmark, labels = map(_t,
 PATHS = ["src/app.ts", "src/App.TS", "a/B.java", "m.py", "x/y.cs", "z.js", "k.go", "i.php", "a.cpp", "b.cc", "c.cxx", "d.h", "e.hpp", "readme.md", "a/.py", "x.tar.GZ", "..a.py", "d.x/noext", "a.", "v.tsx"]
 HEADS = [("a", "from django.http import HttpResponse"), ("b", "from fastapi import FastAPI"), ("c", "@Controller('x')"), ("d", "@SpringBootApplication class A {}"), ("e", "@GetMapping @RestController"), ("f", "using Microsoft.AspNetCore.Mvc;"), ("g", "const e = require('express')"), ("h", "namespace App\\Http\\Controllers;"), ("i", "import pandas"), ("j", "int main() {}")]
 ROUTES = [("/users/{token}", "GET"), ("/api/{client_secret}/data", "GET"), ("/users/{id}", "GET"), ("/auth", "POST"), ("/auth/login", "POST"), ("/x/auth/login", "POST"), ("/{author}/books", "GET"), ("/{id}/token/{x}", "PUT"), ("/API/{Key}", "GET"), ("/password/", "GET")]
-CODE = {
-    "py": ("svc/views.py", "class ItemView(View):\n    def get(self, request):\n        return item_service.find(request)\n\n    def helper(self):\n        return self.get(None)\n\nclass ItemService:\n    def find(self, q):\n        return db.rows(q)\n"),
-    "java": ("svc/ItemController.java", "import a.b;\n@RestController\n@RequestMapping(\"/items\")\npublic class ItemController {\n  @GetMapping(\"/{id}\")\n  public Item one(String id) { return itemService.find(id); }\n  @PostMapping\n  public Item add(Item i) { /* } */ return i; }\n}\n"),
-    "cs": ("svc/ItemController.cs", "namespace A {\n  [ApiController]\n  [Route(\"items\")]\n  public class ItemController : ControllerBase {\n    [Authorize]\n    [HttpGet(\"{id}\")]\n    public Item One(int id) { return _itemService.Find(id); }\n    public Item Plain() { return null; }\n  }\n}\n"),
-    "ts": ("svc/item.controller.ts", "import { X } from 'x';\n@Controller('items')\nexport class ItemController {\n  constructor(private s: ItemService) {}\n  @Get(':id')\n  @UseGuards(G)\n  one(id: string) { return this.itemService.find(id); }\n  add = async (i: any) => { return i; }\n}\n"),
-}
 URL_PATH = r"^[a-z]+://[^/]+(/[^?#]*)"
 
 
@@ -224,35 +218,15 @@ def fallback_documentation(spark: SparkSession, sf: str) -> DataFrame:
     return D.documentation(d).select("page_id", F.get_json_object(j, "$.postman.request.url.raw").alias("url"), F.get_json_object(j, "$.postman.request.method").alias("verb"), F.get_json_object(j, "$.swagger.summary").alias("summary"))
 
 
-def _code(spark: SparkSession, *names: str) -> DataFrame:
-    return spark.createDataFrame([CODE[n] for n in names], "path string, content string")
-
-
-def _extracted(name: str):
-    def query(spark: SparkSession, sf: str) -> DataFrame:
-        return extract(_code(spark, name)).select("class_name", "class_type", "base_path", "ord", "method_name", "method_type", "is_api_route", "method_path")
-
-    return query
-
-
-def map_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    d = mapping.dependencies(extract(_code(spark, *CODE)))
-    return d.select("path", "class_name", "method", F.array_join("dependencies", ",").alias("dependencies"), "is_api_route")
-
-
-def mapped_document(spark: SparkSession, sf: str) -> DataFrame:
-    return mapping.mapped_json(mapping.by_class(mapping.dependencies(extract(_code(spark, *CODE)))))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         chunk_documents, language_by_extension, framework_of_file, framework_of_project, security_alerts, json_extract_repair, json_strict_parse, code_text, metadata_filter, class_filter, docs_prompt, flatten_methods, schema_check,
         first_wins_dedup, last_wins_by_key, vector_topk, rerank_topk, embed_documents, rag_prompt, method_docs, index_counts, dependency_context, method_details, flag_merge, api_route_filter, openapi_paths,
-        openapi_document, postman_items, postman_document, examples_map, examples_ts, fallback_documentation, map_dependencies, mapped_document,
+        openapi_document, postman_items, postman_document, examples_map, examples_ts, fallback_documentation,
     )
 }
-QUERIES |= {"extract_python": _extracted("py"), "extract_java": _extracted("java"), "extract_csharp": _extracted("cs"), "extract_typescript": _extracted("ts")}
+QUERIES |= code_queries.QUERIES
 
 _EXT = " ".join(f"WHEN e = '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items())
 _PATH = "regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1)"
@@ -273,13 +247,6 @@ _HEADS = f"SELECT * FROM (VALUES {sql_list(HEADS)}) t(path, content)"
 _ALERT = " ".join(f"""CASE WHEN regexp_matches(lower(path), '\\{{.*{k}.*\\}}') OR contains(lower(path), '/{k}/') THEN 'SECURITY ALERT: Endpoint ' || method || ' ' || path || ' seems to be passing a ''{k}'' in the URL path. Sensitive data should be passed in headers or body.' END,""" for k in T.SENSITIVE).rstrip(",")
 _TRIM = r"regexp_replace(%s, '^/+|/+$', '', 'g')"
 _TAG = f"CASE WHEN path = '/' THEN 'root' ELSE split_part({_TRIM % 'path'}, '/', 1) END"
-_EXTRACT_COLUMNS = "class_name, class_type, base_path, ord, method_name, method_type, is_api_route, method_path"
-
-
-def _rows_sql(rows: list[tuple]) -> str:
-    cast = "class_name, class_type, base_path, ord::INT AS ord, method_name, method_type::VARCHAR AS method_type, is_api_route, method_path::VARCHAR AS method_path"
-    return f"SELECT {cast} FROM (VALUES {sql_list(rows)}) t({_EXTRACT_COLUMNS})"
-
 
 ORACLES = {
     "chunk_documents": f"""WITH d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents), p AS (SELECT doc_id, text, w, unnest(CASE WHEN len(w) > 500 THEN range(0, ((len(w) + 499) // 500)::BIGINT) ELSE [0] END) AS chunk_no FROM d)
@@ -313,18 +280,10 @@ ORACLES = {
     "postman_items": f"WITH {_ENDPOINTS} SELECT ord, path AS name, upper(method) AS method, '{{{{base_url}}}}' || path AS raw, replace({_TRIM % 'path'}, '/', '|') AS segments FROM ep",
     "examples_map": f"""WITH {_ENDPOINTS} SELECT translate(lower(method) || '_' || replace({_TRIM % 'path'}, '/', '_'), '{{}}', '') AS key, '{{}}' AS request, '{{"page_id":' || max(ord) || '}}' AS response, min(ord) AS ord FROM ep GROUP BY 1""",
     "fallback_documentation": f"WITH p AS (SELECT page_id, {_PATH} AS mp FROM pages) SELECT page_id, '{{{{baseUrl}}}}' || CASE WHEN mp = '' THEN '/api/' ELSE '/api/' || regexp_replace(mp, '^/+', '') END AS url, CASE WHEN page_id % 2 = 0 THEN 'Get' ELSE 'GET' END AS verb, 'm' || page_id AS summary FROM p",
-    "extract_python": _rows_sql([("ItemView", "Controller", "", 0, "get", "Get", True, ""), ("ItemView", "Controller", "", 1, "helper", None, False, None), ("ItemService", "Service", "", 0, "find", None, False, None)]),
-    "extract_java": _rows_sql([("ItemController", "RestController", "/items", 0, "one", "Get", True, "/{id}"), ("ItemController", "RestController", "/items", 1, "add", "Post", True, "")]),
-    "extract_csharp": _rows_sql([("ItemController", "Controller", "items", 0, "One", "Get", True, "{id}"), ("ItemController", "Controller", "items", 1, "Plain", None, False, "")]),
-    "extract_typescript": _rows_sql([("ItemController", "Controller", "items", 0, "constructor", None, False, None), ("ItemController", "Controller", "items", 1, "one", "Get", True, ":id"), ("ItemController", "Controller", "items", 2, "add", None, False, None)]),
-    "map_dependencies": "SELECT * FROM (VALUES "
-    + sql_list([("svc/views.py", "ItemView", "get", "item_service.find", True), ("svc/views.py", "ItemView", "helper", "self.get", False), ("svc/views.py", "ItemService", "find", "", False), ("svc/ItemController.java", "ItemController", "one", "itemService.find", True), ("svc/ItemController.java", "ItemController", "add", "", True), ("svc/ItemController.cs", "ItemController", "One", "", True), ("svc/ItemController.cs", "ItemController", "Plain", "", False), ("svc/item.controller.ts", "ItemController", "constructor", "", False), ("svc/item.controller.ts", "ItemController", "one", "itemService.find", True), ("svc/item.controller.ts", "ItemController", "add", "", False)])
-    + ") t(path, class_name, method, dependencies, is_api_route)",
 }
 
 _OPERATION = """'{"summary":' || to_json(summary) || ',"description":' || to_json(description) || ',"tags":[' || to_json(tag) || '],"responses":{"200":{"description":"Successful response"}}}'"""
 _ITEM = """'{"name":' || to_json(name) || ',"request":{"method":' || to_json(method) || ',"url":{"raw":' || to_json(raw) || ',"host":["{{base_url}}"],"path":' || to_json(string_split(segments, '|')) || '}}}'"""
-_METHOD = """'{"method":' || to_json(method) || ',"dependencies":' || to_json(CASE WHEN dependencies = '' THEN [] ELSE string_split(dependencies, ',') END) || ',"is_api_route":' || is_api_route || '}'"""
 #: Whole documents, of the rows of other queries.
 ORACLES |= {
     "class_filter": "SELECT doc_id::VARCHAR AS method_name, md5(text) AS text_md5 FROM documents WHERE source = 'src0'",
@@ -334,6 +293,5 @@ ORACLES |= {
         SELECT '{{"openapi":"3.0.0","info":{{"title":"Generated API","version":"1.0.0","description":"Automatically generated documentation.\\n"}},"paths":{{' || coalesce(string_agg(to_json(path) || ':{{' || verbs || '}}', ',' ORDER BY ord), '') || '}}}}' AS json FROM p""",
     "postman_document": f"""WITH i AS ({ORACLES["postman_items"]}) SELECT '{{"info":{{"name":"Generated Collection","schema":"{D.SCHEMA_URL}"}},"item":[' || coalesce(string_agg({_ITEM}, ',' ORDER BY ord), '') || ']}}' AS json FROM i""",
     "examples_ts": f"""WITH e AS ({ORACLES["examples_map"]}) SELECT '/** Auto-generated API Examples */' || chr(10) || chr(10) || 'export const apiExamples = {{' || chr(10) || coalesce(string_agg('  ' || to_json(key) || ': {{"request": ' || request || ', "response": ' || response || '}}', ',' || chr(10) ORDER BY ord), '') || chr(10) || '}};' || chr(10) AS text FROM e""",
-    "mapped_document": f"""WITH m AS ({ORACLES["map_dependencies"]}), n AS (SELECT *, max(path) OVER (PARTITION BY class_name) AS last FROM m), c AS (SELECT class_name, string_agg({_METHOD}, ',' ORDER BY method) AS methods FROM n WHERE path = last GROUP BY class_name)
-        SELECT '{{' || string_agg(to_json(class_name) || ':{{"methods":[' || methods || ']}}', ',' ORDER BY class_name) || '}}' AS json FROM c""",
 }
+ORACLES |= code_queries.ORACLES

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,22 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; a temporary one only for a local master."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="sparkloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write df once and read it again, which cuts its lineage."""
+    path = scratch(df.sparkSession, name)
+    w = df.write.partitionBy(*partition_by) if partition_by else df.write
+    w.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
