@@ -31,9 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .phrases import gathered
+from .textkit import ALNUM, LOWER, ranges, release
 from .textkit import pack as packed
-from .textkit import ranges, release
 
+STOPS = np.zeros(256, bool)
+STOPS[[ord(c) for c in ".,;:!?"]] = True
 #: Words longer than this (in bytes) are not kept in a worker's cache.
 LONG_WORD = 64
 SCHEMA = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
@@ -122,41 +125,79 @@ def powers_of_two(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int
 
 
 class Tokens:
-    """Token ids of texts by a tokenizers file, with the ids of short words kept.
+    """Token ids of texts by a tokenizers file of a byte-level vocabulary, with the ids of words kept.
 
-    A byte-level vocabulary never joins a space to what stands before it, so texts
-    are cut before each space that follows anything but white space, and each
-    different word of a batch is looked up once.
+    Such a vocabulary never joins a space to what stands before it, nor a letter to
+    a stop behind it. So texts are cut before spaces that follow anything but white
+    space and before stops that follow a letter or digit, and each different word of
+    a batch is looked up once. Words that are not known are put through the
+    tokenizer end to end; the lengths of tokens tell which belong to which.
     """
 
-    def __init__(self, spec: str, end_id: int | None, most_words: int = 300_000):
+    def __init__(self, spec: str, end_id: int | None, most_words: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model, self.end_id, self.most, self.known = Tokenizer.from_str(spec), end_id, most_words, {}
+        self.model, self.end_id, self.most = Tokenizer.from_str(spec), end_id, most_words
+        #: Words seen lately, and those seen before them; a word that is met again stays.
+        self.known, self.older = {}, {}
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for name, i in vocabulary.items():
+            self.bytes[i] = len(name)  # a character of a token's name stands for a byte
+
+    def learn(self, names: list[bytes]) -> None:
+        """Put words that are not known through the tokenizer."""
+        apart = lambda w: w[:1] != b" "  # noqa: E731  joined, they might make other tokens
+        alone = [w for w in names if apart(w)]
+        for w, e in zip(alone, self.model.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, np.int32).tobytes()
+        rest = [w for w in names if not apart(w)]
+        for i in range(0, len(rest), 2000):
+            some = rest[i : i + 2000]
+            ids = np.array(self.model.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+            cut = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
+            raw = ids.tobytes()
+            for w, x, y in zip(some, np.append(0, cut[:-1] * 4).tolist(), (cut * 4).tolist(), strict=True):
+                self.known[w] = raw[x:y]
+
+    def lookup(self, names: list[bytes]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in names:
+            if w not in self.known:
+                if w in self.older:
+                    self.known[w] = self.older[w]
+                else:
+                    new.append(w)
+        self.learn(new)
+        out = [self.known[w] for w in names]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.known[w]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and n+1 offsets."""
         buf, offs = packed(texts)
         n = len(offs) - 1
-        full = np.flatnonzero(offs[1:] > offs[:-1])
-        first = offs[full]
+        mark = np.zeros(len(buf) + 1, bool)
         cut = np.flatnonzero(buf[1:] == 0x20) + 1
         a, b, c = (buf[np.maximum(cut - k, 0)] for k in (3, 2, 1))
         # fixed values: the last bytes of white space beyond ASCII; a few other letters are left uncut too
         wide = ((b == 0xC2) & ((c == 0x85) | (c == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
-        cut = cut[(c > 0x20) & ~wide]
-        at = np.union1d(first, cut)
+        mark[cut[(c > 0x20) & ~wide]] = True
+        cut = np.flatnonzero(STOPS[buf[1:]]) + 1
+        b, c = buf[np.maximum(cut - 2, 0)], buf[cut - 1]
+        mark[cut[ALNUM[LOWER[c]] & (c < 0x80) | (b == 0xC3) & (c >= 0x80) & (c != 0x97) & (c != 0xB7)]] = True
+        mark[offs[:-1][offs[1:] > offs[:-1]]] = True
+        at = np.flatnonzero(mark)
         word = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(buf)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
         coded = word.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        new = [w for w in names if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, names
-        fresh = {w: np.array(e.ids, np.int32).tobytes() for w, e in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True)} if new else {}
-        ids = [fresh[w] if w in fresh else self.known[w] for w in names]
-        self.known.update((w, x) for w, x in fresh.items() if len(w) <= LONG_WORD)
-        size = np.array([len(x) // 4 for x in ids], np.int64)
+        ids = self.lookup(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         values, start = np.frombuffer(b"".join(ids), np.int32), np.cumsum(size) - size
         which = coded.indices.to_numpy(zero_copy_only=False)
         each = size[which]
@@ -233,7 +274,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
         from pyspark import TaskContext
 
         tokens, block = None, Block(capacity, TaskContext.get().partitionId() << 40)
-        for b in batches:
+        for b in gathered(batches, 4 * block_tokens):
             tokens = tokens or Tokens(spec, end_id)
             # texts of about a block's tokens at a time
             size = np.append(0, np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)))
