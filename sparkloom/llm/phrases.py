@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,6 +128,13 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def tally(phrase: pa.Array, lang: pa.Array) -> pa.Table:
+    """key and c: how often each phrase stands there; a key is phrase, tab, language, as no phrase has a tab."""
+    key = pc.binary_join_element_wise(phrase, lang.cast(pa.large_string()), pa.scalar("\t", pa.large_string()))
+    g = pa.table({"key": key}).group_by(["key"], use_threads=False).aggregate([([], "count_all")])
+    return pa.table({"key": g["key"].cast(pa.string()), "c": g["count_all"]})
+
+
 def counts(docs: DataFrame, sizes: range, known: np.ndarray | None, batch_bytes: int) -> DataFrame:
     """lang, phrase, words and c of the n-grams of those sizes; rows with a null phrase hold all
     words of a language. known: a filter of frequent words for pairs, of frequent pairs for longer ones."""
@@ -158,18 +166,19 @@ def counts(docs: DataFrame, sizes: range, known: np.ndarray | None, batch_bytes:
                 if k not in sizes:
                     continue
                 here = at[ok]
-                g = pa.table({"lang": langs.take(pa.array(w.text[here])), "phrase": w.phrases(here, k)}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
-                made.append(pa.table({"lang": g["lang"].cast(pa.string()), "phrase": g["phrase"].cast(pa.string()), "words": pa.array(np.full(len(g), k, np.int32)), "c": g["count_all"]}))
+                made.append(tally(w.phrases(here, k), langs.take(pa.array(w.text[here]))))
                 if k == 1:
-                    g = pa.table({"lang": langs.take(pa.array(w.text))}).group_by(["lang"], use_threads=False).aggregate([([], "count_all")])
-                    made.append(pa.table({"lang": g["lang"].cast(pa.string()), "phrase": pa.nulls(len(g), pa.string()), "words": pa.array(np.zeros(len(g), np.int32)), "c": g["count_all"]}))
+                    made.append(tally(pa.nulls(n, pa.large_string()).fill_null(""), langs.take(pa.array(w.text))))
             yield from pa.concat_tables(made).combine_chunks().to_batches()
             del w
             release()
 
     d = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = d.mapInArrow(run, "lang string, phrase string, words int, c long")
-    return rows.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("c"))
+    rows = d.mapInArrow(run, "key string, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    cut = F.instr("key", "\t")
+    phrase = F.substr("key", F.lit(1), cut - 1)
+    blanks = F.length(phrase) - F.length(F.translate(phrase, " ", ""))
+    return rows.select(F.substr("key", cut + 1).alias("lang"), F.when(phrase != "", phrase).alias("phrase"), F.when(phrase != "", blanks + 1).otherwise(0).alias("words"), "c")
 
 
 def mine(docs: DataFrame, max_n: int = 5, least: int = 100, top: int | None = 2000, scale: int = 1000, absorb: int = 100, filter_bits: int = 1 << 24, batch_bytes: int = 4 << 20) -> DataFrame:
