@@ -51,7 +51,7 @@ PLACE = ("commit_seq", "commit_null", "commit_source", "commit_tie")
 @dataclass
 class Reassembled:
     """undone: kind (abort or rollback), seq, by_seq (null: the end of the log), key, source, value.
-    commits: the places of all commits. deltas: the commit's place, key, old and new value, in
+    commits: the places of all commits. deltas: the commit's place, seq, key, old and new value, in
     which null stands for a key that is not stored."""
 
     undone: DataFrame
@@ -143,8 +143,8 @@ def _last_value(it: Iterator) -> tuple | None:
 def _overwrites(handed: list):
     def run(i: int, it: Iterator) -> Iterator[tuple]:
         at = handed[i]
-        for (key, c_seq, c_null, c_source, c_tie, *_), value in it:
-            yield (c_seq, c_null, c_source, c_tie, None if key[0] else key[1], at[1] if at and at[0] == key else None, value)
+        for (key, c_seq, c_null, c_source, c_tie, seq, *_), value in it:
+            yield (c_seq, c_null, c_source, c_tie, seq, None if key[0] else key[1], at[1] if at and at[0] == key else None, value)
             at = (key, value)
 
     return run
@@ -167,7 +167,7 @@ def reassemble(log: DataFrame, partitions: int | None = None) -> Reassembled:
     changes = fates.where("kind = 'change'").select("key", *PLACE, "seq", "tie", "value").rdd
     changes = sorted_ranges(changes.map(lambda r: ((order(r[0]), *r[1:7], order(r[7])), r[7])), n)
     handed = carried(changes, _last_value, lambda _, own: own)
-    deltas = spark.createDataFrame(changes.mapPartitionsWithIndex(_overwrites(handed)), StructType([*place, StructField("key", LongType()), StructField("old", value), StructField("new", value)]), verifySchema=False)
+    deltas = spark.createDataFrame(changes.mapPartitionsWithIndex(_overwrites(handed)), StructType([*place, StructField("seq", LongType()), StructField("key", LongType()), StructField("old", value), StructField("new", value)]), verifySchema=False)
     undone = fates.where("kind IN ('abort', 'rollback')").select("kind", "seq", "by_seq", "key", "source", "value")
     return Reassembled(undone, fates.where("kind = 'commit'").select(*PLACE), table(deltas, "deltas"), n)
 

@@ -129,7 +129,7 @@ def test_log(spark, n, partitions, every, seed):
     assert sorted(tuple(r) for r in s.collect()) == states
     assert Counter((r.kind, r.seq, r.by_seq, r.key) for r in got.undone.collect()) == Counter(undone)
     last = {}
-    for d in sorted(got.deltas.collect(), key=lambda d: (d.commit_seq, d.commit_null, d.commit_source, d.commit_tie)):
+    for d in sorted(got.deltas.collect(), key=lambda d: (d.commit_seq, d.commit_null, d.commit_source, d.commit_tie, d.seq)):
         if d.new is None:
             last.pop(d.key, None)
         else:
