@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import code_queries
@@ -10,8 +11,8 @@ from .functions import strict
 from .functions import text as T
 from .operators import docs as D
 from .operators import index as I
-from .operators import mapping, shape
-from .runtime import ship
+from .operators import lexical, mapping, shape, vectors
+from .runtime import ship, stored
 
 
 def _t(name: str):
@@ -124,14 +125,37 @@ def last_wins_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest rows to every vector whose id is divisible by 50, by comparing all."""
     e = embeddings(spark, sf)
-    query = e.where("vec_id = 0").select("embedding").first()
-    return I.top_k(e, query[0] if query else [], 10, key="vec_id").select("vec_id", "score")
+    return vectors.exact_top_k(e, e.where("vec_id % 50 = 0"), 10, "vec_id")
+
+
+def vector_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the index, and the share of the exact results that each query found."""
+    e = embeddings(spark, sf)
+    q = e.where("vec_id % 50 = 0")
+    found = vectors.search(vectors.build_index(e, key="vec_id"), q, 10, key="vec_id")
+    hit = vectors.exact_top_k(e, q, 10, "vec_id").select("query", "id", F.lit(1).alias("hit"))
+    d = found.join(hit, ["query", "id"], "left").withColumn("recall", F.sum(F.coalesce("hit", F.lit(0))).over(W.partitionBy("query")) / 10)
+    return d.select("query", "rank", "id", "score", "recall")
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmark(spark, sf).where("item_id % 50 = 0")
+
+
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents for every benchmark text whose id is divisible by 50."""
+    return lexical.search_text(lexical.build_text_index(documents(spark, sf)), _asked(spark, sf), 10)
 
 
 def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
-    q = benchmark(spark, sf).where("item_id = 0").select("text").first()
-    return I.rerank(documents(spark, sf), I.overlap(F.col("text"), F.lit(q[0] if q else "")), 5).select("doc_id", F.col("rerank").alias("score"))
+    """Of the ten documents retrieved for each benchmark text, the five best by the words they share, rare ones first."""
+    docs, asked = documents(spark, sf), _asked(spark, sf)
+    made = lexical.build_text_index(docs)
+    found = stored(lexical.search_text(made, asked, 10), "found")
+    scored = lexical.weighted_overlap(found.drop("rank", "score"), made, asked, docs)
+    return I.rerank(scored, F.col("rerank"), 5, key="id", query="query").select("query", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), F.col("rerank").alias("score"))
 
 
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +163,7 @@ def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rag_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    d = rerank_topk(spark, sf).join(documents(spark, sf).select("doc_id", F.col("text").alias("content")), "doc_id").withColumn("rank", F.struct(-F.col("score"), "doc_id"))
+    d = rerank_topk(spark, sf).where("query = 0").join(documents(spark, sf).select("doc_id", F.col("text").alias("content")), "doc_id")
     return I.rag_prompt(d, "What is it?").select(F.md5("prompt").alias("prompt_md5"))
 
 
@@ -222,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_documents, language_by_extension, framework_of_file, framework_of_project, security_alerts, json_extract_repair, json_strict_parse, code_text, metadata_filter, class_filter, docs_prompt, flatten_methods, schema_check,
-        first_wins_dedup, last_wins_by_key, vector_topk, rerank_topk, embed_documents, rag_prompt, method_docs, index_counts, dependency_context, method_details, flag_merge, api_route_filter, openapi_paths,
+        first_wins_dedup, last_wins_by_key, vector_topk, vector_index, bm25_topk, rerank_topk, embed_documents, rag_prompt, method_docs, index_counts, dependency_context, method_details, flag_merge, api_route_filter, openapi_paths,
         openapi_document, postman_items, postman_document, examples_map, examples_ts, fallback_documentation,
     )
 }
@@ -233,6 +257,13 @@ _PATH = "regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1)"
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 _ENDPOINTS = f"ep AS (SELECT {_PATH} AS path, ['get','POST','put'][page_id % 3 + 1] AS method, 'Page ' || page_id AS description, page_id AS ord FROM pages)"
 _TURNS = "turns AS (SELECT conv_id::VARCHAR AS class_name, turn::INT AS ord, turn::VARCHAR AS method_name, role AS method_type, role = 'user' AS is_api_route, md5(text) AS method_definition FROM conversations)"
+_BAG = r"list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')"
+_BM25 = f"""bags AS (SELECT doc_id, {_BAG} AS w FROM documents), tf AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM bags),
+        tfs AS (SELECT doc_id, n, term, count(*) AS c FROM tf GROUP BY ALL), stat AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM bags),
+        df AS (SELECT term, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tfs, stat GROUP BY term, docs),
+        asked AS (SELECT item_id AS query, unnest(list_distinct({_BAG})) AS term FROM benchmark WHERE item_id % 50 = 0),
+        scores AS (SELECT query, doc_id AS id, round(sum(idf * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM asked JOIN df USING (term) JOIN tfs USING (term), stat GROUP BY query, doc_id),
+        best AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank, id, score FROM scores QUALIFY rank <= 10)"""
 _REPLY = r"""rep AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'Here it is: ' || regexp_replace(props, '\}$', ',}') || ' - done' ELSE 'x ' || props END AS reply FROM events)"""
 
 
@@ -264,8 +295,12 @@ ORACLES = {
     "schema_check": "SELECT DISTINCT conv_id::VARCHAR AS class_name, '/' AS base_path, CASE WHEN conv_id % 5 = 0 THEN 'method name is blank' ELSE '' END AS reason FROM conversations",
     "first_wins_dedup": f"SELECT {_PATH} AS path, min(page_id) AS page_id FROM pages GROUP BY 1",
     "last_wins_by_key": f"SELECT {_PATH} AS path, max(page_id) AS page_id FROM pages GROUP BY 1",
-    "vector_topk": "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10",
-    "rerank_topk": r"WITH q AS (SELECT list_distinct(string_split_regex(lower(text), '\s+')) AS q FROM benchmark WHERE item_id = 0) SELECT doc_id, round(len(list_intersect(list_distinct(string_split_regex(lower(text), '\s+')), q)) / len(q), 6) AS score FROM documents, q ORDER BY score DESC, doc_id LIMIT 5",
+    "vector_topk": """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, q)
+        SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank, id, score FROM s QUALIFY rank <= 10""",
+    "bm25_topk": f"WITH {_BM25} SELECT query, rank, id, score FROM best",
+    "rerank_topk": f"""WITH {_BM25}, total AS (SELECT query, sum(coalesce(idf, 0)) AS a FROM asked LEFT JOIN df USING (term) GROUP BY query),
+        shared AS (SELECT query, doc_id, round(sum(idf) / any_value(a), 6) AS score FROM best JOIN tfs ON tfs.doc_id = best.id JOIN asked USING (query, term) JOIN df USING (term) JOIN total USING (query) GROUP BY query, doc_id)
+        SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM shared QUALIFY rank <= 5""",
     "method_docs": f"""WITH {_TURNS} SELECT 'ast_method' AS type, class_name, method_name, NULL::INT AS dependency_count, md5('Class: ' || class_name || chr(10) || 'Method: ' || method_name || chr(10) || chr(10) || method_definition) AS content_md5 FROM turns
         UNION ALL SELECT 'code_mapper', class_name, method_name, CASE WHEN ord = 0 THEN 0 ELSE 2 END, md5('Class: ' || class_name || chr(10) || 'Method: ' || method_name || chr(10) || 'Dependencies: ' || CASE WHEN ord = 0 THEN 'None' ELSE 'a.b, c.d' END) FROM turns""",
     "index_counts": "SELECT 'document' AS type, count(*) AS n, 0::BIGINT AS n_role FROM documents UNION ALL SELECT 'turn', count(*), count(role) FROM conversations",
@@ -288,7 +323,7 @@ _ITEM = """'{"name":' || to_json(name) || ',"request":{"method":' || to_json(met
 ORACLES |= {
     "class_filter": "SELECT doc_id::VARCHAR AS method_name, md5(text) AS text_md5 FROM documents WHERE source = 'src0'",
     "docs_prompt": f"""WITH {_TURNS} SELECT class_name, ord, md5('Document this endpoint as JSON with the keys postman and swagger.' || chr(10) || 'Class: ' || class_name || chr(10) || 'Method: ' || CASE WHEN ord > 0 THEN method_name ELSE 'unknown' END || chr(10) || 'Verb: ' || method_type || chr(10) || 'Path: / /' || chr(10) || 'Code:' || chr(10) || method_definition || chr(10) || 'Uses:' || chr(10) || 'None.') AS prompt_md5 FROM turns""",
-    "rag_prompt": f"""WITH best AS ({ORACLES["rerank_topk"]}) SELECT md5('Answer from these sources.' || chr(10) || chr(10) || string_agg(text, chr(10) || '---' || chr(10) ORDER BY score DESC, best.doc_id) || chr(10) || chr(10) || 'Question: What is it?') AS prompt_md5 FROM best JOIN documents ON documents.doc_id = best.doc_id""",
+    "rag_prompt": f"""WITH best AS ({ORACLES["rerank_topk"]}) SELECT md5('Answer from these sources.' || chr(10) || chr(10) || string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: What is it?') AS prompt_md5 FROM best JOIN documents ON documents.doc_id = best.doc_id WHERE query = 0""",
     "openapi_document": f"""WITH o AS ({ORACLES["openapi_paths"]}), p AS (SELECT path, min(ord) AS ord, string_agg(to_json(verb) || ':' || {_OPERATION}, ',' ORDER BY ord) AS verbs FROM o GROUP BY path)
         SELECT '{{"openapi":"3.0.0","info":{{"title":"Generated API","version":"1.0.0","description":"Automatically generated documentation.\\n"}},"paths":{{' || coalesce(string_agg(to_json(path) || ':{{' || verbs || '}}', ',' ORDER BY ord), '') || '}}}}' AS json FROM p""",
     "postman_document": f"""WITH i AS ({ORACLES["postman_items"]}) SELECT '{{"info":{{"name":"Generated Collection","schema":"{D.SCHEMA_URL}"}},"item":[' || coalesce(string_agg({_ITEM}, ',' ORDER BY ord), '') || ']}}' AS json FROM i""",
