@@ -35,6 +35,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     with trace.span(a.command):
         if a.command == "ask":
             found = index.read_index(spark, a.output)
+            if found is None:
+                raise SystemExit(f"no index: {a.output}")
             if generate is None:
                 said = "\n---\n".join(r["content"] for r in entries.retrieve(found, a.question).collect())
             else:

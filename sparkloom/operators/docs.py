@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import os
-import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.strict import generate_json, is_documentation
+from ..sources.filesink import write_files
 from .shape import first_wins, last_wins
 
 # Wording of documents and artifacts, here and in fallback(), openapi() and examples_ts().
@@ -85,38 +84,30 @@ def documentation(methods: DataFrame, generate: Callable[[str], str] | None = No
 def save_documentation(docs: DataFrame, folder: str, by: tuple[str, ...] = ("class_name", "method"), order: str | None = None) -> DataFrame:
     """Write postman.json and swagger.json of every method into a folder of its own,
     named by the keys; returns counts. Of rows with the same folder the last by
-    ``order`` is written, or else by the text. Executors write, so the folder must
-    be one they all see."""
-    safe = F.concat_ws("/", *[F.regexp_replace(F.coalesce(F.col(c), F.lit("unknown")), r"[^\w.-]", "_") for c in by])
+    ``order`` is written, or else by the text. Files appear when all are written."""
+    safe = F.concat_ws("/", *[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("unknown")), r"[^\w.-]|^\.+$", "_") for c in by])
     last = docs.groupBy(safe.alias("_folder")).agg(F.max_by("documentation", F.struct(*([order] if order else []), "documentation")).alias("_d"))
+    part = F.explode(F.array(F.lit("postman"), F.lit("swagger"))).alias("_part")
+    value = F.when(F.col("_part") == "postman", F.get_json_object("_d", "$.postman")).otherwise(F.get_json_object("_d", "$.swagger"))
+    files = last.select("_folder", "_d", part).select(F.concat("_folder", F.lit("/"), "_part", F.lit(".json")).alias("name"), F.coalesce(value, F.lit("{}")).alias("text"))
+    write_files(files, folder, indent=2)
+    return docs.agg(F.count(F.lit(1)).alias("methods_processed"), F.count_distinct(safe).alias("output_files"))
 
-    def write(rows: Iterator[Row]) -> None:
-        for r in rows:
-            value, at = json.loads(r["_d"] or "{}"), os.path.join(folder, r["_folder"])
-            os.makedirs(at, exist_ok=True)
-            for part in ("postman", "swagger"):
-                with open(os.path.join(at, f"{part}.json"), "w", encoding="utf-8") as f:
-                    json.dump(value.get(part, {}), f, indent=2)
 
-    last.foreachPartition(write)
-    return docs.agg(F.count(F.lit(1)).alias("methods_processed"), F.count_distinct(safe).alias("output_files"))
+def class_files(methods: DataFrame) -> DataFrame:
+    """name and text: the classes of each source file as JSON, classes and methods in the order of the source."""
+    item = F.struct("ord", F.struct("method_name", "method_type", "is_api_route", "method_path", "method_definition").alias("m"))
+    one = methods.groupBy("path", "class_ord", "class_name", "class_type", "base_path").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["m"]).alias("methods"))
+    entry = F.struct("class_ord", F.struct("class_name", "class_type", "base_path", "methods").alias("c"))
+    files = one.groupBy("path").agg(F.to_json(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["c"]), {"ignoreNullFields": "false"}).alias("text"))
+    return files.select(F.concat(F.regexp_replace(F.regexp_replace("path", "^/+|/+$", ""), r"[^\w.-]", "_"), F.lit(".json")).alias("name"), "text")
 
 
 def save_classes(methods: DataFrame, folder: str) -> None:
     """Write the classes extracted from each source file as <path>.json, an array of
     classes with their methods; separators of the path become underscores, so that
-    equal names in different folders stay apart. Executors write."""
-    own = [c for c in methods.columns if c not in ("path", "class_name", "class_type", "base_path")]
-    one = methods.groupBy("path", "class_name", "class_type", "base_path").agg(F.array_sort(F.collect_list(F.struct("method_name", *[c for c in own if c != "method_name"]))).alias("methods"))
-    files = one.groupBy("path").agg(F.to_json(F.array_sort(F.collect_list(F.struct("class_name", "class_type", "base_path", "methods")))).alias("_json"))
-
-    def write(rows: Iterator[Row]) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(folder, re.sub(r"[^\w.-]", "_", r["path"].strip("/")) + ".json"), "w", encoding="utf-8") as f:
-                json.dump(json.loads(r["_json"]), f, indent=2)
-
-    files.foreachPartition(write)
+    equal names in different folders stay apart. Files appear when all are written."""
+    write_files(class_files(methods), folder, indent=2)
 
 
 # ---- artifacts -------------------------------------------------------------
@@ -177,15 +168,8 @@ def examples_ts(endpoints: DataFrame, order: str = "ord") -> DataFrame:
 def generate_artifacts(endpoints: DataFrame, base: str, title: str = "Generated API", alerts: list[str] = ()) -> dict[str, str]:
     """Write the three artifacts of a project into a folder named by the time; paths by kind."""
     folder = os.path.join(base, time.strftime("%Y%m%d-%H%M%S"))
-    os.makedirs(folder, exist_ok=True)
     made = {"swagger": ("swagger.json", openapi(endpoints, title, list(alerts))), "postman": ("postman_collection.json", postman(endpoints)), "examples": ("examples.ts", examples_ts(endpoints))}
-    out = {}
-    for kind, (name, df) in made.items():
-        text = df.first()[0]
-        if name.endswith(".json"):
-            text = json.dumps(json.loads(text), indent=2)
-        out[kind] = os.path.join(folder, name)
-        with open(out[kind], "w", encoding="utf-8") as f:
-            f.write(text)
-    return out
-
+    named = [df.toDF("text").withColumn("name", F.lit(name)) for name, df in made.values()]
+    write_files(named[0].unionByName(named[1]), folder, indent=2)
+    write_files(named[2], folder)
+    return {kind: os.path.join(folder, name) for kind, (name, _) in made.items()}

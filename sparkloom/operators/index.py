@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,40 +71,68 @@ def embed(df: DataFrame, content: str = "content", out: str = "embedding", model
     return df.withColumn(out, run(F.col(content)))
 
 
-def write_index(docs: DataFrame, path: str, policy: str = "replace") -> DataFrame:
-    """Write documents, one a content, partitioned by type; returns counts by type.
+def write_index(docs: DataFrame, path: str, policy: str = "replace", buckets: int = 16, observe: Observation | None = None) -> DataFrame:
+    """Write documents, one a content, in buckets by a hash of it; returns counts by type.
 
     policy: ``replace`` the whole index, ``skip`` documents it has, ``upsert``
     (new documents take the place of those with the same content) or ``fail`` on
-    such. An index is read and rewritten by snapshot folders: path/v1, path/v2 ...
-    so that a failed write leaves the last one whole.
+    such. Skipping adds files; an upsert rewrites the buckets that it touches and no
+    other, by dynamic partition overwrite, so nothing of older states is kept. The
+    number of buckets is that of the index's first writing until it is replaced.
+    Where there are no documents nothing is written. observe: gets the numbers of
+    the documents written, in all and by kind, from the write itself.
     """
     if policy not in ("replace", "skip", "upsert", "fail"):
         raise ValueError(f"unknown policy: {policy}")
     spark = docs.sparkSession
     d = docs.withColumn("doc_key", F.sha2("content", 256)).dropDuplicates(["doc_key"])
-    last = _snapshots(spark, path)
-    if last and policy != "replace":
-        old = spark.read.parquet(f"{path}/v{last}")
+    old = read_index(spark, path, plain=False)
+    mark = _bucket(old) if old is not None and policy != "replace" else f"in_{buckets}"
+    bucket = F.pmod(F.xxhash64("doc_key"), F.lit(int(mark[3:]))).cast("int")
+    d = d.withColumn(mark, bucket)
+    if observe is not None:
+        kind = lambda k: F.count_if(F.col("type") == k)
+        total = F.count(F.lit(1))
+        d_seen = lambda x: x.observe(observe, kind("ast_method").alias("ast_documents_written"), kind("code_mapper").alias("mapper_documents_written"), total.alias("total_documents"))
+    else:
+        d_seen = lambda x: x
+    write = lambda x, mode: d_seen(x).repartition(mark).sortWithinPartitions("type", "doc_key").write.partitionBy(mark).mode(mode)
+    if docs.isEmpty():
+        if observe is not None:
+            d_seen(d.limit(0)).collect()
+    elif old is None or policy == "replace":
+        write(d, "overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    else:
         keys = lambda x: x.select("doc_key")
-        if policy == "fail" and not d.join(keys(old), "doc_key", "left_semi").isEmpty():
+        touched = [r[0] for r in d.select(mark).distinct().collect()]  # at most the number of buckets
+        there = old.where(F.col(mark).isin(touched))
+        if policy == "fail" and not keys(d).join(keys(there), "doc_key", "left_semi").isEmpty():
             raise ValueError("the index has some of these documents")
-        kept, new = (old.join(keys(d), "doc_key", "left_anti"), d) if policy == "upsert" else (old, d.join(keys(old), "doc_key", "left_anti"))
-        d = kept.unionByName(new, allowMissingColumns=True)
-    d.write.partitionBy("type").parquet(f"{path}/v{last + 1}")
-    return read_index(spark, path).groupBy("type").count()
-
-
-def _snapshots(spark: SparkSession, path: str) -> int:
-    """The number of the last whole snapshot, 0 where there is none."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return max((int(x.getPath().getParent().getName()[1:]) for x in found or []), default=0)
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{_snapshots(spark, path)}")
+        if policy == "upsert":
+            kept = there.join(keys(d), "doc_key", "left_anti")
+            both = d_seen(d).unionByName(kept, allowMissingColumns=True)
+            both.repartition(mark).sortWithinPartitions("type", "doc_key").write.partitionBy(mark).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        else:
+            new = d.join(keys(there), "doc_key", "left_anti") if policy == "skip" else d
+            write(new, "append").parquet(path)
+    got = read_index(spark, path)
+    return spark.createDataFrame([], "type string, count long") if got is None else got.groupBy("type").count()
+
+
+def _bucket(index: DataFrame) -> str:
+    """The column of buckets; its name has their number."""
+    return next(c for c in index.columns if re.fullmatch(r"in_\d+", c))
+
+
+def read_index(spark: SparkSession, path: str, plain: bool = True) -> DataFrame | None:
+    """The documents of an index, None where there is none; plain: without the bucket."""
+    try:
+        d = spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return d.drop(_bucket(d)) if plain else d
 
 
 def by_method(index: DataFrame, name: str, kind: str = "ast_method") -> DataFrame:
