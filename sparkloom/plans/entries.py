@@ -1,18 +1,14 @@
-"""The four end-to-end plans, and jobs that run the first in the background."""
+"""The four end-to-end plans."""
 
 from __future__ import annotations
 
-import threading
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import docs, index, mapping, shape
+from ..operators import docs, index, mapping
 from ..operators.extract import extract, facts
-from ..sources.files import project
 from ..sources.srctree import read_tree
 
 
@@ -48,46 +44,6 @@ def document_methods(methods: DataFrame, mapped: DataFrame, generate: Callable[[
     return docs.documentation(ctx, generate)
 
 
-@dataclass
-class Jobs:
-    """Background runs of the mapping plan.
-
-    Fixed values: the states are processing, completed and failed.
-    """
-
-    spark: SparkSession
-    states: dict[str, dict] = field(default_factory=dict)
-    threads: dict[str, threading.Thread] = field(default_factory=dict)
-
-    def submit(self, source_type: str, path: str, output: str, credentials: str | None = None) -> str:
-        job = str(uuid.uuid4())
-        self.states[job] = {"status": "processing"}
-        self.threads[job] = threading.Thread(target=self._run, args=(job, source_type, path, output, credentials), daemon=True)
-        self.threads[job].start()
-        return job
-
-    def status(self, job: str) -> dict:
-        if job not in self.states:
-            raise KeyError(job)
-        return self.states[job]
-
-    def _run(self, job: str, source_type: str, path: str, output: str, credentials: str | None) -> None:
-        try:
-            with project(source_type, path, credentials) as folder:
-                self.spark.sparkContext.addJobTag(job)
-                mapped = map_project(self.spark, folder).persist()
-                try:
-                    if mapped.isEmpty():
-                        self.states[job] = {"status": "completed", "warning": "nothing was extracted"}
-                        return
-                    mapping.mapped_json(mapping.by_class(mapped)).coalesce(1).write.mode("overwrite").text(output)
-                finally:
-                    mapped.unpersist()
-            self.states[job] = {"status": "completed", "message": "mapping is complete", "results_file": output}
-        except Exception as e:  # noqa: BLE001 - the state carries any failure to the caller
-            self.states[job] = {"status": "failed", "error": f"{type(e).__name__}: {e}"[:500]}
-
-
 def answer(indexed: DataFrame, question: str, generate: Callable[[str], str], k: int = 10, keep: int = 5) -> DataFrame:
     """A question answered from the best documents of an index."""
     found = retrieve(indexed, question, k, keep).withColumn("_rank", -F.col("rerank"))

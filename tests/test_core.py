@@ -199,18 +199,6 @@ def test_traces_never_stop_a_plan():
     assert [(x["name"], x["error"] is None) for x in got] == [("one", True), ("two", False)]
 
 
-def test_jobs(spark, tree, tmp_path):
-    jobs = entries.Jobs(spark)
-    good, bad = jobs.submit("local", str(tree), str(tmp_path / "out")), jobs.submit("local", str(tmp_path / "none"), str(tmp_path / "o2"))
-    for t in jobs.threads.values():
-        t.join(120)
-    assert jobs.status(good)["status"] == "completed" and jobs.status(good)["results_file"] == str(tmp_path / "out")
-    assert "OrderView" in json.loads(spark.read.text(str(tmp_path / "out")).first()[0])
-    assert jobs.status(bad)["status"] == "failed" and "no such folder" in jobs.status(bad)["error"]
-    with pytest.raises(KeyError):
-        jobs.status("x")
-
-
 def test_stream_takes_each_file_once(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
     write = lambda i: spark.createDataFrame([(i, "w " * 700, None, None, 0)], chunks.SCHEMA).write.mode("append").parquet(src)
