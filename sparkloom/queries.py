@@ -11,7 +11,7 @@ from .functions import strict
 from .functions import text as T
 from .operators import docs as D
 from .operators import index as I
-from .operators import lexical, mapping, shape, vectors
+from .operators import lexical, lsa, mapping, shape, vectors
 from .runtime import ship, stored
 
 
@@ -159,7 +159,15 @@ def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return I.embed(documents(spark, sf).select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("dim"), "embedding")
+    """Vectors learned from the documents."""
+    d = documents(spark, sf).select("doc_id", "text")
+    return lsa.learn(d).embed(d).select("doc_id", F.size("embedding").alias("dim"), "embedding")
+
+
+def embedding_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """What each feature of the embedding weighs."""
+    counts = lsa.term_counts(documents(spark, sf), "doc_id", "text", 4096)
+    return lsa.weights(counts, documents(spark, sf).where(F.size(T.words(F.col("text"))) > 0).count()).select("feature", "df", F.round("idf", 6).alias("idf"))
 
 
 def rag_prompt(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,7 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_documents, language_by_extension, framework_of_file, framework_of_project, security_alerts, json_extract_repair, json_strict_parse, code_text, metadata_filter, class_filter, docs_prompt, flatten_methods, schema_check,
-        first_wins_dedup, last_wins_by_key, vector_topk, vector_index, bm25_topk, rerank_topk, embed_documents, rag_prompt, method_docs, index_counts, dependency_context, method_details, flag_merge, api_route_filter, openapi_paths,
+        first_wins_dedup, last_wins_by_key, vector_topk, vector_index, bm25_topk, rerank_topk, embed_documents, embedding_weights, rag_prompt, method_docs, index_counts, dependency_context, method_details, flag_merge, api_route_filter, openapi_paths,
         openapi_document, postman_items, postman_document, examples_map, examples_ts, fallback_documentation,
     )
 }
@@ -297,6 +305,8 @@ ORACLES = {
     "last_wins_by_key": f"SELECT {_PATH} AS path, max(page_id) AS page_id FROM pages GROUP BY 1",
     "vector_topk": """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, q)
         SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank, id, score FROM s QUALIFY rank <= 10""",
+    "embedding_weights": f"""WITH w AS (SELECT doc_id, unnest({_BAG}) AS w FROM documents), f AS (SELECT DISTINCT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 4096)::INT AS feature FROM w), n AS (SELECT count(DISTINCT doc_id) AS n FROM w)
+        SELECT feature, count(*) AS df, round(ln((1 + n) / (1 + count(*))) + 1, 6) AS idf FROM f, n GROUP BY feature, n""",
     "bm25_topk": f"WITH {_BM25} SELECT query, rank, id, score FROM best",
     "rerank_topk": f"""WITH {_BM25}, total AS (SELECT query, sum(coalesce(idf, 0)) AS a FROM asked LEFT JOIN df USING (term) GROUP BY query),
         shared AS (SELECT query, doc_id, round(sum(idf) / any_value(a), 6) AS score FROM best JOIN tfs ON tfs.doc_id = best.id JOIN asked USING (query, term) JOIN df USING (term) JOIN total USING (query) GROUP BY query, doc_id)
