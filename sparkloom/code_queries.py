@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .operators import mapping
 from .operators.extract import extract, facts, register
 
-#: Turns a class.
-TURNS = 50
+#: Turns a class, and conversations whose classes call each other in a ring.
+TURNS, RING = 50, 4
 ASKED, SAID = "asked", "said"
 #: head, the method of a turn that a user asks, that of any other turn, tail.
 SOURCES = {
@@ -66,6 +66,7 @@ def sources(spark: SparkSession, sf: str, *langs: str) -> DataFrame:
     d = spark.read.parquet(f"{sf}/conversations.parquet")
     part = F.floor(F.col("turn") / TURNS)
     name = lambda c: F.concat(F.lit("Talk"), c.cast("string"), F.lit("x"), part.cast("string"))
+    after = F.col("conv_id") - F.col("conv_id") % RING + (F.col("conv_id") + 1) % RING
     said = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
     number = lambda n: (F.col("turn") + n).cast("string")
     values = {"turn": number(0), "after": number(1), "before": number(-1), "text": said}
@@ -74,7 +75,7 @@ def sources(spark: SparkSession, sf: str, *langs: str) -> DataFrame:
         t, (before, behind) = SOURCES[lang], AROUND[lang]
         method = F.when(F.col("role") == "user", filled(t[ASKED], **values)).otherwise(filled(t[SAID], **values))
         row = F.struct("turn", F.concat(F.lit(before), method, F.lit(behind)).alias("code"))
-        g = d.groupBy(F.col("conv_id"), part.alias("part"), name(F.col("conv_id")).alias("class"), name(F.col("conv_id") + 1).alias("next")).agg(F.array_sort(F.collect_list(row)).alias("methods"))
+        g = d.groupBy(F.col("conv_id"), part.alias("part"), name(F.col("conv_id")).alias("class"), name(after).alias("next")).agg(F.array_sort(F.collect_list(row)).alias("methods"))
         block = F.col("conv_id") % 2 == 0
         parts = {"conv": F.col("conv_id").cast("string"), "class": F.col("class"), "next": F.col("next"), "scope": F.when(block, " {").otherwise(";"), "close": F.when(block, "}\n").otherwise("")}
         body = F.array_join(F.transform("methods", lambda x: x["code"]), "")
@@ -129,7 +130,7 @@ QUERIES = {f"extract_{name}": _extracted(lang) for name, lang in (("python", "py
 QUERIES |= {f.__name__: f for f in (lateral_extract, call_edges, call_reach, map_dependencies, mapped_document)}
 
 _TALKS = f"""talks AS (
-    SELECT *, 'Talk' || conv_id || 'x' || turn // {TURNS} AS class_name, 'Talk' || (conv_id + 1) || 'x' || turn // {TURNS} AS next,
+    SELECT *, 'Talk' || conv_id || 'x' || turn // {TURNS} AS class_name, 'Talk' || (conv_id - conv_id % {RING} + (conv_id + 1) % {RING}) || 'x' || turn // {TURNS} AS next,
         turn::VARCHAR AS t, (turn + 1)::VARCHAR AS a, (turn - 1)::VARCHAR AS b, coalesce(to_json(text)::VARCHAR, 'null') AS said, coalesce(role = 'user', false) AS asked
     FROM conversations)"""
 _SQL_VALUES = {"turn": "t", "after": "a", "before": "b", "text": "said"}
@@ -154,7 +155,7 @@ def _extract_sql(lang: str) -> str:
 
 
 _LANGS = ", ".join(f"('{FOLDERS[x]}')" for x in SOURCES)
-#: A turn that was asked calls the next turn of the next conversation (twice in TypeScript), another one the turn before.
+#: A turn that was asked calls the next turn of the next conversation of its ring (twice in TypeScript), another one the turn before.
 _EDGES = f"""{_TALKS}, calls AS (SELECT class_name, 'turn' || t AS method_name, CASE WHEN asked THEN next ELSE class_name END AS to_class, 'turn' || CASE WHEN asked THEN a ELSE b END AS to_method, asked FROM talks),
     known AS (SELECT class_name AS to_class, 'turn' || t AS to_method FROM talks), edges AS (SELECT lang, c.* FROM calls c JOIN known USING (to_class, to_method), (VALUES {_LANGS}) l(lang))"""
 _CALLS = "CASE WHEN asked THEN CASE lang WHEN 'py' THEN 'next.' WHEN 'java' THEN 'next.' WHEN 'ts' THEN 'next.' ELSE '_next.' END ELSE CASE lang WHEN 'py' THEN 'self.' ELSE 'this.' END END || to_method"
@@ -167,7 +168,7 @@ ORACLES = {f"extract_{name}": _extract_sql(lang) for name, lang in (("python", "
 ORACLES |= {
     "lateral_extract": f"WITH {_TALKS} SELECT lang || '/' || class_name || '.' || lang AS path, class_name, count(*) + (lang = 'ts')::INT AS n_methods, count(*) FILTER (asked) AS n_routes FROM talks, (VALUES ('java'), ('ts')) l(lang) GROUP BY lang, class_name",
     "call_edges": f"WITH {_EDGES} SELECT lang, class_name, method_name, to_class, to_method, CASE WHEN asked AND lang = 'ts' THEN 2 ELSE 1 END AS n_calls FROM edges",
-    "call_reach": f"WITH RECURSIVE {_EDGES}, reach AS (SELECT lang, class_name, method_name, to_class, to_method, 1 AS steps FROM edges UNION SELECT r.lang, r.class_name, r.method_name, e.to_class, e.to_method, steps + 1 FROM reach r JOIN edges e ON e.lang = r.lang AND e.class_name = r.to_class AND e.method_name = r.to_method WHERE steps < 60) SELECT lang, class_name, method_name, to_class, to_method, min(steps)::INT AS steps FROM reach GROUP BY ALL",
+    "call_reach": f"WITH RECURSIVE {_EDGES}, reach AS (SELECT lang, class_name, method_name, to_class, to_method, 1 AS steps FROM edges UNION SELECT r.lang, r.class_name, r.method_name, e.to_class, e.to_method, steps + 1 FROM reach r JOIN edges e ON e.lang = r.lang AND e.class_name = r.to_class AND e.method_name = r.to_method WHERE steps < 200) SELECT lang, class_name, method_name, to_class, to_method, min(steps)::INT AS steps FROM reach GROUP BY ALL",
     "map_dependencies": f"{_MAPPED} SELECT path, class_name, method, dependencies, is_api_route FROM mapped",
     "mapped_document": f"""{_MAPPED}, c AS (SELECT class_name, string_agg({_METHOD}, ',' ORDER BY method) AS methods FROM mapped WHERE path LIKE 'ts/%' GROUP BY class_name)
         SELECT '{{' || string_agg(to_json(class_name) || ':{{"methods":[' || methods || ']}}', ',' ORDER BY class_name) || '}}' AS json FROM c""",
