@@ -36,14 +36,30 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.join(media.describe(media.store(docs)), "digest", "left").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
 
 
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and html: the web pages, each with figures of three documents behind it (one that
+    is not there has a reference that nothing answers), a line of text and a picture from elsewhere."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.octet_length(text)
+    blanks = F.repeat(F.lit(" "), F.when(n == 0, media.WIDTH).otherwise(F.pmod(-n, F.lit(media.WIDTH))))
+    ids = documents(spark, sf_dir).select(F.col("doc_id").alias("_id"), F.sha2(F.concat(text, blanks), 256).alias("_digest")).dropDuplicates(["_id"])
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    wanted = pages.select("page_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.col("page_id") * 3 + j)).alias("_j", "_doc"))
+    digest = F.coalesce("_digest", F.sha2(F.concat(F.lit("missing "), F.col("_doc").cast("string")), 256))
+    shown = F.concat(F.lit('<figure><img src="media:'), digest, F.lit('" alt="text"><figcaption>Document '), F.col("_doc").cast("string"), F.lit("</figcaption></figure>"))
+    shown = wanted.join(ids, F.col("_doc") == F.col("_id"), "left").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_j", shown.alias("f")))), lambda x: x["f"]), "").alias("_figures"))
+    tail = F.lit('<p>More <b>below</b></p><img src="https://example.org/a.png" alt="from elsewhere">')
+    return pages.join(shown, "page_id", "left").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.coalesce("_figures", F.lit("")), tail).alias("html"))
+
+
 def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The real web pages as ordered parts, references resolved against the stored texts."""
-    prepare(spark)
-    seq = media.interleave(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    """Web pages with figures as ordered parts, references resolved against the stored texts."""
+    seq = media.interleave(figures(spark, sf_dir))
     parts = media.resolve(seq, media.describe(media.store(documents(spark, sf_dir))), "page_id")
     kind = lambda k: F.size(F.filter("parts", lambda p: p["kind"] == k)).cast("long")
-    said = F.transform("parts", lambda p: F.concat_ws("|", p["pos"], p["kind"], p["text"], p["ref"]))
-    return parts.select("page_id", kind("text").alias("n_text"), kind("media").alias("n_media"), F.sha2(F.array_join(said, "\n"), 256).alias("parts_sha256"))
+    said = F.transform("parts", lambda p: F.concat_ws("|", p["pos"], p["kind"], p["text"], p["ref"], p["payload"]["payload_sha256"], p["payload"]["payload_bytes"]))
+    resolved = F.size(F.filter("parts", lambda p: p["payload"].isNotNull())).cast("long")
+    return parts.select("page_id", kind("text").alias("n_text"), kind("media").alias("n_media"), resolved.alias("n_resolved"), F.sha2(F.array_join(said, "\n"), 256).alias("parts_sha256"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

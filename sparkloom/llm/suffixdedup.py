@@ -7,8 +7,10 @@ the lengths that neighbours have in common, cut likewise. For every suffix the
 previous and the next one in suffix order that an earlier document has are found
 by pointer jumping, together with the least common length on the way; the greater
 of the two is the longest previous factor. Where it reaches ``length``, the window
-goes; the first document keeps it. Suffixes whose neighbours differ from them
-within ``length`` bytes have shorter factors and are left out before. Runs that
+goes; the first document keeps it. Only suffixes that share all ``length`` bytes with
+a neighbour can have a factor that long; the others are left out before, so the
+lengths in common that are used are 0 and ``length``, and the search runs within
+groups of equal windows. Shorter factors are not worked out. Runs that
 are equal within or across blocks are marked by a 64-bit hash before, in
 ``anchors``.
 

@@ -291,17 +291,6 @@ def test_mixing_prefers_heavy_documents(spark, docs):
     assert {r.doc_id for r in got} == {i for _, i in key[: len(got)]}
 
 
-def test_media_pages(spark):
-    from sparkloom.llm import queries as q
-
-    sf = "/root/testdata/sf0.001"
-    got = {r.page_id: tuple(r)[1:] for r in q.media_pages(spark, sf).collect()}
-    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
-        p = media.parse_parts(r.html)
-        said = "\n".join("|".join(str(x[c]) for c in ("pos", "kind", "text", "ref") if x[c] is not None) for x in p)
-        assert got[r.page_id] == (sum(x["kind"] == "text" for x in p), sum(x["kind"] == "media" for x in p), hashlib.sha256(said.encode()).hexdigest())
-
-
 def test_sharding(docs, empty):
     got = sharding.shard(docs, 4, rows_per_range=5).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, *_ in corpus())
