@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import code_queries
-from .functions import strict
+from .functions import strict, variant
 from .functions import text as T
 from .operators import docs as D
 from .operators import index as I
@@ -77,6 +77,19 @@ def json_strict_parse(spark: SparkSession, sf: str) -> DataFrame:
     return _replies(spark, sf).select("event_id", strict.safe_parse(F.col("reply"), F.lit("{}")).alias("json"))
 
 
+def replies_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """The number in each reply, by VARIANT."""
+    d = _replies(spark, sf).select("event_id", variant.reply_variant(F.col("reply")).alias("v"))
+    return d.select("event_id", variant.typed(F.col("v"), "$.k", "long").alias("k"), F.col("v").isNotNull().alias("valid"))
+
+
+def replies_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """The schema that the replies of each kind of event fit."""
+    e = events(spark, sf).select("event_id", "event_type")
+    d = _replies(spark, sf).join(e, "event_id").withColumn("v", variant.reply_variant(F.col("reply")))
+    return variant.merged_schema(d, "v", ["event_type"])
+
+
 def code_text(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.concat(F.lit("\n "), F.replace("text", F.lit(" "), F.lit("\n\n\n\n")), F.lit(" \n"))
     return conversations(spark, sf).select("conv_id", "turn", F.md5(T.trim_code(raw)).alias("trimmed"), F.md5(T.unquote(F.concat(F.lit('"'), "text", F.lit('"')))).alias("unquoted"))
@@ -253,7 +266,7 @@ def fallback_documentation(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_documents, language_by_extension, framework_of_file, framework_of_project, security_alerts, json_extract_repair, json_strict_parse, code_text, metadata_filter, class_filter, docs_prompt, flatten_methods, schema_check,
+        chunk_documents, language_by_extension, framework_of_file, framework_of_project, security_alerts, json_extract_repair, json_strict_parse, replies_typed, replies_schema, code_text, metadata_filter, class_filter, docs_prompt, flatten_methods, schema_check,
         first_wins_dedup, last_wins_by_key, vector_topk, vector_index, bm25_topk, rerank_topk, embed_documents, embedding_weights, rag_prompt, method_docs, index_counts, dependency_context, method_details, flag_merge, api_route_filter, openapi_paths,
         openapi_document, postman_items, postman_document, examples_map, examples_ts, fallback_documentation,
     )
@@ -297,6 +310,8 @@ ORACLES = {
         SELECT path, method, url, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS alert, CASE WHEN starts_with(url, 'http://') THEN '{T.GLOBAL_ALERT}' END AS global_alert FROM a""",
     "json_extract_repair": f"WITH {_REPLY} SELECT event_id, regexp_replace(regexp_extract(reply, '(\\{{[^}}]*\\}})', 1), ',\\s*([}}\\]])', '\\1', 'g') AS json FROM rep",
     "json_strict_parse": """SELECT event_id, '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS json FROM events""",
+    "replies_typed": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, true AS valid FROM events",
+    "replies_schema": "SELECT event_type, count(*) AS replies, count(*) AS valid, 'OBJECT<k: BIGINT>' AS schema FROM events GROUP BY event_type",
     "code_text": r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(replace(text, ' ', chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS trimmed, md5(text) AS unquoted FROM conversations",
     "metadata_filter": "SELECT conv_id AS class_name, md5(text) AS text_md5 FROM conversations WHERE role = 'assistant' AND turn = 1",
     "flatten_methods": f"WITH {_TURNS} SELECT class_name, (row_number() OVER (PARTITION BY class_name ORDER BY ord) - 1)::INT AS ord, method_name, method_type, is_api_route FROM (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY class_name, method_name ORDER BY ord) = 1)",
