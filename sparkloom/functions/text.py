@@ -139,20 +139,28 @@ def join_path(base: Column, path: Column) -> Column:
     return F.when(F.coalesce(path, F.lit("")) == "", base).otherwise(joined)
 
 
-# The marks of a fenced reply.
+# The mark of a fence, and what it may say.
+FENCE, FENCED = "```", "json"
 
 
 def extract_json(x: Column) -> Column:
-    """Text of a reply without fences, cut to its outermost braces where it has both."""
-    y = F.regexp_replace(F.regexp_replace(strip(x), r"^```json\s*", ""), r"^```\s*", "")
-    y = F.regexp_replace(y, r"\s*```$", "")
-    first, last = F.instr(y, "{"), F.length(y) - F.instr(F.reverse(y), "}") + 1
-    return strip(F.when((first > 0) & F.contains(y, F.lit("}")) & (last > first), F.substr(y, first, last - first + 1)).otherwise(y))
+    """From the first opening brace of a reply to its last closing one; without both, the reply less its fences."""
+    object_ = F.regexp_extract(x, r"(?s)\{.*\}", 0)
+    bare = F.regexp_replace(x, rf"(?U)^\s*(?:{FENCE}(?:{FENCED})?\s*)+|\s*{FENCE}\s*$", "")
+    return F.when(object_ != "", object_).otherwise(strip(bare))
 
 
 def repair_json(x: Column) -> Column:
-    """Without commas before closers; missing brackets, then braces, are added by count."""
-    y = F.regexp_replace(x, r",\s*([}\]])", "$1")
-    n = lambda c: F.length(y) - F.length(F.replace(y, F.lit(c), F.lit("")))
-    more = lambda a, b: F.repeat(F.lit(b), F.greatest(n(a) - n(b), F.lit(0)))
-    return F.concat(y, more("[", "]"), more("{", "}"))
+    """Without commas before closers, and with what a cut text lacks: the end of its string, then the
+    closers of all that is open, the inner ones first. One fold over the characters, which knows strings."""
+    text = F.regexp_replace(x, r",\s*([}\]])", "$1")
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
+
+    def step(s: Column, c: Column) -> Column:
+        closer = F.translate(c, "{[", "}]")
+        still = F.when((c == "{") | (c == "["), F.concat(closer, s["open"])).when(c == F.substring(s["open"], 1, 1), F.substring(s["open"], 2, 1 << 30)).otherwise(s["open"])
+        quoted = F.when(s["escaped"], s["quoted"]).otherwise(s["quoted"] != (c == '"'))
+        return F.struct(F.when(s["quoted"] | (c == ""), s["open"]).otherwise(still).alias("open"), quoted.alias("quoted"), (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"))
+
+    missing = F.aggregate(F.split(text, ""), start, step, lambda s: F.concat(F.when(s["quoted"], '"').otherwise(""), s["open"]))
+    return F.concat(text, missing)

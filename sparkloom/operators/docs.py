@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.strict import generate_json, is_documentation
+from ..runtime import stored
 from ..sources.filesink import write_files
 from .shape import first_wins, last_wins
 
@@ -34,7 +35,7 @@ def method_dependencies(mapped: DataFrame, class_name: str, method: str) -> list
     return list(row[0] or []) if row else []
 
 
-def dependency_context(methods: DataFrame, documents: DataFrame, keys: list[str], deps: str = "dependencies") -> DataFrame:
+def dependency_context(methods: DataFrame, documents: DataFrame, deps: str = "dependencies") -> DataFrame:
     """methods with the text of each dependency's method, in order, as context.
 
     All lookups are one join: the first document of each method name, by class
@@ -42,9 +43,9 @@ def dependency_context(methods: DataFrame, documents: DataFrame, keys: list[str]
     """
     docs = documents.where(F.col("type") == "ast_method")
     first = first_wins(docs, ["method_name"], ["class_name", "file_name"]).select(F.col("method_name").alias("_m"), F.col("content").alias("_c"))
-    # a row stands for itself: overloads share the keys
-    m = methods.withColumn("_row", F.xxhash64(*keys, F.to_json(F.struct(*methods.columns))))
-    e = m.select("_row", F.posexplode(deps).alias("_pos", "_dep")).distinct()
+    # a row stands for itself, as overloads share the keys; written once, its number stays the same
+    m = stored(methods.withColumn("_row", F.monotonically_increasing_id()), "methods")
+    e = m.select("_row", F.posexplode(deps).alias("_pos", "_dep"))
     e = e.join(first, T.dependency_tail(F.col("_dep")) == F.col("_m"), "left")
     said = F.when(F.col("_c").isNull(), F.concat(F.lit("**"), "_dep", F.lit("**: No additional context available.\n"))).otherwise(F.concat(F.lit("**"), "_dep", F.lit("**:\n"), "_c", F.lit("\n")))
     got = e.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", said.alias("t")))), lambda x: x["t"]), "\n").alias("context"))

@@ -40,7 +40,7 @@ def retrieve(indexed: DataFrame, question: str, k: int = 10, keep: int = 5) -> D
 def document_methods(methods: DataFrame, mapped: DataFrame, generate: Callable[[str], str] | None = None) -> DataFrame:
     """API methods with details, dependency context and documentation."""
     api = docs.with_details(docs.api_methods(mapped), methods)
-    ctx = docs.dependency_context(api, index.method_documents(methods), ["class_name", "method"])
+    ctx = docs.dependency_context(api, index.method_documents(methods))
     return docs.documentation(ctx, generate)
 
 

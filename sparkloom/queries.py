@@ -206,7 +206,7 @@ def _mapped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dependency_context(spark: SparkSession, sf: str) -> DataFrame:
-    d = D.dependency_context(_mapped(spark, sf), I.method_documents(_turns(spark, sf)), ["class_name", "method"])
+    d = D.dependency_context(_mapped(spark, sf), I.method_documents(_turns(spark, sf)))
     return d.select("class_name", "method", F.md5("context").alias("context_md5"))
 
 

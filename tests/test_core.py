@@ -143,7 +143,7 @@ def test_overloads_keep_their_own_context(spark):
     schema = "class_name string, method string, method_definition string, dependencies array<string>"
     m = spark.createDataFrame([("A", "f", "one", ["x.g"]), ("A", "f", "two", ["x.h"])], schema)
     d = spark.createDataFrame([("ast_method", "X", "g", "a.py", "G!"), ("ast_method", "X", "h", "a.py", "H!")], "type string, class_name string, method_name string, file_name string, content string")
-    got = {r.method_definition: r.context for r in docs.dependency_context(m, d, ["class_name", "method"]).collect()}
+    got = {r.method_definition: r.context for r in docs.dependency_context(m, d).collect()}
     assert "G!" in got["one"] and "H!" not in got["one"] and "H!" in got["two"]
 
 
@@ -226,3 +226,16 @@ def test_text_edges(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(T.join_path(F.lit("/a/"), F.lit("/b"))) == "/a/b" and one(T.join_path(F.lit("/a"), F.lit(None).cast("string"))) == "/a"
     assert one(strict.safe_parse(F.lit("{bad"), F.lit("{}"))) == "{}"
+
+
+def test_replies_are_cut_and_closed(spark):
+    cases = {
+        '```json\n{"a": 1}\n```': '{"a": 1}', "so {x} and {y} end": "{x} and {y}", "```\n[1, 2]\n```": "[1, 2]", "  plain ": "plain", "```json [1": "[1", "} {": "} {", "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.x for r in df.select("t", T.extract_json(F.col("t")).alias("x")).collect()} == cases
+    cases = {
+        '{"a": [1, {"b": 2': '{"a": [1, {"b": 2}]}', '{"a": [1, 2,], }': '{"a": [1, 2]}', '{"a": "{[': '{"a": "{["}', '{"a": "\\"}': '{"a": "\\"}"}', "[]": "[]", "x": "x", '{"a": "]"': '{"a": "]"}', "]": "]", "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.x for r in df.select("t", T.repair_json(F.col("t")).alias("x")).collect()} == cases
