@@ -65,6 +65,7 @@ BITMAP = 8
 NO_SET = np.uint32(2**32 - 1)
 LATE, OWN = 1, 2
 #: A set's id is its piece and its number in it; a piece is a task of the first pass and a number in it.
+#: So there may be 2**20 tasks of 2**18 pieces with 2**25 different lines each; more is an error.
 SET_BITS, SEQ_BITS = 25, 18
 
 
@@ -280,7 +281,10 @@ def dedup(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
         return out
 
     def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, total, number = [], [], 0, TaskContext.get().partitionId() << SEQ_BITS
+        task = TaskContext.get().partitionId()
+        if task >= 1 << (63 - SET_BITS - SEQ_BITS):
+            raise ValueError("over a million input partitions; read larger ones")
+        held, ids, total, number = [], [], 0, task << SEQ_BITS
         for b in batches:
             ids.append(b.column(0))
             held.append(b.column(1))

@@ -292,7 +292,7 @@ def join(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
     null = F.lit(None).cast("long")
     side = reps.unionByName(ranks.select(null.alias("doc_id"), null.alias("k1"), null.alias("k2"), "keys", "ranks", "block"))
     found = table(blocks.cogroup(side.groupBy("block")).applyInArrow(to_candidates, CANDIDATES_SQL), "candidates")
-    links = candidate_links(found, percent)
+    links = candidate_links(found, percent, most=most)
     labels = components(links)
     ids = classes.join(labels, F.col("rep") == F.col("node"), "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     d = signs.join(ids, ["n", "k1", "k2"], "left")
@@ -300,7 +300,7 @@ def join(docs: DataFrame, *, percent: int = 75, size: int = 5, block_bytes: int
     return tk.with_null_ids(d, "doc_id", "component_id")
 
 
-def candidate_links(found: DataFrame, percent: int, rounds: int = 4) -> DataFrame:
+def candidate_links(found: DataFrame, percent: int, rounds: int = 4, most: int = 3) -> DataFrame:
     """Verified links (x, y) that have the components of all links.
 
     In each of the first rounds a document is compared with two others at most.
@@ -315,7 +315,7 @@ def candidate_links(found: DataFrame, percent: int, rounds: int = 4) -> DataFram
     shingles among those that others have; the first shared one brings the pair.
     """
     sets = found.select("doc", "members")
-    upto = [F.size(F.filter("levels", lambda x, i=i: x <= i)) for i in (1, 2, 3)]
+    upto = [F.size(F.filter("levels", lambda x, i=i: x <= i)) for i in range(1, most + 1)]
     prefix = found.select("doc", "tokens", F.array(*upto).alias("upto"))
     t = F.explode(F.arrays_zip("tokens", "levels", "places")).alias("_t")
     e = found.select("doc", "n", "shared", "ell", t).select("doc", "n", "shared", "ell", F.col("_t.tokens").alias("token"), F.col("_t.levels").alias("level"), F.col("_t.places").alias("place"))

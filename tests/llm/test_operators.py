@@ -135,6 +135,7 @@ def test_ngram_join(docs, empty):
     group = groups(sets)
     want = Counter((d, len(sets[d]), group[d]) for d, *_ in corpus())
     assert Counter(tuple(r) for r in ngramjoin.join(docs, block_bytes=4096).collect()) == want
+    assert Counter(tuple(r) for r in ngramjoin.join(docs, block_bytes=1 << 20, most=5).collect()) == want
     assert ngramjoin.join(empty).count() == 0
     assert ngramjoin.join(with_null_id(docs)).where("doc_id is null").count() == 1
 
