@@ -25,10 +25,16 @@ from ..runtime import stored
 
 @dataclass
 class TextIndex:
-    """terms: block, term, idf, best and postings (id, weight)."""
+    """terms: block, term, best (without the idf) and postings (id, tf, len); idf: term and idf."""
 
     terms: DataFrame
     idf: DataFrame
+    mean: float
+    k1: float
+    b: float
+
+    def weight(self, tf: Column, length: Column) -> Column:
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.mean))
 
 
 def bag(text: Column) -> Column:
@@ -36,20 +42,19 @@ def bag(text: Column) -> Column:
 
 
 def build_text_index(docs: DataFrame, key: str = "doc_id", content: str = "text", k1: float = 1.2, b: float = 0.75, block_docs: int = 256) -> TextIndex:
-    """docs with different, non-null keys."""
+    """docs with different, non-null keys. Texts are shuffled once, by block; all else is done within a block."""
     d = docs.select(F.col(key).alias("id"), bag(F.col(content)).alias("_w")).where(F.col("id").isNotNull())
-    d = d.withColumn("len", F.size("_w"))
-    n, mean = d.agg(F.count(F.lit(1)), F.avg("len")).first()
+    n, mean = d.agg(F.count(F.lit(1)), F.avg(F.size("_w"))).first()
     blocks = max(1, -(-n // block_docs))
-    tf = d.select("id", "len", F.explode("_w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / float(mean or 1)))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    rows = tf.select(block.alias("block"), "term", F.struct("id", weight.alias("weight")).alias("_p"), weight.alias("_w"))
-    rows = rows.groupBy("block", "term").agg(F.collect_list("_p").alias("postings"), F.max("_w").alias("best"))
-    rows = stored(rows, "postings")
-    df = rows.groupBy("term").agg(F.sum(F.size("postings")).alias("_df"))
-    idf = stored(df.select("term", F.log(1 + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("idf")), "idf")
-    return TextIndex(rows, idf)
+    own = docs.select(F.col(key).alias("id"), content, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")).where(F.col("id").isNotNull())
+    own = own.repartition("block").select("block", "id", bag(F.col(content)).alias("_w"))
+    made = TextIndex(own, own, float(mean or 1), k1, b)
+    tf = own.select("block", "id", F.size("_w").alias("len"), F.explode("_w").alias("term")).groupBy("block", "term", "id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    rows = tf.groupBy("block", "term").agg(F.collect_list(F.struct("id", "tf", "len")).alias("postings"), F.max(made.weight(F.col("tf"), F.col("len"))).alias("best"))
+    made.terms = stored(rows, "postings")
+    df = made.terms.groupBy("term").agg(F.sum(F.size("postings")).alias("_df"))
+    made.idf = stored(df.select("term", F.log(1 + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("idf")), "idf")
+    return made
 
 
 def search_text(index: TextIndex, queries: DataFrame, k: int = 10, key: str = "item_id", content: str = "text", seeds: int = 2) -> DataFrame:
@@ -62,7 +67,7 @@ def search_text(index: TextIndex, queries: DataFrame, k: int = 10, key: str = "i
     def scored(blocks: DataFrame) -> DataFrame:
         p = asked.join(blocks.select("query", "block"), "query").join(index.terms.select("block", "term", "postings"), ["block", "term"])
         p = p.select("query", "idf", F.explode("postings").alias("_p"))
-        return p.groupBy("query", F.col("_p.id").alias("id")).agg(F.round(F.sum(F.col("idf") * F.col("_p.weight")), 6).alias("score"))
+        return p.groupBy("query", F.col("_p.id").alias("id")).agg(F.round(F.sum(F.col("idf") * index.weight(F.col("_p.tf"), F.col("_p.len"))), 6).alias("score"))
 
     ranked = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     first = stored(ranked(scored(bound.where(F.col("_n") <= seeds))), "first")

@@ -31,10 +31,10 @@ def feature(word: Column, features: int) -> Column:
 
 
 def term_counts(docs: DataFrame, key: str, content: str, features: int) -> DataFrame:
-    """key and terms: an array of (feature, count) of each row with words."""
-    d = docs.select(F.col(key), F.explode(T.words(F.lower(F.col(content)))).alias("_w"))
-    d = d.groupBy(key, "_w").agg(F.count(F.lit(1)).alias("_n")).groupBy(key, feature(F.col("_w"), features).alias("feature")).agg(F.sum("_n").alias("count"))
-    return d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("feature", F.col("count").cast("int")))).alias("terms"))
+    """key and terms: an array of (feature, count) of each row with words. Texts are shuffled once, by key."""
+    d = docs.select(key, content).repartition(key).select(key, F.explode(T.words(F.lower(F.col(content)))).alias("_w"))
+    d = d.groupBy(key, feature(F.col("_w"), features).alias("feature")).agg(F.count(F.lit(1)).cast("int").alias("count"))
+    return d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("feature", "count"))).alias("terms"))
 
 
 def weights(counts: DataFrame, rows: int) -> DataFrame:
