@@ -180,6 +180,14 @@ def rag_prompt(found: DataFrame, question: str, rank: str = "rank", content: str
     return found.agg(F.concat(F.lit("Answer from these sources.\n\n"), body, F.lit(f"\n\nQuestion: {question}")).alias("prompt"))
 
 
+def rag_prompts(found: DataFrame, questions: DataFrame, key: str = "query", question: str = "question", content: str = "content") -> DataFrame:
+    """A row a question: key, question and prompt, the texts found for it in order of rank. A
+    question that found nothing has none in its prompt; found has at most k rows a question."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), F.col(content).alias("c")))), lambda x: x["c"]), "\n---\n")
+    d = questions.select(key, question).join(found.groupBy(key).agg(body.alias("_body")), key, "left")
+    return d.select(key, question, F.concat(F.lit("Answer from these sources.\n\n"), F.coalesce("_body", F.lit("")), F.lit("\n\nQuestion: "), F.coalesce(question, F.lit(""))).alias("prompt"))
+
+
 def answer(found: DataFrame, question: str, generate: Callable[[str], str], **columns: str) -> DataFrame:
     """One row: the prompt and what the model answers to it; null where it fails."""
     return generate_text(rag_prompt(found, question, **columns), "prompt", "answer", generate)

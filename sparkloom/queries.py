@@ -184,8 +184,10 @@ def embedding_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rag_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    d = rerank_topk(spark, sf).where("query = 0").join(documents(spark, sf).select("doc_id", F.col("text").alias("content")), "doc_id")
-    return I.rag_prompt(d, "What is it?").select(F.md5("prompt").alias("prompt_md5"))
+    """The prompt of every benchmark text, with the documents found for it."""
+    found = rerank_topk(spark, sf).join(documents(spark, sf).select("doc_id", F.col("text").alias("content")), "doc_id")
+    asked = _asked(spark, sf).select(F.col("item_id").alias("query"), F.col("text").alias("question"))
+    return I.rag_prompts(found, asked).select("query", F.md5("prompt").alias("prompt_md5"))
 
 
 def method_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,7 +350,8 @@ _ITEM = """'{"name":' || to_json(name) || ',"request":{"method":' || to_json(met
 ORACLES |= {
     "class_filter": "SELECT doc_id::VARCHAR AS method_name, md5(text) AS text_md5 FROM documents WHERE source = 'src0'",
     "docs_prompt": f"""WITH {_TURNS} SELECT class_name, ord, md5('Document this endpoint as JSON with the keys postman and swagger.' || chr(10) || 'Class: ' || class_name || chr(10) || 'Method: ' || CASE WHEN ord > 0 THEN method_name ELSE 'unknown' END || chr(10) || 'Verb: ' || method_type || chr(10) || 'Path: / /' || chr(10) || 'Code:' || chr(10) || method_definition || chr(10) || 'Uses:' || chr(10) || 'None.') AS prompt_md5 FROM turns""",
-    "rag_prompt": f"""WITH best AS ({ORACLES["rerank_topk"]}) SELECT md5('Answer from these sources.' || chr(10) || chr(10) || string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: What is it?') AS prompt_md5 FROM best JOIN documents ON documents.doc_id = best.doc_id WHERE query = 0""",
+    "rag_prompt": f"""WITH best AS ({ORACLES["rerank_topk"]}), body AS (SELECT query, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) AS body FROM best JOIN documents ON documents.doc_id = best.doc_id GROUP BY query)
+        SELECT item_id AS query, md5('Answer from these sources.' || chr(10) || chr(10) || coalesce(body, '') || chr(10) || chr(10) || 'Question: ' || coalesce(text, '')) AS prompt_md5 FROM benchmark LEFT JOIN body ON query = item_id WHERE item_id % 50 = 0""",
     "openapi_document": f"""WITH o AS ({ORACLES["openapi_paths"]}), p AS (SELECT path, min(ord) AS ord, string_agg(to_json(verb) || ':' || {_OPERATION}, ',' ORDER BY ord) AS verbs FROM o GROUP BY path)
         SELECT '{{"openapi":"3.0.0","info":{{"title":"Generated API","version":"1.0.0","description":"Automatically generated documentation.\\n"}},"paths":{{' || coalesce(string_agg(to_json(path) || ':{{' || verbs || '}}', ',' ORDER BY ord), '') || '}}}}' AS json FROM p""",
     "postman_document": f"""WITH i AS ({ORACLES["postman_items"]}) SELECT '{{"info":{{"name":"Generated Collection","schema":"{D.SCHEMA_URL}"}},"item":[' || coalesce(string_agg({_ITEM}, ',' ORDER BY ord), '') || ']}}' AS json FROM i""",

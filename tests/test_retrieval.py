@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import lexical, vectors
+from sparkloom.operators import index, lexical, vectors
+from sparkloom.plans import entries
 
 SF = "/root/testdata/sf0.01"
 
@@ -102,3 +103,21 @@ def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert lexical.search_text(lexical.build_text_index(docs), q).count() == 0
+
+
+def test_many_questions_at_once(spark):
+    rows = [(f"class Shop{i} sells item{i} and paint", "ast_method") for i in range(30)] + [("paint paint paint", "code_mapper")]
+    docs = index.embed(spark.createDataFrame(rows, "content string, type string")).withColumn("doc_key", F.sha2("content", 256))
+    asked = spark.createDataFrame([(1, "what sells item7"), (2, "paint"), (3, None)], "query long, question string")
+    got = entries.retrieve_many(docs, asked, k=4, keep=2)
+    best = {(r.query, r["rank"]): r.content for r in got.collect()}
+    assert best[1, 1] == "class Shop7 sells item7 and paint" and best[2, 1] in [r[0] for r in rows] and {q for q, _ in best} == {1, 2, 3} and max(n for _, n in best) == 2
+
+    def model(prompt: str) -> str:
+        if prompt.endswith("Question: "):
+            raise RuntimeError("no question")
+        return prompt.upper()
+
+    said = {r["query"]: r for r in entries.answer_many(docs, asked, model, k=4, keep=2).collect()}
+    assert said[1].prompt.startswith("Answer from these sources.\n\nclass Shop7 sells") and said[1].prompt.endswith("Question: what sells item7")
+    assert said[1].answer == said[1].prompt.upper() and said[3].answer is None
