@@ -90,18 +90,10 @@ def write_index(docs: DataFrame, path: str, policy: str = "replace", buckets: in
     mark = _bucket(old) if old is not None and policy != "replace" else f"in_{buckets}"
     bucket = F.pmod(F.xxhash64("doc_key"), F.lit(int(mark[3:]))).cast("int")
     d = d.withColumn(mark, bucket)
-    if observe is not None:
-        kind = lambda k: F.count_if(F.col("type") == k)
-        total = F.count(F.lit(1))
-        d_seen = lambda x: x.observe(observe, kind("ast_method").alias("ast_documents_written"), kind("code_mapper").alias("mapper_documents_written"), total.alias("total_documents"))
-    else:
-        d_seen = lambda x: x
-    write = lambda x, mode: d_seen(x).repartition(mark).sortWithinPartitions("type", "doc_key").write.partitionBy(mark).mode(mode)
     if docs.isEmpty():
-        if observe is not None:
-            d_seen(d.limit(0)).collect()
+        _observed(d.limit(0), observe).collect()
     elif old is None or policy == "replace":
-        write(d, "overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        _buckets(_observed(d, observe), mark, path, "overwrite", "static")
     else:
         keys = lambda x: x.select("doc_key")
         touched = [r[0] for r in d.select(mark).distinct().collect()]  # at most the number of buckets
@@ -110,15 +102,28 @@ def write_index(docs: DataFrame, path: str, policy: str = "replace", buckets: in
             raise ValueError("the index has some of these documents")
         if policy == "upsert":
             kept = there.join(keys(d), "doc_key", "left_anti")
-            both = d_seen(d).unionByName(kept, allowMissingColumns=True)
-            both.repartition(mark).sortWithinPartitions("type", "doc_key").write.partitionBy(mark).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+            _buckets(_observed(d, observe).unionByName(kept, allowMissingColumns=True), mark, path, "overwrite", "dynamic")
         else:
             new = d.join(keys(there), "doc_key", "left_anti") if policy == "skip" else d
-            write(new, "append").parquet(path)
+            _buckets(_observed(new, observe), mark, path, "append", "static")
     got = read_index(spark, path)
     return spark.createDataFrame([], "type string, count long") if got is None else got.groupBy("type").count()
 
 
+def _observed(docs: DataFrame, observe: Observation | None) -> DataFrame:
+    """docs, whose numbers go to observe when they are written."""
+    if observe is None:
+        return docs
+    kind = lambda k: F.count_if(F.col("type") == k)
+    return docs.observe(observe, kind("ast_method").alias("ast_documents_written"), kind("code_mapper").alias("mapper_documents_written"), F.count(F.lit(1)).alias("total_documents"))
+
+
+def _buckets(docs: DataFrame, mark: str, path: str, mode: str, overwrite: str) -> None:
+    """A file a bucket, in order of kind, so that a filter on it skips row groups."""
+    w = docs.repartition(mark).sortWithinPartitions("type", "doc_key").write.partitionBy(mark)
+    w.mode(mode).option("partitionOverwriteMode", overwrite).parquet(path)
+
+
 def _bucket(index: DataFrame) -> str:
     """The column of buckets; its name has their number."""
     return next(c for c in index.columns if re.fullmatch(r"in_\d+", c))
