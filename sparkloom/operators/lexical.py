@@ -1,4 +1,4 @@
-"""BM25 over an inverted index in blocks of documents, all by DataFrame operations.
+"""BM25 over an inverted index in blocks of documents; searches are DataFrame operations.
 
 A row of the index is a term in a block of documents: its postings, and the most
 that they can give (the block maximum). A search first adds up these maxima, which
@@ -13,21 +13,30 @@ lower-cased and split at white space; a null text has none. Scores are rounded t
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import stored
+from ..runtime import ship, stored
+
+#: What is not white space, as the words of functions/text.py.
+SPLIT = re.compile("[^\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+TERMS = "block int, term string, postings array<struct<id: long, tf: int, len: int>>"
 
 
 @dataclass
 class TextIndex:
-    """terms: block, term, best (without the idf) and postings (id, tf, len); idf: term and idf."""
+    """terms: block, term and postings (id, tf, len); bounds: block, term, best (without the idf); idf: term and idf."""
 
     terms: DataFrame
+    bounds: DataFrame
     idf: DataFrame
     mean: float
     k1: float
@@ -42,26 +51,48 @@ def bag(text: Column) -> Column:
 
 
 def build_text_index(docs: DataFrame, key: str = "doc_id", content: str = "text", k1: float = 1.2, b: float = 0.75, block_docs: int = 256) -> TextIndex:
-    """docs with different, non-null keys. Texts are shuffled once, by block; all else is done within a block."""
-    d = docs.select(F.col(key).alias("id"), bag(F.col(content)).alias("_w")).where(F.col("id").isNotNull())
-    n, mean = d.agg(F.count(F.lit(1)), F.avg(F.size("_w"))).first()
+    """docs with different, non-null whole numbers as keys. Texts are shuffled once, by block; a
+    task counts the words of one block at a time."""
+    spark = docs.sparkSession
+    ship(spark)
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(content, F.lit("")).alias("text"))
+    n = own.count()
     blocks = max(1, -(-n // block_docs))
-    own = docs.select(F.col(key).alias("id"), content, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")).where(F.col("id").isNotNull())
-    own = own.repartition("block").select("block", "id", bag(F.col(content)).alias("_w"))
-    made = TextIndex(own, own, float(mean or 1), k1, b)
-    tf = own.select("block", "id", F.size("_w").alias("len"), F.explode("_w").alias("term")).groupBy("block", "term", "id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    rows = tf.groupBy("block", "term").agg(F.collect_list(F.struct("id", "tf", "len")).alias("postings"), F.max(made.weight(F.col("tf"), F.col("len"))).alias("best"))
-    made.terms = stored(rows, "postings")
-    df = made.terms.groupBy("term").agg(F.sum(F.size("postings")).alias("_df"))
+    terms = own.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).applyInArrow(_postings, TERMS)
+    terms = stored(terms, "postings")
+    mean = (terms.agg(F.sum(F.aggregate("postings", F.lit(0).cast("long"), lambda s, p: s + p["tf"]))).first()[0] or 0) / max(n, 1)
+    made = TextIndex(terms, terms, terms, mean or 1.0, k1, b)
+    best = F.array_max(F.transform("postings", lambda p: made.weight(p["tf"], p["len"])))
+    made.bounds = stored(terms.select("block", "term", F.size("postings").alias("df"), best.alias("best")), "bounds")
+    df = made.bounds.groupBy("term").agg(F.sum("df").alias("_df"))
     made.idf = stored(df.select("term", F.log(1 + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("idf")), "idf")
     return made
 
 
+def _postings(key: tuple, t: pa.Table) -> pa.Table:
+    words, ids, tfs, lens = [], [], [], []
+    for doc, text in zip(t["id"].to_pylist(), t["text"].to_pylist(), strict=True):
+        found = SPLIT.findall(text.lower())
+        count = Counter(found)
+        words += count
+        ids += [doc] * len(count)
+        tfs += count.values()
+        lens += [len(found)] * len(count)
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary))) if len(code) else np.zeros(0, np.int64)
+    column = lambda x, kind: pa.array(np.array(x, np.int64)[order] if x else [], kind)
+    posting = pa.StructArray.from_arrays([column(ids, pa.int64()), column(tfs, pa.int32()), column(lens, pa.int32())], ["id", "tf", "len"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), posting)
+    return pa.table({"block": pa.array([key[0].as_py()] * len(ends), pa.int32()), "term": coded.dictionary, "postings": lists})
+
+
 def search_text(index: TextIndex, queries: DataFrame, k: int = 10, key: str = "item_id", content: str = "text", seeds: int = 2) -> DataFrame:
     """query, rank, id, score of the k best documents of each query."""
     asked = queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(bag(F.col(content)))).alias("term"))
     asked = stored(asked.join(index.idf, "term"), "asked")
-    bound = asked.join(index.terms.select("block", "term", "best"), "term").groupBy("query", "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
+    bound = asked.join(index.bounds.select("block", "term", "best"), "term").groupBy("query", "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
     bound = stored(bound.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("bound"), "block"))), "bounds")
 
     def scored(blocks: DataFrame) -> DataFrame:
