@@ -28,6 +28,8 @@ from ..runtime import ship, stored
 
 #: What is not white space, as the words of functions/text.py.
 SPLIT = re.compile("[^\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Different words of all queries that may be sent to all executors.
+MOST_WORDS = 100_000
 TERMS = "block int, term string, postings array<struct<id: long, tf: int, len: int>>"
 
 
@@ -92,11 +94,15 @@ def search_text(index: TextIndex, queries: DataFrame, k: int = 10, key: str = "i
     """query, rank, id, score of the k best documents of each query."""
     asked = queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(bag(F.col(content)))).alias("term"))
     asked = stored(asked.join(index.idf, "term"), "asked")
-    bound = asked.join(index.bounds.select("block", "term", "best"), "term").groupBy("query", "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
+    wanted = asked.select("term").distinct()
+    few = wanted.count() <= MOST_WORDS
+    # few words filter the scan of the index where it is read; many are joined by a shuffle alone
+    only = lambda d: d.join(F.broadcast(wanted), "term", "left_semi") if few else d
+    bound = asked.join(only(index.bounds.select("block", "term", "best")), "term").groupBy("query", "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
     bound = stored(bound.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("bound"), "block"))), "bounds")
 
     def scored(blocks: DataFrame) -> DataFrame:
-        p = asked.join(blocks.select("query", "block"), "query").join(index.terms.select("block", "term", "postings"), ["block", "term"])
+        p = asked.join(blocks.select("query", "block"), "query").join(only(index.terms.select("block", "term", "postings")), ["block", "term"])
         p = p.select("query", "idf", F.explode("postings").alias("_p"))
         return p.groupBy("query", F.col("_p.id").alias("id")).agg(F.round(F.sum(F.col("idf") * index.weight(F.col("_p.tf"), F.col("_p.len"))), 6).alias("score"))
 

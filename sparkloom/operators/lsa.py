@@ -13,28 +13,54 @@ near, if their words stand with the same others.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..runtime import ship, stored
+from .lexical import SPLIT
 
 
-def feature(word: Column, features: int) -> Column:
+def feature(word: str, features: int) -> int:
     """The feature of a word, by the first bits of its MD5, so that other engines find the same."""
-    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % features).cast("int")
+    return int(hashlib.md5(word.encode(errors="replace")).hexdigest()[:8], 16) % features
 
 
-def term_counts(docs: DataFrame, key: str, content: str, features: int) -> DataFrame:
-    """key and terms: an array of (feature, count) of each row with words. Texts are shuffled once, by key."""
-    d = docs.select(key, content).repartition(key).select(key, F.explode(T.words(F.lower(F.col(content)))).alias("_w"))
-    d = d.groupBy(key, feature(F.col("_w"), features).alias("feature")).agg(F.count(F.lit(1)).cast("int").alias("count"))
-    return d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("feature", "count"))).alias("terms"))
+def term_counts(docs: DataFrame, key: str, content: str, features: int, most_words: int = 300_000) -> DataFrame:
+    """key and terms: an array of (feature, count) of each row with words. Nothing is shuffled; a
+    worker keeps the features of at most about most_words words."""
+    ship(docs.sparkSession)
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    struct = pa.struct([("feature", pa.int32()), ("count", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            if len(known) > most_words:
+                known = {}
+            rows, lists = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                count: dict[int, int] = {}
+                for w, n in Counter(SPLIT.findall(text.lower())).items() if text else ():
+                    f = known.get(w)
+                    if f is None:
+                        f = known[w] = feature(w, features)
+                    count[f] = count.get(f, 0) + n
+                if count:
+                    rows.append(i)
+                    lists.append(sorted(count.items()))
+            ends = np.cumsum([0, *map(len, lists)])
+            flat = np.array([x for t in lists for x in t], np.int32).reshape(-1, 2)
+            posts = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(struct))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), posts)], [key, "terms"])
+
+    return docs.select(key, content).mapInArrow(run, f"`{key}` {kind}, terms array<struct<feature: int, count: int>>")
 
 
 def weights(counts: DataFrame, rows: int) -> DataFrame:
@@ -56,7 +82,7 @@ def sparse(terms: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def times(row: np.ndarray, f: np.ndarray, v: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
     """The batch's matrix times the features x directions matrix ``right``, some entries at a time."""
-    out = np.zeros((rows, right.shape[1]))
+    out, right, v = np.zeros((rows, right.shape[1]), np.float32), right.astype(np.float32), v.astype(np.float32)
     for i in range(0, len(v), 200_000):
         s = slice(i, i + 200_000)
         part = v[s, None] * right[f[s]]
