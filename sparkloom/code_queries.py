@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import mapping
 from .operators.extract import extract, facts, register
+from .runtime import stored
 
 #: Turns a class, and conversations whose classes call each other in a ring.
 TURNS, RING = 50, 4
@@ -102,7 +103,7 @@ def lateral_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf)
+    files = stored(sources(spark, sf), "sources")
     lang = F.substring_index("path", "/", 1).alias("lang")
     return mapping.call_graph(facts(files).select("*", lang), extract(files).select("*", lang), ["lang"])
 
@@ -116,13 +117,13 @@ def call_reach(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def map_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf)
+    files = stored(sources(spark, sf), "sources")
     d = mapping.dependencies(extract(files), facts=facts(files))
     return d.select("path", "class_name", "method", F.array_join("dependencies", ",").alias("dependencies"), "is_api_route")
 
 
 def mapped_document(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf)
+    files = stored(sources(spark, sf), "sources")
     return mapping.mapped_json(mapping.by_class(mapping.dependencies(extract(files), facts=facts(files))))
 
 

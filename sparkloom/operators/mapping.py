@@ -26,8 +26,11 @@ def call_graph(facts: DataFrame, methods: DataFrame, project: list[str] | None =
     """
     keys = project or []
     at = [*keys, "path", "class_name"]
+    # both are read several times below: sources are parsed once for each
+    facts = stored(facts.select(*at, "method_name", "kind", "name", "value", "pos"), "facts")
+    methods = stored(methods.select(*at, "method_name").distinct(), "methods")
     calls = facts.where("kind = 'call'").select(*at, "method_name", F.col("name").alias("receiver"), F.col("value").alias("name"), "pos")
-    calls = calls.join(methods.select(*at, "method_name").distinct(), [*at, "method_name"], "left_semi")
+    calls = calls.join(methods, [*at, "method_name"], "left_semi")
     types = facts.where("kind = 'type'")
     inner = types.where("method_name IS NOT NULL").groupBy(*at, "method_name", F.col("name").alias("receiver")).agg(F.min("value").alias("_inner"))
     outer = types.where("method_name IS NULL").groupBy(*at, F.col("name").alias("receiver")).agg(F.min("value").alias("_outer"))
@@ -39,7 +42,7 @@ def call_graph(facts: DataFrame, methods: DataFrame, project: list[str] | None =
     up = facts.where("kind = 'parent'").select(*keys, F.col("class_name").alias("_child"), F.col("name").alias("_c")).distinct()
     for _ in range(inherited):
         more = has.join(up, [*keys, "_c"]).select(*keys, F.col("_child").alias("_c"), "name", "to_class")
-        has = has.union(more.join(has, [*keys, "_c", "name"], "left_anti").groupBy(*keys, "_c", "name").agg(F.min("to_class").alias("to_class")))
+        has = stored(has.union(more.join(has, [*keys, "_c", "name"], "left_anti").groupBy(*keys, "_c", "name").agg(F.min("to_class").alias("to_class"))), "has")
     plain = lambda c: F.lower(F.translate(c, "_", ""))
     typed = d.where("_typed IS NOT NULL").withColumnRenamed("_typed", "_c").join(has, [*keys, "_c", "name"])
     loose = has.groupBy(*keys, plain(F.col("_c")).alias("_p"), "name").agg(F.min("to_class").alias("to_class"))
