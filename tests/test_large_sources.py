@@ -1,9 +1,11 @@
 import pyarrow as pa
 import pytest
 
+from sparkloom import code_queries
 from sparkloom.operators import extract
 from sparkloom.operators.extract import LANGUAGES
 
+SF = "/root/testdata/sf0.001"
 JAVA = "@Service\npublic class A extends B {\n  private C c;\n  public int go(String s) { return c.run(s); }\n}\n"
 PY = "class A(B):\n    def go(self):\n        return self.run()\n"
 
@@ -39,3 +41,8 @@ def test_outline_parses_a_source_once(monkeypatch, lang, source):
 def test_outline_of_faulty_sources_is_empty():
     assert all(extract.outline_source(s, lang) == [] for s in (None, "") for lang in LANGUAGES)
     assert extract.outline_source("def (", "python") == []
+
+
+def test_sources_shuffle_the_turns_once(spark):
+    plan = code_queries.sources(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
