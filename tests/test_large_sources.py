@@ -2,7 +2,7 @@ import pyarrow as pa
 import pytest
 
 from sparkloom import code_queries
-from sparkloom.operators import extract
+from sparkloom.operators import extract, grammar
 from sparkloom.operators.extract import LANGUAGES
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,12 @@ def test_outline_of_faulty_sources_is_empty():
 def test_sources_shuffle_the_turns_once(spark):
     plan = code_queries.sources(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_space_and_comments_at_the_end_give_no_token():
+    for tail in ("", " ", "\n", " // no", " /* no", "/* no */ "):
+        got, end = grammar.tokens("a ?. b == $c" + tail, "java")
+        assert [(t.kind, t.text) for t in got] == [("word", "a"), ("mark", "?."), ("word", "b"), ("mark", "=="), ("word", "$c")]
+        assert end == len("a ?. b == $c" + tail)
+    got, _ = grammar.tokens('x = $$"{a}" + @"b""c" + $"{{d}} {e("}")}"; f', "c_sharp")
+    assert [t.text for t in got if t.kind == "text"] == ['$$"{a}"', '@"b""c"', '$"{{d}} {e("}")}"']
