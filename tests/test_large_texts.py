@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sparkloom.operators import lexical, lsa
 
@@ -36,3 +37,34 @@ def test_stored_counts_give_the_same_vectors(spark):
     made = lsa.learn(docs, size=4, features=64, rounds=2)
     vectors = lambda **a: np.array([r.embedding for r in made.embed(docs, **a).orderBy("doc_id").collect()])
     assert np.allclose(vectors(), vectors(counts=made.counts), atol=1e-6)
+
+
+def test_blocks_end_at_their_size_and_postings_bound_their_weights():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(s, s + 9)), pa.array(["ab"] * 8 + ["x" * lexical.BLOCK])], ["id", "text"]) for s in (0, 9)]
+    assert [ids for ids, _ in lexical.blocks_of(iter(batches), 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8], [9, 10, 11, 12], [13, 14, 15, 16], [17]]
+    rows = lexical._postings(7, [1, 2, 3], ["A b a", "", "a c c c"]).to_pylist()
+    assert {r["term"]: (r["block"], r["df"], r["tokens"], r["most"], r["least"]) for r in rows} == {"a": (7, 2, 3, 2, 1.5), "b": (7, 1, 1, 1, 3.0), "c": (7, 1, 3, 3, 4 / 3)}
+    assert {r["term"]: [(p["id"], p["tf"], p["len"]) for p in r["postings"]] for r in rows}["a"] == [(1, 2, 3), (3, 1, 4)]
+    assert lexical._postings(1, [5], [""]).num_rows == 0
+
+
+def test_bounds_are_never_below_a_weight(spark):
+    docs = spark.createDataFrame([(i, " ".join(["a"] * (i % 5) + ["b"] * (i * 7 % 11) + ["c"])) for i in range(60)], "doc_id long, text string")
+    index = lexical.build_text_index(docs, block_docs=8)
+    worst = index.terms.select(index.best().alias("best"), F.explode("postings").alias("p")).select(F.min(F.col("best") - index.weight(F.col("p.tf"), F.col("p.len")))).first()[0]
+    assert -1e-9 < worst < 1e-9  # reached by some
+
+
+def test_the_index_shuffles_no_text_and_searches_split_found_texts_only(spark, monkeypatch):
+    plans = []
+    kept = lexical.stored
+    monkeypatch.setattr(lexical, "stored", lambda d, name: plans.append((name, d._jdf.queryExecution().executedPlan().toString())) or kept(d, name))
+    docs = spark.createDataFrame([(i, f"a b{i}") for i in range(50)], "doc_id long, text string")
+    index = lexical.build_text_index(docs, block_docs=4)
+    assert [n for n, _ in plans] == ["postings"] and "Exchange" not in plans[0][1]
+    asked = spark.createDataFrame([(1, "a b7")], "item_id long, text string")
+    found = lexical.search_text(index, asked, 3)
+    assert found.orderBy("rank").first().id == 7
+    scored = lexical.weighted_overlap(found.select("query", "id"), index, asked, docs)
+    assert "LeftSemi" in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r["rerank"] for r in scored.collect()}[7] == 1.0
